@@ -80,14 +80,14 @@ def _chains(b: pa.RecordBatch, emit: np.ndarray, start: np.ndarray, move: np.nda
 def baum_welch(encoded: DataFrame, unigram: np.ndarray, states: int = 4, rounds: int = 4, at_once: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, move, emit) after so many rounds over all rows of encoded; emit is (symbols, states).
 
-    The first emissions are the unigram distribution, leaned by a fixed random factor for
+    The first emissions are the unigram distribution, weighted by a fixed random factor for
     each state.  What reaches the driver in a round is the sum over all partitions: states
     * (symbols + states + 1) numbers.  A tenth of a count is added to each.
     """
     rng, m = np.random.default_rng(7), len(unigram)
-    emit = unigram[:, None] * rng.uniform(0.2, 1.8, (m, states))
+    emit = unigram[:, None] * (rng.gamma(1.0, 1.0, (m, states)) + 0.01)
     emit, start = emit / emit.sum(0), np.full(states, 1 / states)
-    move = np.full((states, states), 0.4 / states) + 0.6 * np.eye(states)
+    move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     for _ in range(rounds):
 
         def expected(parts: Iterator[pa.RecordBatch], emit=emit, start=start, move=move) -> Iterator[pa.RecordBatch]:
