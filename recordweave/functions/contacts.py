@@ -1,0 +1,38 @@
+"""Mail addresses in text and what class of contact they are."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+ROLES = ("info", "sales", "contact", "support", "hello", "office", "admin", "service")
+FREE = ("yahoo.com", "hotmail.com", "outlook.com", "aol.com", "icloud.com", "gmx.de", "web.de")
+PLACEHOLDERS = ("example@example.com", "name@domain.com", "test@test.com")
+FILE_ENDINGS = ("png", "jpg", "jpeg", "gif", "svg", "webp", "css", "js", "pdf")
+
+
+def emails(text: Column) -> Column:
+    """The valid addresses of a text, lower-cased, each once, in order."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL), F.lit(0)), lambda e: F.regexp_replace(F.lower(e), r"^[.,;:]+|[.,;:]+$", ""))
+    return F.array_distinct(F.filter(found, valid_email))
+
+
+def valid_email(e: Column) -> Column:
+    return ~e.isin(*PLACEHOLDERS) & (F.length(e) <= 254) & ~F.substring_index(e, ".", -1).isin(*FILE_ENDINGS) & (F.length(F.substring_index(e, "@", 1)) <= 64)
+
+
+def email_class(e: Column, free: tuple[str, ...] = FREE) -> Column:
+    """private for free providers, generic for roles, work for the rest."""
+    local = F.regexp_extract(e, "^([a-z]+)", 1)
+    return F.when(F.substring_index(e, "@", -1).isin(*free), "private").when(local.isin(*ROLES), "generic").otherwise("work")
+
+
+def class_priority(c: Column) -> Column:
+    return F.when(c == "generic", 0).when(c == "work", 1).otherwise(2)
+
+
+def best_contact(found: Column) -> Column:
+    """struct(prio, email, class) of the first by class, then address; null if there is none."""
+    rows = F.transform(found, lambda e: F.struct(class_priority(email_class(e)).alias("prio"), e.alias("email"), email_class(e).alias("email_class")))
+    return F.try_element_at(F.array_sort(rows), F.lit(1))
