@@ -75,10 +75,10 @@ ORACLE_SQL = {
     "op6_hamming_topk": """
         with v as (select distinct vec_id, embedding from embeddings
                    where vec_id is not null and embedding is not null
-                     and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x)))
-                     and list_bool_or(list_transform(embedding, x -> x <> 0))),
+                     and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+                     and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
         d as (select q.vec_id as query_id, c.vec_id,
-                     min(list_sum(list_transform(range(1, 65), i -> case when (q.embedding[i] > 0) <> (c.embedding[i] > 0) then 1 else 0 end)))::int as distance
+                     min(list_sum(list_transform(range(1, 65), lambda i: case when (q.embedding[i] > 0) <> (c.embedding[i] > 0) then 1 else 0 end)))::int as distance
               from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id group by all)
         select query_id, (row_number() over (partition by query_id order by distance, vec_id))::int as rank, vec_id, distance
         from d qualify row_number() over (partition by query_id order by distance, vec_id) <= 10""",
