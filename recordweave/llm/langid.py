@@ -172,19 +172,20 @@ def train(docs: DataFrame, rows: int = 150) -> Model:
 def _labelled(model: Model, texts: list[str], known: Known, at_once: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the label, score) of each text; the index after the last is UNKNOWN."""
     k = len(model.labels)
-    lists = [words_of(t) for t in texts]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    name, score = np.full(len(lists), k), np.zeros(len(lists))
-    for lo, hi in batches(sizes, at_once):
-        look = known.of(lists[lo:hi])
-        e = [b"".join(map(look, x)) for x in lists[lo:hi]]
-        n = np.fromiter(map(len, e), np.int64, len(e)) // max(4 * k, 1)
-        full = np.flatnonzero(n)
-        if len(full):
-            c = Chains(np.frombuffer(b"".join(e), "<f4").reshape(-1, k).astype(np.float64), n[full], np.exp(model.start), np.exp(model.move))
-            c.forward()
-            share = np.add.reduceat(c.backward(), c.first) / n[full][:, None]
-            name[lo + full], score[lo + full] = share.argmax(1), np.clip(share.max(1), 0, 1)
+    name, score = np.full(len(texts), k), np.zeros(len(texts))
+    for at in range(0, len(texts), 500):  # the words of so many texts are held at once
+        lists = [words_of(t) for t in texts[at : at + 500]]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        for lo, hi in batches(sizes, at_once):
+            look = known.of(lists[lo:hi])
+            e = [b"".join(map(look, x)) for x in lists[lo:hi]]
+            n = np.fromiter(map(len, e), np.int64, len(e)) // max(4 * k, 1)
+            full = np.flatnonzero(n)
+            if len(full):
+                c = Chains(np.frombuffer(b"".join(e), "<f4").reshape(-1, k).astype(np.float64), n[full], np.exp(model.start), np.exp(model.move))
+                c.forward()
+                share = np.add.reduceat(c.backward(), c.first) / n[full][:, None]
+                name[at + lo + full], score[at + lo + full] = share.argmax(1), np.clip(share.max(1), 0, 1)
     return name, score
 
 
@@ -193,10 +194,13 @@ def _table(model: Model) -> Known:
 
     def made(new: list[str]) -> list[bytes]:
         real = [w for w in new if any(map(str.isalpha, w))] if model.labels else []
-        row = dict(zip(real, _even(model.scores(_grams(real), model.held(real))).astype("<f4"), strict=True)) if real else {}
+        row = {}
+        for lo in range(0, len(real), 10_000):  # features take some hundred bytes a letter
+            part = real[lo : lo + 10_000]
+            row.update(zip(part, _even(model.scores(_grams(part), model.held(part))).astype("<f4"), strict=True))
         return [row[w].tobytes() if w in row else b"" for w in new]
 
-    return Known(made, 300_000)
+    return Known(made, 200_000)
 
 
 def predict(docs: DataFrame, model: Model, at_once: int = 400_000) -> DataFrame:
