@@ -116,7 +116,8 @@ def score_texts(docs: DataFrame, vocabulary: int = 16_384, states: int = 4, roun
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs(doc_id, text).
 
     Learns from the rows whose crc32(doc_id as text) mod 7 is not 2.  vocabulary: at most
-    so many words (below 65,536) are symbols of their own.  score is the log10 probability
+    so many words (below 65,536), those of at least one in 16 * vocabulary tokens, are
+    symbols of their own.  score is the log10 probability
     of the words and the end under the model: a word outside the symbols has, given their
     common symbol, (c + 1) / (its kind's tokens + types + 1), c 0 for a new one.  A null
     text counts as empty: its end alone.  Repeated rows are learned and scored as often as
@@ -125,7 +126,8 @@ def score_texts(docs: DataFrame, vocabulary: int = 16_384, states: int = 4, roun
     """
     counts = cut(word_counts(docs.where(crc_mod(F.col("doc_id"), 7) != 2)))
     size, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(vocabulary).collect()
+    # At most 16 * vocabulary words are that frequent, however many there are: what tasks send to the driver has this bound.
+    top = counts.where((F.col("word") != END) & (F.col("c") * (16 * vocabulary) >= size)).orderBy(F.desc("c"), "word").limit(vocabulary).collect()
     ends = counts.where(F.col("word") == END).select("c").first()
     c = np.array([0, ends.c if ends else 0, *(r.c for r in top)], np.float64)
     c[RARE] = size - c.sum()
