@@ -114,7 +114,7 @@ class Model:
         take, high = 1, best[end - 1] + self.score.get(word[end - 1], self.penalty)
         for n in range(2, min(end, self.longest) + 1):
             s = self.score.get(word[end - n : end])
-            if s is not None and best[end - n] + s > high:
+            if s is not None and best[end - n] + s >= high:  # among equals the library takes the longer last piece
                 take, high = n, best[end - n] + s
         length.append(take)
         best.append(high)
