@@ -87,8 +87,8 @@ class _File:
         return {"file": self.name, "shard": self.shard, "number": self.number, "records": self.records, "bytes": self.size, "sha256": self.sha.hexdigest()}
 
 
-def _shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """rows with their shard, and the number of shards.
+def _shards(rows: DataFrame, all_rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """all_rows with their shard, by the bytes of rows, and the number of shards.
 
     The ids' range is cut into at most RANGES equal parts; the exact bytes of the parts,
     RANGES numbers at most, are added up in order, and a new shard starts after each
@@ -96,7 +96,7 @@ def _shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
     """
     low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
     if low is None:
-        return rows.withColumn("shard", F.lit(0)), 1
+        return all_rows.withColumn("shard", F.lit(0)), 1
     width = (high - low) // RANGES + 1
     part = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)), F.lit(0)).cast("int")
     sums = rows.groupBy(part.alias("part")).agg(F.sum(F.octet_length("payload") + 512).alias("n")).orderBy("part").collect()
@@ -107,7 +107,7 @@ def _shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
         total += r.n
         of.append((r.part, shard))
     names = rows.sparkSession.createDataFrame(of, "part int, shard int")  # RANGES rows of 8 bytes at most
-    return rows.withColumn("part", part).join(F.broadcast(names), "part").drop("part"), shard + 1
+    return all_rows.withColumn("part", part).join(F.broadcast(names), "part").drop("part"), shard + 1
 
 
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_bytes: int = 16 << 20, date: str = "2000-01-01T00:00:00Z", least: int = 0) -> DataFrame:
@@ -123,14 +123,21 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
     first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("copies")).where("copies > 1").select("digest", "winner")
-    typed = rows.join(first, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner"))).drop("winner")
-    placed, shards = _shards(typed, shard_bytes)
-    ordered = placed.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "url", "digest")
+    # A record's response is told by a marker row, which sorts just before it: payloads are shuffled once, to their shard, and for nothing else.
+    markers = rows.select("page_id", "digest").distinct().join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("winner")))
+    both = rows.withColumn("winner", F.lit(None).cast("long")).unionByName(markers, allowMissingColumns=True)
+    placed, shards = _shards(rows, both, shard_bytes)
+    ordered = placed.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("payload").isNotNull(), "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attempt, file, done = TaskContext.get().taskAttemptId(), None, []
+        attempt, file, done, marker = TaskContext.get().taskAttemptId(), None, [], {}
         for b in batches:
             for row in b.to_pylist():
+                if row["payload"] is None:
+                    marker = row
+                    continue
+                told = marker and (marker["page_id"], marker["digest"]) == (row["page_id"], row["digest"])
+                row["refers_to"] = marker["winner"] if told else None
                 if file and (file.shard != row["shard"] or file.size >= file_bytes):
                     done.append(file.commit())
                     file = _File(folder, row["shard"], file.number + 1 if file.shard == row["shard"] else 0, attempt)
