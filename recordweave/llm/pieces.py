@@ -50,10 +50,29 @@ class Model:
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError(f"{path} has pieces that cross words")
         self.longest = max(map(len, self.id))
+        self.ends = self._ends()
+        self.code = {p: i.to_bytes(4, "little") for p, i in self.id.items()}
+        self.bytes = [self._spelt(i) for i in range(len(self.name))]
         self.penalty = min(self.score.values()) - 10  # fixed value: the library's score of an unknown character
         self.apart: dict[tuple[str, str], bool] = {}
         self.known = Known(self.words, 400_000)
 
+    def _ends(self) -> dict[str, tuple[int, ...]]:
+        """The lengths, longest first, of the pieces of three characters or more with these last three."""
+        found: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 2:
+                found.setdefault(p[-3:], set()).add(len(p))
+        return {end: tuple(sorted(lengths, reverse=True)) for end, lengths in found.items()}
+
+    def _spelt(self, i: int) -> bytes:
+        """What id i decodes to."""
+        if self.kind[i] == 6:
+            return bytes([int(self.name[i][3:5], 16)])
+        if self.kind[i] == 2:
+            return " ⁇ ".encode()
+        return b"" if self.kind[i] == 3 else self.name[i].replace(MARK, " ").encode("utf-8", "surrogatepass")
+
     def merged(self, text: str) -> list[str]:
         """The pieces of a word by merging: the best-scored neighbours first, then the leftmost."""
         part, size, score = list(text), len(text), self.score
@@ -80,11 +99,9 @@ class Model:
 
     def _apart(self, left: str, right: str) -> bool:
         """Whether merging leaves these neighbours as they are; an empty left asks whether it makes the piece at all."""
-        known = self.apart.get((left, right))
-        if known is None:
-            if len(self.apart) >= 500_000:
-                self.apart.clear()
-            known = self.apart[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        if len(self.apart) >= 500_000:
+            self.apart.clear()
+        known = self.apart[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
     def words(self, new: list[str]) -> list[bytes]:
@@ -120,16 +137,25 @@ class Model:
         best.append(high)
 
     def _step_bpe(self, word: str, end: int, length: list, best: list) -> None:
-        for n in range(min(end, self.longest), 0, -1):
+        longer = self.ends.get(word[end - 3 : end], ()) if end > 2 else ()
+        for n in (*longer, 2, 1):
             at = end - n
+            if at < 0:
+                continue
             piece = word[at:end]
-            if (n == 1 or piece in self.score) and self._apart(word[at - length[at] : at], piece):
-                length.append(n)
-                best.append(0.0)
-                return
+            if n == 1 or piece in self.score:
+                left = word[at - length[at] : at]
+                fits = self.apart.get((left, piece))
+                if self._apart(left, piece) if fits is None else fits:
+                    length.append(n)
+                    best.append(0.0)
+                    return
         raise ValueError(f"no piece ends {word[:end]!r}")
 
     def ids(self, parts: list[str]) -> bytes:
+        codes = [self.code.get(p) for p in parts]
+        if None not in codes:
+            return b"".join(codes)
         out: list[int] = []
         for p in parts:
             i = self.id.get(p)
@@ -147,15 +173,7 @@ class Model:
         return [b"".join(map(look, u)) for u in units]
 
     def decode(self, ids: np.ndarray) -> str:
-        out: list[bytes] = []
-        for i in ids.tolist():
-            if self.kind[i] == 6:
-                out.append(bytes([int(self.name[i][3:5], 16)]))
-            elif self.kind[i] == 2:
-                out.append(" ⁇ ".encode())
-            elif self.kind[i] != 3:
-                out.append(self.name[i].replace(MARK, " ").encode("utf-8", "surrogatepass"))
-        text = b"".join(out).decode("utf-8", "replace")
+        text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
