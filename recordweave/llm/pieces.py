@@ -55,7 +55,7 @@ class Model:
         self.bytes = [self._spelt(i) for i in range(len(self.name))]
         self.penalty = min(self.score.values()) - 10  # fixed value: the library's score of an unknown character
         self.apart: dict[tuple[str, str], bool] = {}
-        self.known = Known(self.words, 400_000)
+        self.known = Known(self.words, 150_000)
 
     def _ends(self) -> dict[str, tuple[int, ...]]:
         """The lengths, longest first, of the pieces of three characters or more with these last three."""
@@ -99,7 +99,7 @@ class Model:
 
     def _apart(self, left: str, right: str) -> bool:
         """Whether merging leaves these neighbours as they are; an empty left asks whether it makes the piece at all."""
-        if len(self.apart) >= 500_000:
+        if len(self.apart) >= 150_000:
             self.apart.clear()
         known = self.apart[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return known
@@ -184,7 +184,7 @@ def model(path: str) -> Model:
     return _models[path]
 
 
-def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), batch: int = 1000) -> DataFrame:
+def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), batch: int = 500) -> DataFrame:
     """doc_id, n_pieces, ids (little-endian unsigned 32-bit), and the columns to carry: a row for each row of docs(doc_id, text).
 
     Equal to the library's encoding of the whole text.  A null text counts as empty and
