@@ -54,8 +54,8 @@ class Model:
         self.code = {p: i.to_bytes(4, "little") for p, i in self.id.items()}
         self.bytes = [self._spelt(i) for i in range(len(self.name))]
         self.penalty = min(self.score.values()) - 10  # fixed value: the library's score of an unknown character
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.known = Known(self.words, 150_000)
+        self.apart: dict[str, bool] = {}  # by left, a space and right: marked words hold no space
+        self.known = Known(self.words, 300_000)
 
     def _ends(self) -> dict[str, tuple[int, ...]]:
         """The lengths, longest first, of the pieces of three characters or more with these last three."""
@@ -99,9 +99,9 @@ class Model:
 
     def _apart(self, left: str, right: str) -> bool:
         """Whether merging leaves these neighbours as they are; an empty left asks whether it makes the piece at all."""
-        if len(self.apart) >= 150_000:
+        if len(self.apart) >= 400_000:
             self.apart.clear()
-        known = self.apart[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        known = self.apart[f"{left} {right}"] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
     def words(self, new: list[str]) -> list[bytes]:
@@ -145,7 +145,7 @@ class Model:
             piece = word[at:end]
             if n == 1 or piece in self.score:
                 left = word[at - length[at] : at]
-                fits = self.apart.get((left, piece))
+                fits = self.apart.get(f"{left} {piece}")
                 if self._apart(left, piece) if fits is None else fits:
                     length.append(n)
                     best.append(0.0)
