@@ -54,16 +54,16 @@ class Model:
         self.code = {p: i.to_bytes(4, "little") for p, i in self.id.items()}
         self.bytes = [self._spelt(i) for i in range(len(self.name))]
         self.penalty = min(self.score.values()) - 10  # fixed value: the library's score of an unknown character
-        self.apart: dict[str, bool] = {}  # by left, a space and right: marked words hold no space
+        self.apart: dict[int, bool] = {}  # by the numbers of the left and the right piece
         self.known = Known(self.words, 300_000)
 
     def _ends(self) -> dict[str, tuple[int, ...]]:
-        """The lengths, longest first, of the pieces of three characters or more with these last three."""
+        """The lengths, longest first, that a piece with these last four characters may have; all may have 3 and 2."""
         found: dict[str, set[int]] = {}
         for p in self.id:
-            if len(p) > 2:
-                found.setdefault(p[-3:], set()).add(len(p))
-        return {end: tuple(sorted(lengths, reverse=True)) for end, lengths in found.items()}
+            if len(p) > 3:
+                found.setdefault(p[-4:], set()).add(len(p))
+        return {end: (*sorted(lengths, reverse=True), 3, 2) for end, lengths in found.items()}
 
     def _spelt(self, i: int) -> bytes:
         """What id i decodes to."""
@@ -97,35 +97,74 @@ class Model:
                 heappush(heap, (-s, h))
         return [p for p in part if p]
 
-    def _apart(self, left: str, right: str) -> bool:
+    def _number(self, piece: str) -> int:
+        """The id of a piece; a character that is none counts from after them."""
+        i = self.id.get(piece)
+        return len(self.name) + ord(piece) if i is None else i
+
+    def _apart(self, key: int, left: str, right: str) -> bool:
         """Whether merging leaves these neighbours as they are; an empty left asks whether it makes the piece at all."""
         if len(self.apart) >= 400_000:
             self.apart.clear()
-        known = self.apart[f"{left} {right}"] = self.merged(left + right) == ([left, right] if left else [right])
+        known = self.apart[key] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
     def words(self, new: list[str]) -> list[bytes]:
         """The ids of these distinct marked words, as little-endian 32-bit numbers, in their order."""
-        done: dict[str, bytes] = {}
-        held, length, best = "", [0], [0.0]  # of each prefix of held: the last piece's length, the best score
-        for word in sorted(new):
-            if self.bpe and word.startswith(MARK * 2):  # pieces of marks alone tie in score, so the last piece is not settled by the prefix
-                done[word] = self.ids(self.merged(word))
+        walk = self._walk_bpe if self.bpe else self._walk
+        done = dict(walk(sorted(new)))
+        return [done[w] for w in new]
+
+    def _walk_bpe(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with its ids, depth-first: the lists hold what is known of each prefix of the word before."""
+        number, code, ends, apart, base = self.id, self.code, self.ends, self.apart, len(self.name) + 0x110000
+        held = ""
+        last, piece_of, ids = [base - 1], [""], [b""]  # the last piece's number (before the first: one that no character has), the piece, all ids
+        for word in words:
+            if word.startswith(MARK * 2):  # pieces of marks alone tie in score, so the last piece is not settled by the prefix
+                yield word, self.ids(self.merged(word))
                 continue
             shared = 0
+            for a, b in zip(held, word, strict=False):
+                if a != b:
+                    break
+                shared += 1
+            del last[shared + 1 :], piece_of[shared + 1 :], ids[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                for n in ends.get(word[end - 4 : end], (3, 2)) if end > 3 else (3, 2):
+                    if (at := end - n) >= 0 and (right := number.get(piece := word[at:end])) is not None:
+                        key = last[at] * base + right
+                        fits = apart.get(key)
+                        if self._apart(key, piece_of[at], piece) if fits is None else fits:
+                            coded = code[piece]
+                            break
+                else:  # what no longer piece ends ends in a piece of its own
+                    at, piece = end - 1, word[end - 1]
+                    right, coded = self._number(piece), self.ids([piece])
+                    if not self.by_byte and right >= len(self.name) and last[at] >= len(self.name) and at:
+                        coded = b""  # the library joins unknown characters in a row
+                last.append(right)
+                piece_of.append(piece)
+                ids.append(ids[at] + coded)
+            held = word
+            yield word, ids[-1]
+
+    def _walk(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        held, length, best = "", [0], [0.0]  # of each prefix of held: the last piece's length, the best score
+        for word in words:
+            shared = 0
             for a, b in zip(held, word, strict=False):
                 if a != b:
                     break
                 shared += 1
             del length[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                (self._step_bpe if self.bpe else self._step)(word, end, length, best)
+                self._step(word, end, length, best)
             held, out, end = word, [], len(word)
             while end:
                 out.append(word[end - length[end] : end])
                 end -= length[end]
-            done[word] = self.ids(out[::-1])
-        return [done[w] for w in new]
+            yield word, self.ids(out[::-1])
 
     def _step(self, word: str, end: int, length: list, best: list) -> None:
         take, high = 1, best[end - 1] + self.score.get(word[end - 1], self.penalty)
@@ -136,22 +175,6 @@ class Model:
         length.append(take)
         best.append(high)
 
-    def _step_bpe(self, word: str, end: int, length: list, best: list) -> None:
-        longer = self.ends.get(word[end - 3 : end], ()) if end > 2 else ()
-        for n in (*longer, 2, 1):
-            at = end - n
-            if at < 0:
-                continue
-            piece = word[at:end]
-            if n == 1 or piece in self.score:
-                left = word[at - length[at] : at]
-                fits = self.apart.get(f"{left} {piece}")
-                if self._apart(left, piece) if fits is None else fits:
-                    length.append(n)
-                    best.append(0.0)
-                    return
-        raise ValueError(f"no piece ends {word[:end]!r}")
-
     def ids(self, parts: list[str]) -> bytes:
         codes = [self.code.get(p) for p in parts]
         if None not in codes:
