@@ -224,7 +224,11 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
 
 def keep_one(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
     """docs without the documents whose component has a smaller doc_id; rows of a null doc_id stay, a repeated doc_id stays once."""
-    found = near_duplicates(docs, distance, width)
+    return first_of(docs, near_duplicates(docs, distance, width))
+
+
+def first_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """keep_one by the components found (doc_id, component_id)."""
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
