@@ -16,6 +16,11 @@ def space(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
+def ascii_lower(c: Column) -> Column:
+    """Lower-cases A-Z and nothing else."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def name_key(c: Column) -> Column:
     return F.lower(space(c))
 

@@ -188,12 +188,24 @@ _TERMS = ["ing", "ble", "tion", "the", "es"]
 @query(f"""select doc_id, len(list_filter({_TERMS!r}, lambda t: contains(lower(text), t))) as n_terms, array_to_string(list_filter({_TERMS!r}, lambda t: contains(lower(text), t)), ',') as terms,
     regexp_matches(lower(text), '(^|[^a-z])of[^a-z]+the([^a-z]|$)') as has_phrase from documents where lang = 'en'""".replace('"', "'"))
 def lexicon_hits(spark, sf_dir):
-    """Lexicon terms in each text, and a phrase between word boundaries."""
+    """Lexicon terms in each English text, and a phrase between word boundaries; all languages: lexicon_hits_all (part of X18 X19)."""
     d = table(spark, sf_dir, "documents").where("lang = 'en'")
     hits = text.terms_in(F.col("text"), _TERMS)
     return d.select("doc_id", _long(F.size(hits)).alias("n_terms"), F.array_join(hits, ",").alias("terms"), F.lower("text").rlike("(^|[^a-z])of[^a-z]+the([^a-z]|$)").alias("has_phrase"))
 
 
+_LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""select doc_id, len(list_filter({_TERMS!r}, lambda t: contains({_LOWER_SQL}, t))) as n_terms, array_to_string(list_filter({_TERMS!r}, lambda t: contains({_LOWER_SQL}, t)), ',') as terms,
+    regexp_matches({_LOWER_SQL}, '(^|[^a-z])of[^a-z]+the([^a-z]|$)') as has_phrase from documents""")
+def lexicon_hits_all(spark, sf_dir):
+    """lexicon_hits over the documents of every language and of none; only A-Z are lower-cased."""
+    low = text.ascii_lower(F.col("text"))
+    hits = F.filter(F.array(*map(F.lit, _TERMS)), lambda t: F.contains(low, t))
+    return table(spark, sf_dir, "documents").select("doc_id", _long(F.size(hits)).alias("n_terms"), F.array_join(hits, ",").alias("terms"), low.rlike("(^|[^a-z])of[^a-z]+the([^a-z]|$)").alias("has_phrase"))
+
+
 _SCORE = "case when contains(p_type, 'STEEL') and p_size > 25 then 5 when contains(p_type, 'STEEL') then 4 when contains(p_brand, '1') then 3 when p_retailprice > 1000 then 2 else 1 end"
 
 
@@ -277,12 +289,21 @@ def negative_cache_ttl(spark, sf_dir):
 
 @query("select event_id, user_id from events where event_id % 2 = 1 and user_id not in (select user_id from events where event_id % 2 = 0 and event_type = 'error')")
 def resume_anti(spark, sf_dir):
-    """What an earlier run has not completed (T5)."""
+    """What an earlier run has not completed, of odd events; all events: resume_anti_all (part of T5)."""
     e = table(spark, sf_dir, "events")
     done = e.where("event_id % 2 = 0 and event_type = 'error'")
     return dedupe.exclude(e.where("event_id % 2 = 1").select("event_id", "user_id"), (done, "user_id"))
 
 
+@query("select event_id, user_id from events e where event_type is distinct from 'purchase' and not exists (select 1 from events d where d.user_id = e.user_id and d.ts::date = e.ts::date and d.event_type = 'purchase')")
+def resume_anti_all(spark, sf_dir):
+    """resume_anti over all events: a purchase completes its user's day, every other event is to do (T5)."""
+    task = F.concat(F.col("user_id").cast("string"), F.lit("|"), F.col("ts").cast("date").cast("string"))
+    e = table(spark, sf_dir, "events").withColumn("task", task)
+    bought = F.coalesce(F.col("event_type") == "purchase", F.lit(False))
+    return dedupe.exclude(e.where(~bought).select("event_id", "user_id", "task"), (e.where(bought), "task")).select("event_id", "user_id")
+
+
 @query("select event_id, last_value(case when event_type in ('purchase','signup') then event_type end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) as last_stage from events")
 def checkpoint_carry(spark, sf_dir):
     """The last non-blank value carried forward (T4)."""
@@ -354,13 +375,26 @@ def query_templates(spark, sf_dir):
     d as (select doc_id, term from t where term not in (select term from known) group by all)
     select doc_id, term from d qualify row_number() over (partition by doc_id order by term) <= 6""")
 def term_learning(spark, sf_dir):
-    """New terms of each text that the lexicon lacks, six at most."""
+    """New terms of each English text that the lexicon lacks, six at most; all languages: term_learning_all (part of X14 X15 U8)."""
     d = table(spark, sf_dir, "documents").where("lang = 'en'")
     terms = lambda x: x.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+tion[a-z]*"), F.lit(0)))).alias("term"))
     new = dedupe.exclude(terms(d.where("source <> 'src0'")), (terms(d.where("source = 'src0'")), "term"))
     return dedupe.within_quota(new, ["doc_id"], ["term"], 6).select("doc_id", "term")
 
 
+@query(rf"""with t as (select doc_id, unnest(regexp_extract_all({_LOWER_SQL}, '[a-z]+tion[a-z]*')) as term from documents where source is distinct from 'src0'),
+    known as (select distinct unnest(regexp_extract_all({_LOWER_SQL}, '[a-z]+tion[a-z]*')) as term from documents where source = 'src0'),
+    d as (select doc_id, term from t where term not in (select term from known) group by all)
+    select doc_id, term from d qualify row_number() over (partition by doc_id order by term) <= 6""")
+def term_learning_all(spark, sf_dir):
+    """term_learning over the documents of every language and of none; only A-Z are lower-cased."""
+    d = table(spark, sf_dir, "documents")
+    terms = lambda x: x.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(text.ascii_lower(F.col("text")), F.lit("[a-z]+tion[a-z]*"), F.lit(0)))).alias("term"))
+    known = F.coalesce(F.col("source") == "src0", F.lit(False))
+    new = dedupe.exclude(terms(d.where(~known)), (terms(d.where(known)), "term"))
+    return dedupe.within_quota(new, ["doc_id"], ["term"], 6).select("doc_id", "term")
+
+
 @query("""with s as (select event_id, user_id, event_type, case when event_type = 'error' then 'invalid' when exists (select 1 from events h where h.user_id = events.user_id and h.event_type = 'purchase') then 'sent before'
       when row_number() over (partition by user_id, event_type <> 'error' order by event_id) > 1 then 'duplicate' else 'new' end as disposition from events)
     select disposition, count(*) as n from s group by 1""")
