@@ -46,7 +46,7 @@ _EMAILS_SQL = r"""
 
 @query(f"with {_EMAILS_SQL} select email_class, email_domain, count(*) as n from classed group by all")
 def contact_scan(spark, sf_dir):
-    """Distinct addresses of each document by class and domain."""
+    """Distinct addresses of each document by class and domain, with rules of its own and not the reference's."""
     found = table(spark, sf_dir, "documents").select("doc_id", F.explode(contacts.emails(F.col("text"))).alias("email"))
     return found.select(contacts.email_class(F.col("email")).alias("email_class"), hosts.mailbox_domain(F.col("email")).alias("email_domain")).groupBy("email_class", "email_domain").agg(F.count("*").alias("n"))
 
@@ -54,7 +54,7 @@ def contact_scan(spark, sf_dir):
 @query(f"""with {_EMAILS_SQL} select doc_id, email, email_class from classed
     qualify row_number() over (partition by doc_id order by case email_class when 'generic' then 0 when 'work' then 1 else 2 end, email) = 1""")
 def contact_best(spark, sf_dir):
-    """Each document's first contact by class, then address."""
+    """Each document's first contact by class, then address, with contact_scan's own classes; none for a text without one."""
     best = table(spark, sf_dir, "documents").select("doc_id", contacts.best_contact(contacts.emails(F.col("text"))).alias("b"))
     return best.where("b is not null").select("doc_id", "b.email", "b.email_class")
 
