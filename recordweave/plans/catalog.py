@@ -74,7 +74,7 @@ def page_title(spark, sf_dir):
         when starts_with(href, '/') then regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href else regexp_extract(url, '^([a-z]+://[^?#]*/)', 1) || href end as link from l)
     select page_id, count(*) as n_links, count(distinct link) as n_targets, min(link) as first_target from r group by page_id""")
 def page_links(spark, sf_dir):
-    """Anchors of each page, resolved against its URL."""
+    """Anchors of each page, double-quoted href alone, resolved against its URL; a count, without classes or a form URL."""
     found = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(html.links(F.col("html"))).alias("href"))
     return found.select("page_id", html.resolve(F.col("href"), F.col("url")).alias("link")).groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_distinct("link").alias("n_targets"), F.min("link").alias("first_target"))
 
@@ -132,7 +132,7 @@ def url_union_dedupe(spark, sf_dir):
 
 @query("select min(c_custkey) as c_custkey, lower(trim(c_mktsegment)) || '|' || c_nationkey as dedupe_key from customer group by 2")
 def dedupe_key_exact(spark, sf_dir):
-    """First customer of each name-and-country key."""
+    """First customer of each name-and-country key."""
     c = table(spark, sf_dir, "customer").select("c_custkey", text.company_country_key(F.col("c_mktsegment"), F.col("c_nationkey").cast("string")).alias("dedupe_key"))
     return dedupe.first_by(c, ["dedupe_key"], ["c_custkey"])
 
@@ -227,7 +227,7 @@ def _ruled(spark, sf_dir):
 
 @query(f"select l_orderkey, l_linenumber, len({_RULES_SQL}) = 0 as eligible, array_to_string({_RULES_SQL}, '; ') as reasons from lineitem")
 def rule_reasons(spark, sf_dir):
-    """Eligibility with every reason against, in order."""
+    """Eligibility with every reason against, in order, for four constant rules."""
     return _ruled(spark, sf_dir).select("l_orderkey", "l_linenumber", (F.size("reasons") == 0).alias("eligible"), F.array_join("reasons", "; ").alias("reasons"))
 
 
