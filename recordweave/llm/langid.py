@@ -3,7 +3,9 @@
 Words are labelled with languages: affixes, character n-grams and lexicon membership give
 each word a weight for each language, learned transitions tie neighbours, and forward-
 backward gives every word's probabilities, so that a text may switch language.  A text's
-language is that of the largest share of its words.
+language is that of the largest share of its words.  How familiar a text is in its
+language, the share of its words' features that the training words have, tells texts of
+languages that were never learned, whose probabilities mean nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from recordweave.llm.chunks import Known
 from recordweave.llm.common import crc_mod
 
 WORD = re.compile(r"[^\W\d_]+")
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 LEXICON = 2000
 UNKNOWN = "und"
 
@@ -57,7 +59,7 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """labels: the languages, sorted; weights: (BUCKETS, labels); lexicon: word -> labels of the lexicons that hold it; the rest are log weights."""
+    """labels: the languages, sorted; weights: (BUCKETS, labels); lexicon: word -> labels of the lexicons that hold it; seen: (BUCKETS, labels), whether a training word of the label has the feature; the rest are log weights."""
 
     labels: list[str]
     weights: np.ndarray
@@ -65,12 +67,18 @@ class Model:
     listed: np.ndarray
     start: np.ndarray
     move: np.ndarray
+    seen: np.ndarray
 
     def scores(self, grams: tuple[np.ndarray, np.ndarray], held: np.ndarray) -> np.ndarray:
         """The log weights of each word's labels, from its features and the lexicons that hold it."""
         at = np.searchsorted(grams[1], np.arange(len(held)))
         return np.add.reduceat(self.weights[grams[0]], at) + held @ self.listed
 
+    def familiar(self, grams: tuple[np.ndarray, np.ndarray], words: int) -> np.ndarray:
+        """(words, labels): the share of each word's features that training words of the label have."""
+        at = np.searchsorted(grams[1], np.arange(words))
+        return np.add.reduceat(self.seen[grams[0]].astype(np.float64), at) / np.bincount(grams[1], minlength=words)[:, None]
+
     def held(self, words: list[str]) -> np.ndarray:
         """Which lexicons hold each word, as 0 and 1."""
         out = np.zeros((len(words), len(self.labels)))
@@ -103,7 +111,7 @@ def fit(texts: list[str], langs: list[str], steps: int = 12, stay: float = 3.0)
     for c, n in enumerate(seen):
         for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicon.setdefault(w, []).append(c)
-    m = Model(labels, np.zeros((BUCKETS, k)), lexicon, np.zeros((k, k)), np.zeros(k), np.zeros((k, k)))
+    m = Model(labels, np.zeros((BUCKETS, k)), lexicon, np.zeros((k, k)), np.zeros(k), np.zeros((k, k)), np.zeros((BUCKETS, k), bool))
     if not lists:
         return m
     vocab = {w: i for i, w in enumerate(dict.fromkeys(w for x in lists for w in x))}
@@ -151,16 +159,24 @@ def fit(texts: list[str], langs: list[str], steps: int = 12, stay: float = 3.0)
         return [*emission(np.eye(k)[gold] - p), starts - p[first].sum(0), moves - c.pairs()]
 
     adam(whole, [m.weights, m.listed, m.start, m.move])
+    pairs = np.unique(ids * k + gold)  # each word under each label it has somewhere
+    for c in range(k):
+        m.seen[grams[0][np.isin(grams[1], pairs[pairs % k == c] // k)], c] = True
+    m.weights = m.weights.astype(np.float32)
     return m
 
 
 def sample(docs: DataFrame, rows: int = 150) -> DataFrame:
-    """lang, text of at most `rows` labelled documents a language, the same for the same documents: those whose hashed ids come first."""
-    known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.length("text")).alias("h"))
-    n = known.groupBy("lang").agg(F.count("*").alias("n"))
-    few = known.join(F.broadcast(n), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.lit(1 << 20) * 4.0 * rows / F.col("n"))  # one row a language is broadcast; four times as many as needed go on
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", "text"))
-    return few.withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "text")
+    """lang, text of at most `rows` distinct texts with a letter for each language, the same for the same rows: those whose hashes come first.
+
+    Hashes are ranked before any text moves, and each counts once however many copies it
+    has, so that a text copied many times takes one place.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    first = known.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "h")
+    # `rows` hashes a language are broadcast; equal hashes are one text.
+    return known.join(F.broadcast(first), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def train(docs: DataFrame, rows: int = 150) -> Model:
@@ -169,71 +185,108 @@ def train(docs: DataFrame, rows: int = 150) -> Model:
     return fit([r.text for r in got], [r.lang for r in got])
 
 
-def _labelled(model: Model, texts: list[str], known: Known, at_once: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the label, score) of each text; the index after the last is UNKNOWN."""
+def _labelled(model: Model, texts: list[str], known: Known, at_once: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the label, score, familiarity) of each text; the index after the last is UNKNOWN."""
     k = len(model.labels)
-    name, score = np.full(len(texts), k), np.zeros(len(texts))
+    name, score, familiar = np.full(len(texts), k), np.zeros(len(texts)), np.zeros(len(texts))
     for at in range(0, len(texts), 500):  # the words of so many texts are held at once
         lists = [words_of(t) for t in texts[at : at + 500]]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         for lo, hi in batches(sizes, at_once):
             look = known.of(lists[lo:hi])
             e = [b"".join(map(look, x)) for x in lists[lo:hi]]
-            n = np.fromiter(map(len, e), np.int64, len(e)) // max(4 * k, 1)
+            n = np.fromiter(map(len, e), np.int64, len(e)) // max(8 * k, 1)
             full = np.flatnonzero(n)
             if len(full):
-                c = Chains(np.frombuffer(b"".join(e), "<f4").reshape(-1, k).astype(np.float64), n[full], np.exp(model.start), np.exp(model.move))
+                both = np.frombuffer(b"".join(e), "<f4").reshape(-1, 2 * k)
+                c = Chains(both[:, :k].astype(np.float64), n[full], np.exp(model.start), np.exp(model.move))
                 c.forward()
-                share = np.add.reduceat(c.backward(), c.first) / n[full][:, None]
+                p = c.backward()
+                share = np.add.reduceat(p, c.first) / n[full][:, None]
                 name[at + lo + full], score[at + lo + full] = share.argmax(1), np.clip(share.max(1), 0, 1)
-    return name, score
+                familiar[at + lo + full] = np.add.reduceat((p * both[:, k:]).sum(1), c.first) / n[full]
+    return name, score, familiar
 
 
 def _table(model: Model) -> Known:
-    """The bounded table of words' weights, 4 bytes a label; a word without a letter has none."""
+    """The bounded table of words' weights and familiarity, 8 bytes a label; a word without a letter has none."""
 
     def made(new: list[str]) -> list[bytes]:
         real = [w for w in new if any(map(str.isalpha, w))] if model.labels else []
         row = {}
         for lo in range(0, len(real), 10_000):  # features take some hundred bytes a letter
             part = real[lo : lo + 10_000]
-            row.update(zip(part, _even(model.scores(_grams(part), model.held(part))).astype("<f4"), strict=True))
+            grams = _grams(part)
+            row.update(zip(part, np.hstack([_even(model.scores(grams, model.held(part))), model.familiar(grams, len(part))]).astype("<f4"), strict=True))
         return [row[w].tobytes() if w in row else b"" for w in new]
 
     return Known(made, 200_000)
 
 
-def predict(docs: DataFrame, model: Model, at_once: int = 400_000) -> DataFrame:
-    """doc_id, lang_pred, score: a row for each row of docs(doc_id, text), from the whole text alone.
+_PREDICTED = "doc_id long, lang_pred string, score double, familiarity double"
 
-    score is the share of the words' probability that the language has.  A null text, one
-    without a letter, and any text if the model knows no language, is `und` with score 0.
-    Equal shares go to the language that sorts first.  Columns other than doc_id and text
-    are not read; the order of rows, repeated rows and null doc_ids are kept as they are.
+
+def predict(docs: DataFrame, model: Model, at_once: int = 400_000) -> DataFrame:
+    """doc_id, lang_pred, score, familiarity: a row for each row of docs(doc_id, text), from the whole text alone.
+
+    score is the share of the words' probability that the language has; familiarity the
+    mean share of a word's features that training words have, of the languages the word
+    may be of.  A null text, one
+    without a letter, and any text if the model knows no language, is `und` with 0 for
+    both.  Equal shares go to the language that sorts first.  Columns other than doc_id
+    and text are not read; the order of rows, repeated rows and null doc_ids are kept as
+    they are; an empty table gives no rows.
     """
 
     def label(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _table(model)
         for b in parts:
-            name, score = _labelled(model, b.column("text").to_pylist(), known, at_once)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([*model.labels, UNKNOWN]).take(pa.array(name)), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            name, score, familiar = _labelled(model, b.column("text").to_pylist(), known, at_once)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([*model.labels, UNKNOWN]).take(pa.array(name)), pa.array(score), pa.array(familiar)], ["doc_id", "lang_pred", "score", "familiarity"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(label, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(label, _PREDICTED)
 
 
-def keep(docs: DataFrame, model: Model, least: float, at_once: int = 400_000) -> DataFrame:
-    """The rows of docs whose text has a letter and whose leading language has at least that share; all columns stay, nothing is shuffled."""
+def thresholds(docs: DataFrame, model: Model, rows: int = 150, low: float = 0.01, margin: tuple[float, float] = (0.5, 0.6), at_once: int = 400_000) -> tuple[float, float]:
+    """(least score, least familiarity) of a text that is accepted, from labelled docs(text, lang) that the model wasn't fitted on.
+
+    Each is `margin` of the value that a share `low` of those rightly labelled falls short
+    of, by at most `rows` of them a language.  Without labelled rows nothing is known to
+    reject by, and both are 0.
+    """
+    got = sample(docs, rows).orderBy("lang", "text").collect()
+    if not got or not model.labels:
+        return 0.0, 0.0
+    name, score, familiar = _labelled(model, [r.text for r in got], _table(model), at_once)
+    right = np.array([n < len(model.labels) and model.labels[n] == r.lang for n, r in zip(name.tolist(), got, strict=True)])
+    if not right.any():
+        return 0.0, 0.0
+    return margin[0] * float(np.quantile(score[right], low)), margin[1] * float(np.quantile(familiar[right], low))
+
+
+def keep(docs: DataFrame, model: Model, least: tuple[float, float], at_once: int = 400_000) -> DataFrame:
+    """The rows of docs(text) whose text has a letter and whose leading language has at least that score and familiarity.
+
+    All columns stay, whatever their names; nothing is shuffled; null texts go; equal rows
+    stay or go together; an empty table gives no rows.  A model without languages gives
+    every text 0 for both.
+    """
 
     def kept(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _table(model)
         for b in parts:
-            name, score = _labelled(model, [t or "" for t in b.column("text").to_pylist()], known, at_once)
-            yield b.filter(pa.array((name < len(model.labels)) & (score >= least)))
+            _, score, familiar = _labelled(model, b.column("text").to_pylist(), known, at_once)
+            yield b.filter(pa.array((score >= least[0]) & (familiar >= least[1])))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(kept, docs.schema)
 
 
 def identify(docs: DataFrame, rows: int = 150) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: learned from the labelled documents whose crc32(doc_id as text) mod 3 is not 1, for all."""
+    """doc_id, held_out, lang_pred, score, familiarity of every row of docs(doc_id, text, lang).
+
+    Learned from the labelled documents whose crc32(doc_id as text) mod 3 is not 1 (a null
+    doc_id counts as empty text).  Nulls, empty texts and tables, repeated rows and other
+    columns as in predict; a null lang teaches nothing.
+    """
     held = crc_mod(F.col("doc_id"), 3) == 1
-    return predict(docs, train(docs.where(~held), rows)).withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs, train(docs.where(~held), rows)).withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score", "familiarity")

@@ -43,22 +43,58 @@ COUNTRIES = "AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|GR|HU|IE|IT|LU|NL|NO|PL|PT|SE"
 ROUNDS = 15
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: an expression that a lambda uses is computed anew for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column, start: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each place of the array the op of start and all values before it.
+
+    In blocks of about the square root of the array's length, as appending copies what is
+    there: n values take n ** 1.5 small steps, not n * n.
+    """
+
+    def scan(part: Column, first: Column) -> Column:
+        state = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(part, state, lambda s, x: F.struct(op(s["at"], x).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
+
+    def blocked(v: Column) -> Column:
+        width = F.greatest(F.lit(8), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(v) - 1), width), lambda i: F.slice(v, i + 1, width))
+        firsts = lambda parts: scan(F.transform(parts, lambda b: F.aggregate(b, start, lambda a, x: op(a, x))), start)
+        return _let(blocks, lambda parts: F.flatten(F.zip_with(parts, firsts(parts), scan)))
+
+    return _let(values, blocked)
+
+
+_LOW = (1 << 32) - 1
+_FOUND = "array<struct<start:int,end:int,hit:string,left:string,from:int,to:int>>"
+
+
 def _find(text: Column, pattern: str, maybe: Column) -> Column:
-    """All matches as array<struct<start, end, hit, left>>, in code points; left: up to 24 characters before it and after the last match.
+    """All matches as array<struct<start, end, hit, left, from, to>>: start and end in code points, from and to in bytes; left: up to 24 characters before it and after the last match.
 
     The pieces between the matches and the matches, turn by turn, give the places.
     """
-    none = F.array().cast("array<struct<start:int,end:int,hit:string,left:string>>")
-    turns = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    none = F.array().cast(_FOUND)
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.char_length(x["0"])
-        end = start + F.char_length(x["1"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["1"].alias("hit"), F.right(x["0"], F.lit(24)).alias("left"))
-        return F.when(x["1"].isNull(), state).otherwise(F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out")))
+    def both(c: Column) -> Column:
+        """The length in bytes above, that in code points below: one sum adds up both."""
+        return F.shiftleft(F.octet_length(c).cast("long"), 32) + F.char_length(c)
 
-    named = F.transform(turns, lambda x: F.struct(x["gap"].alias("0"), x["hit"].alias("1")))
-    return F.when(maybe, F.aggregate(named, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])).otherwise(none)
+    def placed(gaps: Column, hits: Column) -> Column:
+        starts = _before(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: both(g) + both(h)), F.lit(0).cast("long"), lambda a, x: a + x)
+
+        def span(h: Column, gap: Column, at: Column) -> Column:
+            first, last = at + both(gap), at + both(gap) + both(h)
+            low, high = (lambda x: x.cast("int")), (lambda x: F.shiftright(x, 32).cast("int"))
+            return F.struct(low(first.bitwiseAND(_LOW)).alias("start"), low(last.bitwiseAND(_LOW)).alias("end"), h.alias("hit"), F.right(gap, F.lit(24)).alias("left"), high(first).alias("from"), high(last).alias("to"))
+
+        return _let(starts, lambda at: F.transform(hits, lambda h, i: span(h, gaps[i], at[i])))
+
+    some = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) == 0, none).otherwise(_let(F.split(text, pattern, -1), lambda gaps: placed(gaps, hits))))
+    return F.when(maybe, some).otherwise(none)
 
 
 def _digits(hit: Column) -> Column:
@@ -73,24 +109,25 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
 def _votes(kind: int, hit: Column, left: Column) -> Column:
     digits = _digits(hit)
     n = F.length(digits)
+    # Only the expressions of the kind at hand are built.
     form = (
-        hit.rlike(r"^[A-Za-z0-9][^@]*@[^@]*\.[A-Za-z]{2,}$"),
-        ~hit.rlike(r"(?:^|\.)0[0-9]"),
-        n.between(13, 16) & digits.rlike("^(?:3[47]|4|5[1-5]|2[2-7]|6)"),
-        n.between(10, 15) & ~digits.rlike(r"^(.)\1*$"),
-        F.length(hit).between(16, 128) & hit.rlike("[0-9]") & hit.rlike("[A-Za-z]"),
-        ~hit.rlike("^(?:000|666|9)"),
-        F.length(F.replace(hit, F.lit(" "))).between(15, 34),
-    )[kind]
+        lambda: hit.rlike(r"^[A-Za-z0-9][^@]*@[^@]*\.[A-Za-z]{2,}$"),
+        lambda: ~hit.rlike(r"(?:^|\.)0[0-9]"),
+        lambda: n.between(13, 16) & digits.rlike("^(?:3[47]|4|5[1-5]|2[2-7]|6)"),
+        lambda: n.between(10, 15) & ~digits.rlike(r"^(.)\1*$"),
+        lambda: F.length(hit).between(16, 128) & hit.rlike("[0-9]") & hit.rlike("[A-Za-z]"),
+        lambda: ~hit.rlike("^(?:000|666|9)"),
+        lambda: F.length(F.replace(hit, F.lit(" "))).between(15, 34),
+    )[kind]()
     known = (
-        _vote(hit.rlike(rf"(?i)(?:\.|dot.? ?)(?:{DOMAINS})$")),
-        _vote(~hit.rlike(r"^(?:0|127|255|22[4-9]|23[0-9])\.")),
-        _vote(digits.rlike("^[3456]"), digits.rlike("^[0789]")),
-        _vote(hit.startswith("+") & digits.rlike(f"^(?:{CALLING})"), hit.startswith("+")),
-        _vote(hit.rlike("^(?:[0-9a-f]{32,}|[A-Z0-9]{20,}|[A-Za-z0-9+/_=-]{24,})$"), F.length(hit) < 12),
-        F.lit(-1),
-        _vote(hit.rlike(f"^(?:{COUNTRIES})")),
-    )[kind]
+        lambda: _vote(hit.rlike(rf"(?i)(?:\.|dot.? ?)(?:{DOMAINS})$")),
+        lambda: _vote(~hit.rlike(r"^(?:0|127|255|22[4-9]|23[0-9])\.")),
+        lambda: _vote(digits.rlike("^[3456]"), digits.rlike("^[0789]")),
+        lambda: _vote(hit.startswith("+") & digits.rlike(f"^(?:{CALLING})"), hit.startswith("+")),
+        lambda: _vote(hit.rlike("^(?:[0-9a-f]{32,}|[A-Z0-9]{20,}|[A-Za-z0-9+/_=-]{24,})$"), F.length(hit) < 12),
+        lambda: F.lit(-1),
+        lambda: _vote(hit.rlike(f"^(?:{COUNTRIES})")),
+    )[kind]()
     context = _vote(left.rlike(rf"(?i)(?:^|[^a-z])(?:{CUES[kind]})[^a-z]*$"), left.rlike(rf"(?i)(?:^|[^a-z])(?:{AGAINST})[^a-z]*$"))
     boundary = _vote(~left.rlike(r"[\p{L}\p{N}]$"))
     return F.array(_vote(form), known, context, boundary)
@@ -105,7 +142,7 @@ def _features(kind: int, hit: Column, left: Column, votes: Column) -> Column:
 
 
 def _spans(text: Column) -> Column:
-    """array<struct<start, kind, end, base, votes, features>> of all proposed spans, by start, then kind."""
+    """array<struct<start, kind, end, base, votes, features, from, to>> of all proposed spans, by start, then kind."""
     digit = text.rlike("[0-9]")
 
     def named(found: Column, kind: int, base: bool, keep: Callable[[Column], Column] | None = None) -> Column:
@@ -113,14 +150,14 @@ def _spans(text: Column) -> Column:
 
         def one(x: Column) -> Column:
             votes = _votes(kind, x["hit"], x["left"])
-            return F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), F.lit(base).alias("base"), votes.alias("votes"), _features(kind, x["hit"], x["left"], votes).alias("features"))
+            return F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), F.lit(base).alias("base"), votes.alias("votes"), _features(kind, x["hit"], x["left"], votes).alias("features"), x["from"].alias("from"), x["to"].alias("to"))
 
         return F.transform(found, one)
 
     def value(x: Column) -> Column:
         """A secret's value, without the name and sign that lead to it, which count as its left."""
         lead = F.regexp_extract(x["hit"], SECRET_NAME, 0)
-        return F.struct((x["start"] + F.char_length(lead)).alias("start"), x["end"].alias("end"), F.substr(x["hit"], F.char_length(lead) + 1).alias("hit"), F.right(lead, F.lit(24)).alias("left"))
+        return F.struct((x["start"] + F.char_length(lead)).alias("start"), x["end"].alias("end"), F.substr(x["hit"], F.char_length(lead) + 1).alias("hit"), F.right(lead, F.lit(24)).alias("left"), (x["from"] + F.octet_length(lead)).alias("from"), x["to"].alias("to"))
 
     base = F.concat(
         named(_find(text, EMAIL, text.contains("@")), 0, True),
@@ -144,9 +181,19 @@ def _card(hit: Column) -> Column:
 
 
 def _free(spans: Column) -> Column:
-    """The base spans and those of the others that no base span overlaps."""
-    base = F.filter(spans, lambda s: s["base"])
-    return F.filter(spans, lambda s: s["base"] | ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    """The base spans and those of the others that no base span overlaps.
+
+    By start, a span overlaps an earlier base span if the furthest end of those is past its
+    start, and a later one if the nearest start of those is before its end.
+    """
+    far = F.lit(1 << 40)
+
+    def apart(all_: Column) -> Column:
+        ends = _before(F.transform(all_, lambda s: F.when(s["base"], s["end"]).otherwise(-1).cast("long")), F.lit(-1).cast("long"), F.greatest)
+        starts = F.reverse(_before(F.transform(F.reverse(all_), lambda s: F.when(s["base"], s["start"]).otherwise(far)), far, F.least))
+        return _let(ends, lambda e: _let(starts, lambda n: F.filter(all_, lambda s, i: s["base"] | ((e[i] <= s["start"]) & (n[i] >= s["end"])))))
+
+    return _let(spans, lambda all_: F.when(F.exists(all_, lambda s: ~s["base"]) & F.exists(all_, lambda s: s["base"]), apart(all_)).otherwise(all_))
 
 
 def _real(prior: Column, right: Column, wrong: Column, kind: Column, votes: Column) -> Column:
@@ -185,13 +232,19 @@ def _reliabilities(patterns: DataFrame) -> tuple[list[float], list[float], list[
     return state.prior, state.right, state.wrong
 
 
-def train(docs: DataFrame) -> dict:
+def proposed() -> Column:
+    """The spans that count as proposed in the column text, without nulls; building so large an expression takes seconds, so it is done once a query."""
+    return _free(_spans(F.col("text")))
+
+
+def train(docs: DataFrame, spans: Column | None = None) -> dict:
     """What is learned from all spans proposed in docs(text): reliabilities, and the classifier's log odds of kinds and features.
 
     The only rows that reach the driver are one of reliabilities and one for each kind and feature.
     """
-    spans = docs.select(F.explode(_free(_spans(F.coalesce("text", F.lit(""))))).alias("s")).select("s.kind", "s.votes", "s.features")
-    seen = cut(spans.groupBy("kind", "votes", "features").agg(F.count("*").alias("n")))
+    spans = proposed() if spans is None else spans
+    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.explode(spans).alias("s")).select("s.kind", "s.votes", "s.features")
+    seen = cut(found.groupBy("kind", "votes", "features").agg(F.count("*").alias("n")))
     prior, right, wrong = _reliabilities(seen.groupBy("kind", "votes").agg(F.sum("n").alias("n")))
     real = _real(F.lit(prior), F.lit(right), F.lit(wrong), F.col("kind"), F.col("votes"))
     soft = seen.select("kind", "features", (F.col("n") * real).alias("t"), (F.col("n") * (1 - real)).alias("f"))
@@ -204,28 +257,29 @@ def train(docs: DataFrame) -> dict:
     return {"prior": prior, "right": right, "wrong": wrong, "odds": odds}
 
 
-def decided(text: Column, model: dict) -> Column:
-    """array<struct<start, kind, end, base, score>> of the spans that count, by start, then kind; score is the classifier's probability."""
+def decided(spans: Column, model: dict) -> Column:
+    """array<struct<start, kind, end, base, score, from, to>> of the proposed spans that count, by start, then kind; score is the classifier's probability."""
     odds = F.create_map(*(x for k, v in sorted(model["odds"].items()) for x in (F.lit(k), F.lit(v)))) if model["odds"] else F.create_map(F.lit(""), F.lit(0.0))
 
     def scored(s: Column) -> Column:
         known = F.transform(F.array_append(s["features"], F.concat(s["kind"].cast("string"), F.lit(":all"))), lambda f: F.coalesce(F.try_element_at(odds, f), F.lit(0.0)))
         score = 1 / (1 + F.exp(-F.aggregate(known, F.lit(0.0), lambda a, x: a + x)))
-        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"), score.alias("score"))
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"), score.alias("score"), s["from"].alias("from"), s["to"].alias("to"))
 
-    return F.filter(F.transform(_free(_spans(text)), scored), lambda s: s["base"] | (s["score"] >= 0.5))
+    return F.filter(F.transform(spans, scored), lambda s: s["base"] | (s["score"] >= 0.5))
 
 
 def find_pii(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """doc_id, spans (array<struct<start, kind, end, base, score>>; kind an index into KINDS), a row for each row of docs.
+    """doc_id, spans (array<struct<start, kind, end, base, score, from, to>>; kind an index into KINDS), a row for each row of docs.
 
-    Places are code points, the end exclusive.  A null text counts as empty and has no
+    start and end are code points, from and to bytes of UTF-8, both ends exclusive.  A null text counts as empty and has no
     spans; a null doc_id stays null; repeated rows give equal rows.  Without a model, one
     is trained on docs; an empty table trains the first estimates.  Columns other than
     doc_id and text are not read.
     """
-    model = model or train(docs)
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", decided(F.col("text"), model).alias("spans"))
+    spans = proposed()
+    model = model or train(docs, spans)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", decided(spans, model).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -235,13 +289,22 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """docs with every span in text replaced by its kind in brackets; spans that overlap become one.  A null text stays null."""
-    model = model or train(docs)
+    """docs with every span in text replaced by its kind in brackets; spans that overlap become one, of the kind of the first.
+
+    A null text stays null and an empty one empty; repeated rows give equal rows; all other
+    columns stay, whatever their names; an empty table gives no rows.
+    """
+    spans = proposed()
+    model = model or train(docs, spans)
     text = F.col("text")
 
-    def step(state: Column, s: Column) -> Column:
-        apart = F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.concat(F.lit("["), F.upper(F.array(*map(F.lit, KINDS))[s["kind"]]), F.lit("]")))).alias("out"))
-        return F.when(s["start"] >= state["at"], apart).otherwise(F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out")))
+    def clean(spans: Column, ends: Column) -> Column:
+        """The texts before each span and the kinds, turn by turn, and the text after the last."""
+        kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+        piece = lambda at, to: F.substring(text.cast("binary"), (at + 1).cast("int"), (to - at).cast("int")).cast("string")
+        turns = F.transform(spans, lambda s, i: F.when(s["from"] >= ends[i], F.concat(piece(ends[i], s["from"]), kinds[s["kind"]])).otherwise(""))
+        last = F.array_max(F.transform(spans, lambda s: s["to"]))
+        return F.concat(F.array_join(turns, ""), piece(last, F.octet_length(text)))
 
-    clean = F.aggregate(decided(text, model), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1)))
-    return docs.withColumn("text", F.when(text.isNotNull(), clean))
+    found = _let(decided(spans, model), lambda spans: F.when(F.size(spans) == 0, text).otherwise(_let(_before(F.transform(spans, lambda s: s["to"].cast("long")), F.lit(0).cast("long"), F.greatest), lambda ends: clean(spans, ends))))
+    return docs.withColumn("text", F.when(text.isNotNull(), found))

@@ -10,13 +10,14 @@ they pass the distance, or takes a whole group once they cannot.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from recordweave.llm.common import cut
 from recordweave.llm.components import components
@@ -206,32 +207,78 @@ def links(codes: DataFrame, distance: int = 4, largest: int = 4_000) -> DataFram
     return met.mapInArrow(linked, "a long, b long")
 
 
+def _grouped(docs: DataFrame, distance: int, width: int) -> DataFrame:
+    """doc_id, key (the fingerprint), component (the smallest fingerprint reachable), component_id, a row for each row of docs."""
+    fps = cut(fingerprints(docs, width))
+    codes = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
+    comp = components(links(codes.select("fp", F.col("fp").alias("rep")), distance))
+    named = codes.join(comp, codes.fp == comp.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = fps.join(named.join(least, "component").select("fp", "component", "component_id"), "fp", "left")
+    known = F.col("doc_id").isNotNull()
+    return found.select("doc_id", F.col("fp").alias("key"), F.when(known, F.col("component")).alias("component"), F.when(known, F.col("component_id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id (the smallest doc_id reachable), a row for each row of docs.
 
-    A null text counts as empty; without words the fingerprint is zero, linked like any
-    other.  Rows of a null doc_id have a null component_id and link nothing.  Repeated
-    rows share their row's component.  An empty table gives no rows; columns other than
-    doc_id and text are not read.  Copies meet as one fingerprint, so a group of any size
-    costs one row from each task; no pairs are made.
+    What is linked are fingerprints: a doc_id that comes with several texts has a row, and
+    maybe a component, for each of them, and does not join them.  A null text counts as
+    empty; without words the fingerprint is zero, linked like any other.  Rows of a null
+    doc_id have a null component_id and link nothing.  Repeated rows share their row's
+    component.  An empty table gives no rows; columns other than doc_id and text are not
+    read.  Copies meet as one fingerprint, so a group of any size costs one row from each
+    task; no pairs are made.
     """
-    fps = cut(fingerprints(docs, width))
-    codes = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    comp = components(links(codes, distance))
-    named = codes.join(comp, codes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return _grouped(docs, distance, width).select("doc_id", F.lpad(F.lower(F.hex("key")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id; rows of a null doc_id stay, a repeated doc_id stays once."""
-    return first_of(docs, near_duplicates(docs, distance, width))
+    """One document of each component of near_duplicates: that with the smallest doc_id, and of several under it that with the smallest fingerprint.
+
+    Rows of a null doc_id stay; equal rows stay once; a text under a repeated doc_id goes
+    only if its own component has another document that stays.
+    """
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return with_key(rows, lambda t: np.uint64(fingerprint(t, width)).astype(np.int64))
+
+    return first_of(docs, _grouped(docs, distance, width), keyed)
 
 
-def first_of(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """keep_one by the components found (doc_id, component_id)."""
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+def with_key(rows: DataFrame, key: Callable[[str], int]) -> DataFrame:
+    """rows with the column _key, a long made from each text; a null text counts as empty."""
+    schema = StructType([*rows.schema.fields, StructField("_key", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("_key", pa.array([int(key(t or "")) for t in b.column("text").to_pylist()], pa.int64()))
+
+    return rows.mapInArrow(run, schema)
+
+
+#: So many ids, 40 bytes each, are broadcast at most; beyond that the join shuffles.
+FEW = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is among the distinct ids(doc_id), which are kept and counted first: few enough are broadcast, so no text moves."""
+    ids = cut(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def first_of(docs: DataFrame, found: DataFrame, keyed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs that stay of the components found (doc_id, key, component, component_id); keyed adds the column _key to rows of docs.
+
+    Where every doc_id occurs once, documents other than their component's smallest go.
+    Rows of repeated ids are told apart by their keys.
+    """
+    known = found.where("doc_id is not null")
+    twice = cut(known.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if twice.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+        return without(docs, known.where("doc_id <> component_id").select("doc_id"))
+    first = known.where("doc_id = component_id").groupBy("component").agg(F.min("key").alias("_key"), F.min("doc_id").alias("doc_id"))
+    once = without(docs, known.where("doc_id <> component_id").select("doc_id").unionByName(twice).distinct())
+    again = keyed(docs.join(twice, "doc_id", "left_semi").select(docs.columns)).join(first.select("doc_id", "_key").distinct(), ["doc_id", "_key"], "left_semi")
+    number = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.to_json(F.struct(*docs.columns))))
+    return once.unionByName(again.withColumn("_n", number).where("_n = 1").select(docs.columns))

@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer and a reader of what it committed.
 
-Records are ordered by page_id: exact byte counts of id ranges give shard limits, one task
-sorts and writes each shard, and a file is closed once its compressed size passes a limit.
+Records are ordered by page_id and digest: quantiles of the bytes of a sample that hangs on
+the keys alone give the shard limits, so the same rows give the same shards; one task sorts
+and writes each shard, and a file is closed once its compressed size passes a limit.
 Headers and digests are made anew from the rows, so the same rows give the same bytes.  A
 file is written under a temporary name and renamed; the manifest, written by Spark's own
 committer after all tasks have ended, names the files that count.
@@ -19,13 +20,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _NAMESPACE = uuid.UUID("6f0d6a0e-3c0c-5d5c-9f43-0c3f5b9b7a10")
 _MANIFEST = "file string, shard int, number int, records long, bytes long, sha256 string"
 _RECORD = "page_id long, record_id string, target_uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-RANGES = 65_536
+#: About so many keys, of 60 bytes each, are sampled for the shard limits; there are at most an eighth as many shards.
+SAMPLE = 32_768
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -79,35 +81,51 @@ class _File:
         self.records += 1
 
     def commit(self) -> dict:
-        """An earlier attempt at the same task has left the same bytes under the final name, if any."""
+        """What an earlier attempt at the same task has left under the final name are the same bytes: it stays, as the manifest may name it already."""
         self.out.close()
         if self.store.get_file_info(self.path).type != fs.FileType.NotFound:
-            self.store.delete_file(self.path)
-        self.store.move(self.temporary, self.path)
+            self.store.delete_file(self.temporary)
+        else:
+            self.store.move(self.temporary, self.path)
         return {"file": self.name, "shard": self.shard, "number": self.number, "records": self.records, "bytes": self.size, "sha256": self.sha.hexdigest()}
 
 
-def _shards(rows: DataFrame, all_rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """all_rows with their shard, by the bytes of rows, and the number of shards.
+def _key(page_id: Column, digest: Column, url: Column) -> Column:
+    """Text that sorts as (page_id, digest, hash of the url) does, nulls first."""
+    order = F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("1"), order), F.lit("0")), F.hex(digest), F.lpad(F.hex(F.xxhash64(url)), 16, "0"))
 
-    The ids' range is cut into at most RANGES equal parts; the exact bytes of the parts,
-    RANGES numbers at most, are added up in order, and a new shard starts after each
-    shard_bytes.  A null page_id goes to the first shard.
+
+def _limits(rows: DataFrame, shard_bytes: int) -> list[str]:
+    """The keys at which shards begin, but the first: quantiles by bytes of the keys of a sample that hangs on their hashes.
+
+    Rows of one key are one sampled row, however many there are, so that about SAMPLE rows
+    reach the driver at most.
     """
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return all_rows.withColumn("shard", F.lit(0)), 1
-    width = (high - low) // RANGES + 1
-    part = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)), F.lit(0)).cast("int")
-    sums = rows.groupBy(part.alias("part")).agg(F.sum(F.octet_length("payload") + 512).alias("n")).orderBy("part").collect()
-    shard, total, of = 0, 0, []
-    for r in sums:
-        if total and total + r.n > shard_bytes:
-            shard, total = shard + 1, 0
-        total += r.n
-        of.append((r.part, shard))
-    names = rows.sparkSession.createDataFrame(of, "part int, shard int")  # RANGES rows of 8 bytes at most
-    return all_rows.withColumn("part", part).join(F.broadcast(names), "part").drop("part"), shard + 1
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    few = rows.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // SAMPLE))) == 0).groupBy("key").agg(F.sum("size").alias("size")).orderBy("key").collect()
+    shards = min(-(-total // shard_bytes), SAMPLE // 8)
+    step, at, out = sum(r["size"] for r in few) / max(1, shards), 0, []
+    for r in few:
+        if at >= step * (len(out) + 1) and len(out) + 1 < shards:
+            out.append(r.key)
+        at += r["size"]
+    return out
+
+
+def _shard(key: Column, limits: list[str]) -> Column:
+    """How many of the sorted limits are not after the key, by bisection."""
+    if not limits:
+        return F.lit(0)
+    all_ = F.split(F.lit(",".join(limits)), ",")  # folded to one constant array
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        later = F.get(all_, middle) <= key
+        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(later, middle + 1).otherwise(s["low"]).alias("low"), F.when(later, s["high"]).otherwise(middle).alias("high")))
+
+    first = F.struct(F.lit(0).alias("low"), F.lit(len(limits)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(limits).bit_length())), first, halve, lambda s: s["low"])
 
 
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_bytes: int = 16 << 20, date: str = "2000-01-01T00:00:00Z", least: int = 0) -> DataFrame:
@@ -119,15 +137,20 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_
     repeated under the largest page_id are responses all; a null page_id never is one's
     response, and is itself one only if no equal payload has a page_id.  A null url becomes
     urn:page:ID.  An empty table gives an empty manifest.  Other columns are not read.
+
+    Shards of about shard_bytes are ranges of (page_id, digest, url), so neither outlying
+    ids nor many rows of one id or none gather in one; only rows equal in all three do.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("copies")).where("copies > 1").select("digest", "winner")
+    rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("length", F.octet_length("payload"))
+    first = rows.where(F.col("length") >= least).groupBy("digest", "length").agg(F.max("page_id").alias("winner"), F.count("*").alias("copies")).where("copies > 1").select("digest", "length", "winner")
     # A record's response is told by a marker row, which sorts just before it: payloads are shuffled once, to their shard, and for nothing else.
-    markers = rows.select("page_id", "digest").distinct().join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("winner")))
+    markers = rows.select("page_id", "url", "digest", "length").distinct().join(first, ["digest", "length"]).where(~F.col("page_id").eqNullSafe(F.col("winner")))
     both = rows.withColumn("winner", F.lit(None).cast("long")).unionByName(markers, allowMissingColumns=True)
-    placed, shards = _shards(rows, both, shard_bytes)
-    ordered = placed.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("payload").isNotNull(), "url")
+    key = _key(F.col("page_id"), F.col("digest"), F.col("url"))
+    limits = _limits(rows.select(key.alias("key"), (F.col("length") + 512).cast("long").alias("size")), shard_bytes)
+    placed = both.withColumn("shard", _shard(key, limits))
+    ordered = placed.repartitionById(len(limits) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", F.xxhash64("url"), "url", F.col("payload").isNotNull())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt, file, done, marker = TaskContext.get().taskAttemptId(), None, [], {}
@@ -136,7 +159,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_
                 if row["payload"] is None:
                     marker = row
                     continue
-                told = marker and (marker["page_id"], marker["digest"]) == (row["page_id"], row["digest"])
+                told = marker and all(marker[c] == row[c] for c in ("page_id", "digest", "length", "url"))
                 row["refers_to"] = marker["winner"] if told else None
                 if file and (file.shard != row["shard"] or file.size >= file_bytes):
                     done.append(file.commit())
