@@ -27,21 +27,37 @@ _PLACES = (np.arange(8) * 256).astype(np.int64)
 FAN = 16
 
 
-def fingerprint(text: str, width: int = 4) -> int:
-    """The unsigned 64-bit fingerprint: a bit is 1 if over half of the shingles' XXH64 (seed 42) have it."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, and only \x20 and \x09-\x0D part words
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """The XXH64 (seed 42) of each shingle, repeats included; of all words where there are fewer than width; none without words."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     width = min(width, len(words))
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     first, last = (ends - lengths)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    counts, digest = np.zeros((8, 8), np.int64), xxhash.xxh64_intdigest
-    for lo in range(0, len(first), 100_000):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(first[lo : lo + 100_000], last[lo : lo + 100_000], strict=True)], "<u8")
-        counts += np.bincount((h.view(np.uint8).reshape(-1, 8) + _PLACES).ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    return int.from_bytes(np.packbits(2 * counts > len(first), axis=1, bitorder="little").tobytes(), "little")
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(first, last, strict=True)), "<u8", len(first))
+
+
+def majority(h: np.ndarray) -> int:
+    """The unsigned 64-bit fingerprint: a bit is 1 if over half of the hashes have it."""
+    if not len(h):
+        return 0
+    counts = np.zeros((8, 8), np.int64)
+    for lo in range(0, len(h), 100_000):
+        counts += np.bincount((h[lo : lo + 100_000].view(np.uint8).reshape(-1, 8) + _PLACES).ravel(), minlength=2048).reshape(8, 256) @ _BITS
+    return int.from_bytes(np.packbits(2 * counts > len(h), axis=1, bitorder="little").tobytes(), "little")
+
+
+def words_of(text: str) -> list[bytes]:
+    """The words: of bytes, so that A-Z alone are lower-cased, and only \\x20 and \\x09-\\x0D part them."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def fingerprint(text: str, width: int = 4) -> int:
+    """The fingerprint of a text's shingles."""
+    return majority(shingle_hashes(words_of(text), width))
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -267,6 +283,12 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_anti").select(docs.columns)
 
 
+def within(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among the distinct ids(doc_id), by the same way as without."""
+    ids = cut(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi").select(docs.columns)
+
+
 def first_of(docs: DataFrame, found: DataFrame, keyed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of docs that stay of the components found (doc_id, key, component, component_id); keyed adds the column _key to rows of docs.
 
