@@ -28,6 +28,8 @@ WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 18
 LEXICON = 2000
 UNKNOWN = "und"
+#: Words and texts that a task labels at once.
+AT_ONCE, TEXTS = 150_000, 500
 
 
 def words_of(text: str) -> list[str]:
@@ -167,30 +169,52 @@ def fit(texts: list[str], langs: list[str], steps: int = 12, stay: float = 3.0)
 
 
 def sample(docs: DataFrame, rows: int = 150) -> DataFrame:
-    """lang, text of at most `rows` distinct texts with a letter for each language, the same for the same rows: those whose hashes come first.
+    """held, lang, text of at most `rows` distinct texts with a letter for each language and value of held, the same for the same rows: those whose hashes come first.
 
     Hashes are ranked before any text moves, and each counts once however many copies it
     has, so that a text copied many times takes one place.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    first = known.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "h")
-    # `rows` hashes a language are broadcast; equal hashes are one text.
-    return known.join(F.broadcast(first), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+    h = F.xxhash64("text").alias("h")
+    rank = F.row_number().over(Window.partitionBy("held", "lang").orderBy("h"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("held", "lang", h).distinct()
+    first = known.withColumn("rank", rank).where(F.col("rank") <= rows).select("held", "lang", "h")
+    # Twice `rows` hashes a language are broadcast; equal hashes are one text.
+    return docs.select("held", "lang", "text", h).join(F.broadcast(first), ["held", "lang", "h"], "left_semi").groupBy("held", "lang", "h").agg(F.min("text").alias("text")).drop("h")
 
 
-def train(docs: DataFrame, rows: int = 150) -> Model:
-    """The field from docs(doc_id, text, lang): `rows` documents a language, the documented bound on what the driver fits it on."""
+def learn(docs: DataFrame, rows: int = 150, low: float = 0.01, margin: tuple[float, float] = (0.5, 0.6)) -> tuple[Model, tuple[float, float]]:
+    """The field, and the least score and familiarity of a text that is accepted, from docs(text, lang, held).
+
+    The field is fitted on the driver on `rows` texts a language of those not held out, the
+    documented bound.  Each threshold is its margin of the value that a share `low` of the
+    rightly labelled held-out texts falls short of, by as many of them.  Without labels
+    nothing is known to reject by, and both are 0.
+    """
     got = sample(docs, rows).orderBy("lang", "text").collect()
+    model = fit([r.text for r in got if not r.held], [r.lang for r in got if not r.held])
+    held = [r for r in got if r.held]
+    if not held or not model.labels:
+        return model, (0.0, 0.0)
+    name, score, familiar = _labelled(model, [r.text for r in held], _table(model), AT_ONCE)
+    right = np.array([n < len(model.labels) and model.labels[n] == r.lang for n, r in zip(name.tolist(), held, strict=True)])
+    if not right.any():
+        return model, (0.0, 0.0)
+    return model, (margin[0] * float(np.quantile(score[right], low)), margin[1] * float(np.quantile(familiar[right], low)))
+
+
+def train(docs: DataFrame, rows: int = 150) -> Model:
+    """The field alone, from docs(text, lang)."""
+    got = sample(docs.select("lang", "text", F.lit(False).alias("held")), rows).orderBy("lang", "text").collect()
     return fit([r.text for r in got], [r.lang for r in got])
 
 
-def _labelled(model: Model, texts: list[str], known: Known, at_once: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _labelled(model: Model, texts: list[str] | pa.Array, known: Known, at_once: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the label, score, familiarity) of each text; the index after the last is UNKNOWN."""
     k = len(model.labels)
     name, score, familiar = np.full(len(texts), k), np.zeros(len(texts)), np.zeros(len(texts))
-    for at in range(0, len(texts), 500):  # the words of so many texts are held at once
-        lists = [words_of(t) for t in texts[at : at + 500]]
+    for at in range(0, len(texts), TEXTS):
+        part = texts[at : at + TEXTS]
+        lists = [words_of(t) for t in (part.to_pylist() if isinstance(part, pa.Array) else part)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         for lo, hi in batches(sizes, at_once):
             look = known.of(lists[lo:hi])
@@ -214,8 +238,8 @@ def _table(model: Model) -> Known:
     def made(new: list[str]) -> list[bytes]:
         real = [w for w in new if any(map(str.isalpha, w))] if model.labels else []
         row = {}
-        for lo in range(0, len(real), 10_000):  # features take some hundred bytes a letter
-            part = real[lo : lo + 10_000]
+        for lo in range(0, len(real), 5_000):  # features take some hundred bytes a letter
+            part = real[lo : lo + 5_000]
             grams = _grams(part)
             row.update(zip(part, np.hstack([_even(model.scores(grams, model.held(part))), model.familiar(grams, len(part))]).astype("<f4"), strict=True))
         return [row[w].tobytes() if w in row else b"" for w in new]
@@ -226,7 +250,7 @@ def _table(model: Model) -> Known:
 _PREDICTED = "doc_id long, lang_pred string, score double, familiarity double"
 
 
-def predict(docs: DataFrame, model: Model, at_once: int = 400_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, at_once: int = AT_ONCE) -> DataFrame:
     """doc_id, lang_pred, score, familiarity: a row for each row of docs(doc_id, text), from the whole text alone.
 
     score is the share of the words' probability that the language has; familiarity the
@@ -241,30 +265,13 @@ def predict(docs: DataFrame, model: Model, at_once: int = 400_000) -> DataFrame:
     def label(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _table(model)
         for b in parts:
-            name, score, familiar = _labelled(model, b.column("text").to_pylist(), known, at_once)
+            name, score, familiar = _labelled(model, b.column("text"), known, at_once)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([*model.labels, UNKNOWN]).take(pa.array(name)), pa.array(score), pa.array(familiar)], ["doc_id", "lang_pred", "score", "familiarity"])
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(label, _PREDICTED)
 
 
-def thresholds(docs: DataFrame, model: Model, rows: int = 150, low: float = 0.01, margin: tuple[float, float] = (0.5, 0.6), at_once: int = 400_000) -> tuple[float, float]:
-    """(least score, least familiarity) of a text that is accepted, from labelled docs(text, lang) that the model wasn't fitted on.
-
-    Each is `margin` of the value that a share `low` of those rightly labelled falls short
-    of, by at most `rows` of them a language.  Without labelled rows nothing is known to
-    reject by, and both are 0.
-    """
-    got = sample(docs, rows).orderBy("lang", "text").collect()
-    if not got or not model.labels:
-        return 0.0, 0.0
-    name, score, familiar = _labelled(model, [r.text for r in got], _table(model), at_once)
-    right = np.array([n < len(model.labels) and model.labels[n] == r.lang for n, r in zip(name.tolist(), got, strict=True)])
-    if not right.any():
-        return 0.0, 0.0
-    return margin[0] * float(np.quantile(score[right], low)), margin[1] * float(np.quantile(familiar[right], low))
-
-
-def keep(docs: DataFrame, model: Model, least: tuple[float, float], at_once: int = 400_000) -> DataFrame:
+def keep(docs: DataFrame, model: Model, least: tuple[float, float], at_once: int = AT_ONCE) -> DataFrame:
     """The rows of docs(text) whose text has a letter and whose leading language has at least that score and familiarity.
 
     All columns stay, whatever their names; nothing is shuffled; null texts go; equal rows
@@ -275,7 +282,7 @@ def keep(docs: DataFrame, model: Model, least: tuple[float, float], at_once: int
     def kept(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _table(model)
         for b in parts:
-            _, score, familiar = _labelled(model, b.column("text").to_pylist(), known, at_once)
+            _, score, familiar = _labelled(model, b.column("text"), known, at_once)
             yield b.filter(pa.array((score >= least[0]) & (familiar >= least[1])))
 
     return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(kept, docs.schema)
