@@ -284,6 +284,7 @@ def keep(docs: DataFrame, model: Model, least: tuple[float, float], at_once: int
         for b in parts:
             _, score, familiar = _labelled(model, b.column("text"), known, at_once)
             yield b.filter(pa.array((score >= least[0]) & (familiar >= least[1])))
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(kept, docs.schema)
 
