@@ -211,7 +211,7 @@ _SCORE = "case when contains(p_type, 'STEEL') and p_size > 25 then 5 when contai
 
 @query(f"select {_SCORE}::int as score, count(*) as n, min(p_partkey) as first_part from part group by 1")
 def ordinal_score(spark, sf_dir):
-    """A score of 1 to 5, first rule that holds."""
+    """A score of 1 to 5, first rule that holds (A2)."""
     steel = F.col("p_type").contains("STEEL")
     score = F.when(steel & (F.col("p_size") > 25), 5).when(steel, 4).when(F.col("p_brand").contains("1"), 3).when(F.col("p_retailprice") > 1000, 2).otherwise(1)
     return table(spark, sf_dir, "part").groupBy(score.alias("score")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))
@@ -263,7 +263,7 @@ def yield_counters(spark, sf_dir):
 @query(f"""with {_YIELD_SQL} select user_id, row_number() over (order by zero_streak >= 3, case when emails > 0 then 0 when searches = 0 then 1 else 2 end,
     -(emails::double / greatest(1, searches)), -(leads::double / greatest(1, searches)), user_id) as rank from y qualify rank <= 100""")
 def yield_rank(spark, sf_dir):
-    """Queries in the order to run next, the first hundred."""
+    """Queries in the order to run next, the first hundred, by two rates; all keys: keyword_order, keyword_ranking."""
     y = _yields(spark, sf_dir)
     order = [F.col("zero_streak") >= 3, F.when(F.col("emails") > 0, 0).when(F.col("searches") == 0, 1).otherwise(2), -text.ratio(F.col("emails"), F.col("searches")), -text.ratio(F.col("leads"), F.col("searches")), F.col("user_id")]
     return y.orderBy(*order).limit(100).select("user_id", _long(F.row_number().over(Window.orderBy(*order))).alias("rank"))
@@ -340,7 +340,7 @@ def circuit_breaker(spark, sf_dir):
 @query("""with g as (select n_nationkey, r_regionkey from nation, region where not (n_nationkey = 0 and r_regionkey = 0))
     select n_nationkey, r_regionkey, row_number() over (order by case when n_nationkey < 6 then 0 else 1 end, n_nationkey + r_regionkey, n_nationkey) as rank from g""")
 def antidiagonal_grid(spark, sf_dir):
-    """Countries and industries in tiers, along anti-diagonals, the current one left out."""
+    """Countries and industries in tiers, along anti-diagonals, the current one left out (a grid by country tiers; by industries: fallback_tiers)."""
     # Two dimension tables of fixed size: the product is the feature.
     g = table(spark, sf_dir, "nation").select("n_nationkey").join(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")), F.lit(True))
     w = Window.orderBy(F.when(F.col("n_nationkey") < 6, 0).otherwise(1), F.col("n_nationkey") + F.col("r_regionkey"), "n_nationkey")
@@ -353,7 +353,7 @@ _SOURCES = [("everywhere", []), ("east", ["ASIA", "MIDDLE EAST"]), ("west", ["AM
 @query(f"""with s(name, regions) as (values {", ".join(f"('{n}', {r!r}::varchar[])" for n, r in _SOURCES)})
     select n_name, name as source from nation join region on n_regionkey = r_regionkey join s on len(regions) = 0 or list_contains(regions, r_name)""")
 def directory_region_join(spark, sf_dir):
-    """Countries by the directories that cover their region."""
+    """Countries by the directories that cover their region (J10, part of G5)."""
     s = spark.createDataFrame(_SOURCES, "source string, regions array<string>").withColumn("r_name", F.explode_outer("regions"))
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     some = n.join(F.broadcast(s.where("r_name is not null")), "r_name").select("n_name", "source")  # as many rows as the constant has regions
@@ -363,7 +363,7 @@ def directory_region_join(spark, sf_dir):
 @query("""with p as (select p_partkey, p_name, n_name, n_nationkey from part join nation on p_partkey % 25 = n_nationkey)
     select p_partkey, unnest(list_distinct([p_name || ' supplier ' || n_name, p_name || ' manufacturer contact', case when p_partkey % 2 = 0 then 'site:example.com ' || p_name else p_name || ' supplier ' || n_name end])) as query_text from p""")
 def query_templates(spark, sf_dir):
-    """Query texts from templates, each once for its part."""
+    """Query texts from templates, each once for its part (part of G2)."""
     p = table(spark, sf_dir, "part").withColumn("n_nationkey", (F.col("p_partkey") % 25).cast("int")).join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
     first = F.concat_ws(" ", "p_name", F.lit("supplier"), "n_name")
     texts = F.array(first, F.concat("p_name", F.lit(" manufacturer contact")), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("site:example.com "), "p_name")).otherwise(first))
@@ -425,13 +425,13 @@ def topk_capacity(spark, sf_dir):
     return o.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(capacity)
 
 
-@query("""select (case when day < 4 then 10 when day < 8 then 20 else 40 end)::int as send_limit, count(*) as n from (select greatest(1, date_diff('day', (select min(ts) from events)::date, ts::date) + 1) as day from events) group by 1""")
+@query("""select (case when day <= 7 then 20 when day <= 14 then 50 else 100 end)::int as send_limit, count(*) as n from (select greatest(1, date_diff('day', (select min(ts) from events)::date, ts::date) + 1) as day from events) group by 1""")
 def running_day_limit(spark, sf_dir):
     """Day since the start and the limit of that day."""
     e = table(spark, sf_dir, "events")
-    start = F.lit(e.agg(F.min("ts")).first()[0]).cast("date")
-    day = F.greatest(F.lit(1), F.date_diff(F.col("ts").cast("date"), start) + 1)
-    return e.groupBy(F.when(day < 4, 10).when(day < 8, 20).otherwise(40).alias("send_limit")).agg(F.count("*").alias("n"))
+    start = e.agg(F.min("ts").cast("date").alias("start"))  # one row
+    day = F.greatest(F.lit(1), F.date_diff(F.col("ts").cast("date"), F.col("start")) + 1)
+    return e.join(F.broadcast(start), F.lit(True)).groupBy(F.when(day <= 7, 20).when(day <= 14, 50).otherwise(100).alias("send_limit")).agg(F.count("*").alias("n"))
 
 
 @query("""select event_type as provider, count(*) as requests, count(distinct user_id) as queries, arg_max(event_id, event_id) as last_event, round(sum(value) / greatest(1, count(*)), 6) as mean_value from events group by 1""")
@@ -449,10 +449,14 @@ def cycle_metrics(spark, sf_dir):
     return e.groupBy(start.alias("cycle_start")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
 
-@query()
+@query("""with b as (select event_type, count(*) as n from events group by 1)
+    select 'events: ' || sum(n) as line from b union all select 'most frequent: ' || arg_min(event_type, lpad((1000000000000 - n)::varchar, 15, '0') || event_type) from b union all select event_type || ': ' || n from b""")
 def daily_report(spark, sf_dir):
     """The run report as text lines."""
     e = table(spark, sf_dir, "events")
     by = e.groupBy("event_type").agg(F.count("*").alias("n"))
-    top = by.agg(F.sum("n").alias("total"), F.max_by("event_type", "n").alias("best"), F.array_sort(F.collect_list(F.concat_ws(": ", "event_type", F.col("n").cast("string")))).alias("lines"))  # one line for each event type
+    top = by.agg(F.sum("n").alias("total"), F.min_by("event_type", F.struct(-F.col("n"), "event_type")).alias("best"), F.array_sort(F.collect_list(F.concat_ws(": ", "event_type", F.col("n").cast("string")))).alias("lines"))  # one line for each event type
     return top.select(F.explode(F.concat(F.array(F.format_string("events: %d", "total"), F.format_string("most frequent: %s", "best")), "lines")).alias("line"))
+
+
+from recordweave.plans import prospects as _prospects  # noqa: E402, F401  (registers its queries here)
