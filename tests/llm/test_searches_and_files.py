@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import oracle
@@ -11,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recordweave.llm import ann, langid, pii, queries, simhash, topk, warc
-from recordweave.llm.common import crc_mod, new_folder, read
+from recordweave.llm import ann, pii, queries, topk, warc
+from recordweave.llm.common import new_folder, read, tokenizer_path
 from recordweave.llm.components import components
 
 
@@ -103,18 +104,71 @@ def test_components_of_paths_and_stars(spark):
     assert {r.node: r.component for r in got} == {x: find(x) for x in list(up)}
 
 
-def test_pipeline_equals_its_parts(spark, sf):
+def test_ann_prunes_clustered_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((150, 24))[rng.integers(0, 150, 12_000)] + 0.2 * rng.standard_normal((12_000, 24))
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    shares, plain = [], ann.budget_share
+    monkeypatch.setattr(ann, "budget_share", lambda *a: shares.append(plain(*a)) or shares[-1])
+    got = collections.defaultdict(set)
+    for r in ann.nearest(frame).collect():
+        got[r.query_id].add(r.vec_id)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for i in range(0, 12_000, 50):
+        s = x @ x[i]
+        s[i] = -9
+        hit += len(got[i] & set(np.argpartition(-s, 5)[:5].tolist()))
+    assert shares[0] < 0.5 and hit >= 0.9 * 5 * 240
+
+
+def test_warc_shards_of_outlying_null_and_negative_ids(spark):
+    rows = [(i, "u", hashlib.sha256(str(i).encode()).hexdigest()) for i in range(3000)] + [(2**60, "u", "x"), (-(2**62), "u", "x"), (2**62, "v", "y")] + [(None, "u", str(i) * 9) for i in range(1500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = new_folder(spark, "warc")
+    per = collections.Counter()
+    for r in warc.write_warc(pages, folder, shard_bytes=200_000, file_bytes=50_000).collect():
+        per[r.shard] += r.records
+    assert len(per) > 8 and sum(per.values()) == len(rows) and max(per.values()) < 2 * len(rows) / len(per)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_warc(spark, folder, payloads=False).where("page_id is not null").collect()}
+    assert got[-(2**62)] == ("revisit", 2**60) and got[2**60] == ("response", None) and len(got) == 3003
+
+
+def test_pipeline_equals_plain_python(spark, sf):
+    """Junk goes, groups are those of all pairs, no base span stays, and pieces are the library's ids without a gap."""
+    from test_near_copies import plain_groups
+    from tokenizers import Tokenizer
+
+    junk = {9_000_001: "xqzt wvkj pqrx zzkf jjqw", 9_000_002: "日本語のテキストです、これは文です", 9_000_003: "Это русский текст о погоде и людях", 9_000_004: None, 9_000_005: " 123 "}
     docs = read(spark, sf, "documents")
+    first = docs.first()
+    more = [(i, t, None, "s", 0) for i, t in junk.items()] + [(None, first.text, None, None, None), (first.doc_id, first.text, first.lang, first.source, first.n_chars)]
+    frames = [docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumn("key", F.lit("clash"))]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "redact_pii", "pack"]
-    frames = [docs]
     for _, stage in corpus_pipeline.STAGES:
         frames.append(spark.createDataFrame(stage(spark, frames[-1], sf).toArrow()))
-    assert all(f.columns == docs.columns for f in frames[:-1])
-    pred = langid.predict(docs, langid.train(docs.where(crc_mod(F.col("doc_id"), 3) != 1)))
-    assert {r.doc_id for r in frames[1].collect()} == {r.doc_id for r in pred.where("lang_pred <> 'und' and score >= 0.34").collect()}
-    assert {r.doc_id for r in frames[2].collect()} == {r.component_id for r in simhash.near_duplicates(frames[1]).collect()}
-    assert {r.doc_id for r in frames[3].collect()} == {r.doc_id for r in frames[4].collect()} == {r.doc_id for r in frames[2].collect()}
+    assert all(f.columns == frames[0].columns for f in frames[:-1])
+    rows = [[(r.doc_id, r.text) for r in f.select("doc_id", "text").collect()] for f in frames[1:4]]
+    assert sorted(x[0] or 0 for x in rows[0]) == sorted([r.doc_id for r in docs.select("doc_id").collect()] + [0, first.doc_id])
+    want = plain_groups([x for x in rows[0] if x[0] is not None])
+    assert sorted(x[0] or 0 for x in rows[1]) == sorted({*want.values()} | {0})
+    assert sorted(x[0] or 0 for x in rows[2]) == sorted(x[0] or 0 for x in rows[1])
     assert frames[3].where(F.col("text").rlike(pii.EMAIL)).count() == 0
-    # Where a document lies depends on the order of the partitions; what is packed does not.
-    whole = lambda f: sorted((r.doc_id, r.doc_tokens, r.n) for r in f.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).collect())
-    assert whole(corpus_pipeline.run(spark, sf)) == whole(frames[4])
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    pieces, at = collections.defaultdict(dict), {}
+    for r in frames[4].collect():
+        pieces[r.doc_id][r.start] = (r.length, r.ids_crc32, r.doc_tokens)
+        assert at.setdefault((r.sequence_id, r.offset), r.length) == r.length
+    for i, text in rows[2]:
+        ids, done = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4"), 0
+        for start, (n, crc, total) in sorted(pieces[i].items()):
+            assert start == done and total == len(ids) and zlib.crc32(ids[start : start + n].tobytes()) == crc
+            done += n
+        assert done == len(ids)
+
+
+def test_pipeline_of_an_empty_table(spark, sf):
+    docs = read(spark, sf, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert docs.count() == 0

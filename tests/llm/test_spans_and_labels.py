@@ -103,3 +103,21 @@ def test_more_spans_and_redaction(private):
     assert one[90303] == "phone:2:19,phone:23:37" and one[90304] == "secret:9:49"
     clean = {r.doc_id: r.text for r in pii.redact(private.where("doc_id is null or doc_id in (90303, 90304, 99999)"), model).collect()}
     assert clean == {90303: "é [PHONE] or [PHONE]", 90304: 'token = "[SECRET]"', 99999: None, None: "[EMAIL]"}
+
+
+def test_a_text_of_many_matches_takes_seconds(private, spark):
+    import time
+
+    model = pii.train(private)
+    n = 40_000
+    docs = spark.createDataFrame([(1, "é a@b.co " * n), (2, "123-45-6789 a@b.co " * (n // 2)), (3, "x" * 300_000)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find_pii(docs, model).select("doc_id", F.size("spans").alias("n"), F.element_at("spans", -1).alias("last")).where("doc_id < 3").collect()}
+    assert got[1].n == n and (got[1].last.start, got[1].last.end) == (9 * n - 7, 9 * n - 1) and got[2].n >= n // 2
+    assert pii.redact(docs.where("doc_id = 1"), model).first().text == "é [EMAIL] " * n
+    assert time.time() - began < 100
+
+
+def test_copies_take_one_place_of_the_sample(spark):
+    rows = [(i, f"the cat and the dog number {chr(97 + i % 26)}{chr(97 + i // 26)} went out", "en") for i in range(400)] + [(1000 + i, "der hund und die katze gehen aus dem haus", "de") for i in range(4000)]
+    assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).labels == ["de", "en"]

@@ -133,9 +133,18 @@ def test_simhash_equals_brute_force(docs, rows):
     assert all(r.component_id == least[g] for r, g in zip(real, lab.tolist(), strict=True))
     assert [r.component_id for r in got if r.doc_id is None] == [None]
     kept = simhash.keep_one(docs.select("doc_id", "text"))
+    # 90005 comes twice as one text: equal rows stay once.
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(least.values()))
 
 
+def test_repeated_ids_lose_no_text(spark):
+    a, b = "one two three four five six", "quite other words that stand nowhere else here"
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(frame).collect()) == [(0, a), (1, a), (5, b)]
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(frame).collect()) == [(0, 0), (1, 1), (5, 1), (5, 5), (5, 5)]
+
+
 @pytest.mark.parametrize("centres", [1, 7, 300])
 def test_gray_index_equals_all_pairs(centres):
     rng = np.random.default_rng(centres)
@@ -170,3 +179,46 @@ def test_empty_tables(docs):
     path = tokenizer_path("byte_bpe_50k.json")
     assert packing.concat_and_cut(none, path).count() == 0 and token_counts.count_tokens(none, path).count() == 0
     assert simhash.near_duplicates(none).count() == 0 and hmm.score_texts(none, rounds=1).count() == 0
+
+
+def test_one_round_and_scores_equal_enumeration(spark, monkeypatch):
+    """Expected counts of one Baum-Welch round and text scores, over all state paths."""
+    import itertools
+
+    texts = ["a b a", "b c", "", "a c c b", "A b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, plain = {}, hmm.baum_welch
+
+    def caught(encoded, unigram, states, rounds):
+        seen["in"], seen["rows"] = unigram, [np.frombuffer(r.ids, "<u2").tolist() for r in encoded.select("ids").collect()]
+        seen["out"] = plain(encoded, unigram, states, rounds)
+        return seen["out"]
+
+    monkeypatch.setattr(hmm, "baum_welch", caught)
+    got = {r.doc_id: r for r in hmm.score_texts(docs, vocabulary=50, states=2, rounds=1).collect()}
+    m = len(seen["in"])
+    emit = seen["in"][:, None] * (np.random.default_rng(7).gamma(1.0, 1.0, (m, 2)) + 0.01)
+    emit, start, move = emit / emit.sum(0), np.full(2, 0.5), np.full((2, 2), 0.05) + 0.9 * np.eye(2)
+
+    def paths(ids, start, move, emit):
+        for p in itertools.product(range(2), repeat=len(ids)):
+            yield p, start[p[0]] * emit[ids[0], p[0]] * np.prod([move[p[i - 1], p[i]] * emit[ids[i], p[i]] for i in range(1, len(ids))])
+
+    s, t, e = np.full(2, 0.1), np.full((2, 2), 0.1), np.full((m, 2), 0.1)
+    for ids in seen["rows"]:
+        all_ = list(paths(ids, start, move, emit))
+        total = sum(w for _, w in all_)
+        for p, w in all_:
+            s[p[0]] += w / total
+            for i, k in enumerate(p):
+                e[ids[i], k] += w / total
+                if i:
+                    t[p[i - 1], k] += w / total
+    want = s / s.sum(), t / t.sum(1, keepdims=True), e / e.sum(0)
+    assert all(np.abs(a - b).max() < 1e-9 for a, b in zip(seen["out"], want, strict=True))
+    words = sorted({w for i, x in enumerate(texts) if not got[i].held_out for w in x.lower().split()}, key=lambda w: (-sum(x.lower().split().count(w) for i, x in enumerate(texts) if not got[i].held_out), w))
+    number = {w: i for i, w in enumerate(words, 2)}
+    for i, x in enumerate(texts):
+        if all(w in number for w in x.lower().split()):
+            total = sum(w for _, w in paths([number[w] for w in x.lower().split()] + [1], *want))
+            assert abs(got[i].score - math.log10(total)) < 1e-9
