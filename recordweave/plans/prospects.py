@@ -428,7 +428,7 @@ def text_labels(spark, sf_dir):
 
 
 @query(f"""with {_DRAFTS_SQL}, {_SENT_SQL}, l as (select id, company, domain, lower(email) as email, {_MAILBOX_SQL} as mail_host from dr)
-    select id, lower(trim(regexp_replace(company, '\s+', ' ', 'g'))) || '|' || domain as dedupe_key, case when email in ('not found', '') then '' else email end as known_email, email in (select email from sent) as sent,
+    select id, lower(trim(regexp_replace(company, '\\s+', ' ', 'g'))) || '|' || domain as dedupe_key, case when email in ('not found', '') then '' else email end as known_email, email in (select email from sent) as sent,
       case when domain <> '' and domain not in {_in(fixed.FREE)} then domain when domain = '' and mail_host <> '' and mail_host not in {_in(fixed.FREE)} then mail_host else '' end as sent_domain from l""")
 def known_keys(spark, sf_dir):
     """What excludes a record later: dedupe key, known address, sent address, and the domain it was sent to."""
@@ -442,7 +442,7 @@ def known_keys(spark, sf_dir):
     return d.select("id", text.dedupe_key(c("company"), host).alias("dedupe_key"), F.when(c("email").isin("not found", ""), "").otherwise(c("email")).alias("known_email"), F.coalesce("sent", F.lit(False)).alias("sent"), to.alias("sent_domain"))
 
 
-@query(f"""with {_DRAFTS_SQL} select id, lower(substr(company || ': ' || subject, 1, 60)) as subject, len(string_split_regex(trim(replace(body, '/', ' ')), '\s+')) as words, case id % 4 when 0 then 'DE' when 1 then 'GB' when 2 then 'US' else 'US' end as phone_region from dr""")
+@query(f"""with {_DRAFTS_SQL} select id, lower(substr(company || ': ' || subject, 1, 60)) as subject, len(string_split_regex(trim(replace(body, '/', ' ')), '\\s+')) as words, case id % 4 when 0 then 'DE' when 1 then 'GB' when 2 then 'US' else 'US' end as phone_region from dr""")
 def draft_texts(spark, sf_dir):
     """Subjects of at most 60 characters, word counts and phone regions of drafts."""
     country = F.when(F.col("id") % 4 == 0, "Germany").when(F.col("id") % 4 == 1, "UK").when(F.col("id") % 4 == 2, "USA").otherwise("Atlantis")
