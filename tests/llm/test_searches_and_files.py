@@ -149,10 +149,10 @@ def test_pipeline_equals_plain_python(spark, sf):
         frames.append(spark.createDataFrame(stage(spark, frames[-1], sf).toArrow()))
     assert all(f.columns == frames[0].columns for f in frames[:-1])
     rows = [[(r.doc_id, r.text) for r in f.select("doc_id", "text").collect()] for f in frames[1:4]]
-    assert sorted(x[0] or 0 for x in rows[0]) == sorted([r.doc_id for r in docs.select("doc_id").collect()] + [0, first.doc_id])
+    ids = [sorted(-1 if i is None else i for i, _ in x) for x in rows]
+    assert ids[0] == sorted([r.doc_id for r in docs.select("doc_id").collect()] + [-1, first.doc_id])
     want = plain_groups([x for x in rows[0] if x[0] is not None])
-    assert sorted(x[0] or 0 for x in rows[1]) == sorted({*want.values()} | {0})
-    assert sorted(x[0] or 0 for x in rows[2]) == sorted(x[0] or 0 for x in rows[1])
+    assert ids[1] == ids[2] == sorted([*{*want.values()}, -1])
     assert frames[3].where(F.col("text").rlike(pii.EMAIL)).count() == 0
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     pieces, at = collections.defaultdict(dict), {}
