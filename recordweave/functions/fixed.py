@@ -73,3 +73,37 @@ FORM_LABELS, FORM_HREFS = ("contact", "kontakt", "inquiry", "enquiry", "request"
 REGIONS = {"Germany": "DE", "Netherlands": "NL", "Sweden": "SE", "UK": "GB", "United Kingdom": "GB", "France": "FR", "Italy": "IT", "Spain": "ES", "USA": "US", "United States": "US", "Canada": "CA"}
 GERMAN_PATHS, OTHER_PATHS = ("impressum", "kontakt", "legal-notice", "contact"), ("contact", "contact-us", "about", "support")
 SECOND_PATHS = ("about-us", "legal", "company", "team", "sales", "distributors", "partners")
+
+# Discovery and recovery.
+SITE_LABELS = ("website", "homepage", "company site")
+OUTBOUND = ("facebook.com", "instagram.com", "linkedin.com", "twitter.com", "x.com", "youtube.com", "google.com", "bing.com")
+NO_RECOVERY = ("abuse", "privacy", "legal", "cancellation", "noreply", "no-reply", "donotreply", "do-not-reply")
+CITIES = (
+    ("Berlin", "Munich", "München", "Hamburg", "Cologne", "Köln", "Stuttgart", "Düsseldorf", "Dresden", "Leipzig", "Bremen", "Aachen", "Karlsruhe", "Nuremberg", "Nürnberg"),
+    ("Amsterdam", "Eindhoven", "Rotterdam", "Delft", "Utrecht", "Groningen"), ("Stockholm", "Gothenburg", "Göteborg", "Malmö", "Uppsala", "Lund"),
+    ("London", "Cambridge", "Oxford", "Manchester", "Bristol", "Birmingham", "Edinburgh"),
+)
+ROTATING_PRODUCTS = (
+    "battery management system manufacturer", "motor controller manufacturer", "servo drive manufacturer", "industrial controller manufacturer", "PLC manufacturer", "embedded controller manufacturer", "sensor module manufacturer",
+    "industrial camera manufacturer", "machine vision camera manufacturer", "data acquisition system manufacturer", "test measurement equipment manufacturer", "laboratory instrument manufacturer", "medical device electronics manufacturer",
+    "ultrasound device manufacturer", "patient monitor manufacturer", "IVD analyzer manufacturer", "wearable medical device manufacturer", "EV charger manufacturer", "solar inverter manufacturer", "energy storage controller manufacturer",
+    "power electronics manufacturer", "RF module manufacturer", "microwave equipment manufacturer", "GNSS receiver manufacturer", "IoT gateway manufacturer", "edge AI device manufacturer", "industrial PC manufacturer", "FPGA board manufacturer",
+    "AI camera manufacturer", "lidar manufacturer", "radar sensor manufacturer", "access control manufacturer", "security electronics manufacturer", "environmental monitoring device manufacturer", "water quality sensor manufacturer",
+    "industrial printer manufacturer", "RFID reader manufacturer", "barcode scanner manufacturer", "payment terminal manufacturer", "vending machine electronics manufacturer", "audio equipment manufacturer", "professional audio manufacturer",
+    "LED display controller manufacturer", "agricultural electronics manufacturer", "marine electronics manufacturer", "railway signaling equipment manufacturer",
+)
+
+# Headers of imported lists, in lower case.
+MAIL_HEADERS = ("email", "email address", "contact email", "e-mail", "邮箱", "邮箱1", "邮箱2", "邮箱3", "企业邮箱", "企业邮箱1", "企业邮箱2", "企业邮箱3", "联系人邮箱")
+MAIL_HEADER_STARTS = ("邮箱", "企业邮箱")
+HEADERS = {
+    "company_name": ("company name", "company", "name", "公司名称", "公司名称(en)", "公司名称（en）", "展商英文名称", "展商中文名称"),
+    "website": ("website", "company website", "company url", "url", "网站", "官网", "公司官网"),
+    "domain": ("domain", "company domain", "域名", "官网域名"),
+    "contact_person": ("contact person", "contact name", "contact", "联系人", "联系人1", "联系人2"),
+    "country": ("country", "国家", "国家/地区", "国家／地区"),
+    "city": ("city", "城市", "市", "城市/国家"),
+    "industry": ("industry", "行业", "客户领域", "命中领域(全部)", "命中领域（全部）", "应用领域", "产品服务", "产品/服务(摘要)", "产品/服务（摘要）", "产品类别1"),
+    "source_url": ("source url", "source", "source link", "来源url", "来源链接", "数据来源链接"),
+    "notes": ("notes", "note", "remarks", "备注", "判定依据", "展商优势", "展商简介", "公司简介(摘要)", "公司简介（摘要）"),
+}

@@ -421,8 +421,10 @@ def identity_difference(spark, sf_dir):
 def topk_capacity(spark, sf_dir):
     """The best rows up to a capacity that the data sets."""
     o = table(spark, sf_dir, "orders")
-    capacity = max(0, min(50, o.where("o_orderstatus = 'O'").count() // 100))
-    return o.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(capacity)
+    capacity = o.where("o_orderstatus = 'O'").agg(F.greatest(F.lit(0), F.least(F.lit(50), F.floor(F.count("*") / 100))).alias("capacity"))  # one row
+    best = o.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)  # never more than the largest capacity
+    best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")))
+    return best.join(F.broadcast(capacity), F.col("rank") <= F.col("capacity")).select("o_orderkey", "o_totalprice")
 
 
 @query("""select (case when day <= 7 then 20 when day <= 14 then 50 else 100 end)::int as send_limit, count(*) as n from (select greatest(1, date_diff('day', (select min(ts) from events)::date, ts::date) + 1) as day from events) group by 1""")
@@ -460,3 +462,4 @@ def daily_report(spark, sf_dir):
 
 
 from recordweave.plans import prospects as _prospects  # noqa: E402, F401  (registers its queries here)
+from recordweave.plans import discovery as _discovery  # noqa: E402, F401

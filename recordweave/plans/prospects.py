@@ -147,6 +147,7 @@ _LINKS = [
     (-1, "https://a.example/x/y", "<a class=b href='/kontakt'>Kontakt</a> <a href=https://www.linkedin.com/company/a>in</a><A HREF=\"legal\"> Legal <b>notice</b></A> info@a.example boss@other.example"),
     (-2, "https://b.example/", '<a href="/datenschutz">Datenschutz</a><a href="team.html">Team</a><a href="//c.example/jobs">Open jobs</a><a href="/request-form">Ask</a>'),
     (-3, "https://c.example/", "<a href='/enquiry?x=1'>Write</a> no address"), (-4, "https://d.example/", "nothing <a name=x>top</a> <a href='/privacy'>Privacy <i>policy</i>"),
+    (-20, "https://www.kompass.com/c/1", "<a href='https://www.facebook.com/x'>Website</a><a href=\"https://one.example/a\">One</a><a href=https://two.example/b>Company Website</a>"), (-21, "https://www.europages.com/d", '<a href="/home">Homepage</a>'),
 ]
 _ANCHOR_SQL = prospects.ANCHOR
 
