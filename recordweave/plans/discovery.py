@@ -137,7 +137,7 @@ def mail_recovery(spark, sf_dir):
     at = lambda local: F.concat(F.lit(local + "@"), dom)
     offered = F.array(at("noreply"), F.lit("jo@gmx.com"), F.lit("x@other.example"), F.when(F.col("id") % 2 == 0, at("Sales")).otherwise(at("legal")))
     mails = F.transform(offered, F.lower)
-    fit = F.filter(mails, lambda m: prospects.valid_email(m) & ~hosts.mailbox_domain(m).isin(*fixed.FREE) & ~F.split_part(m, F.lit("@"), F.lit(1)).isin(*fixed.NO_RECOVERY) & hosts.attributable(hosts.mailbox_domain(m), dom))
+    fit = F.filter(mails, lambda m: prospects.valid_email(m) & ~hosts.mailbox_domain(hosts.mailbox(m)).isin(*fixed.FREE) & ~F.split_part(m, F.lit("@"), F.lit(1)).isin(*fixed.NO_RECOVERY) & hosts.attributable(hosts.mailbox_domain(hosts.mailbox(m)), dom))
     best = F.try_element_at(fit, F.lit(1))
     return d.select("id", F.coalesce(best, F.lit("Not Found")).alias("email"), F.when(best.isNull(), "Contact Form Only / Manual Email Needed").otherwise("").alias("reason"))
 
@@ -178,3 +178,39 @@ def seed_mails(spark, sf_dir):
     site = F.when(F.col("s_suppkey") % 2 == 0, "").otherwise(F.concat(F.lit("www.my-shop"), key, F.lit(".example/")))
     c = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise("").alias("company_name"), site.alias("website"), F.lit("").alias("domain"), F.array(cell).alias("email"))
     return seeds.mails(c).select("s_suppkey", "email", "domain", "company", "website")
+
+
+@query(f"""with {_DRAFTS_SQL}, first as (select lower(email) as email, arg_min(id, id) as id, arg_min(status, id) as status, arg_min(email_type, id) as email_type from dr where lower(email) not in ('', 'not found') group by 1)
+    select o_orderkey, first.id as draft, coalesce(first.status, '') as status, coalesce(email_type, 'Not Found') as email_type from orders left join first on first.email = 'info@cust' || o_custkey || '.example'""")
+def report_status(spark, sf_dir):
+    """Each report row with the state of the first draft of its address."""
+    d = _drafts(spark, sf_dir).withColumn("email", F.lower("email")).where(~F.col("email").isin("", "not found"))
+    first = d.groupBy("email").agg(F.min(F.struct("id", "status", "email_type")).alias("d"))  # partial minima: a common address is one row a task
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("info@cust"), F.col("o_custkey").cast("string"), F.lit(".example")).alias("email"))
+    return o.join(first, "email", "left").select("o_orderkey", F.col("d.id").alias("draft"), F.coalesce("d.status", F.lit("")).alias("status"), F.coalesce("d.email_type", F.lit("Not Found")).alias("email_type"))
+
+
+@query(f"""with e as (select event_id, event_type, 'u' || user_id || '.example' as domain from events),
+    m as (select *, case event_type when 'click' then 'Info@' || domain when 'signup' then 'jo@sub.' || domain when 'error' then 'x@gmx.de' when 'view' then 'bad@@' || domain else 'sales@' || domain end as email from e),
+    k as (select *, lower(email) as mail, regexp_matches(email, '^[^@]+@[^@]+$') and split_part(email, '@', 2) not in {_in(fixed.FREE)} and {attributable_sql("split_part(email, '@', 2)", "domain")} as ok from m)
+    select domain, coalesce(arg_min(mail, event_id) filter (ok), '') as email, count(*) as offered, count(*) filter (ok) as usable from k group by 1""")
+def enrichment_lookup(spark, sf_dir):
+    """The first usable mailbox that an outside list offers for each domain, and how many it offered (J14; the list is made up of events)."""
+    t, dom = F.col("event_type"), F.col("domain")
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".example")).alias("domain"))
+    at = lambda local: F.concat(F.lit(local), dom)
+    mail = F.lower(F.when(t == "click", at("Info@")).when(t == "signup", at("jo@sub.")).when(t == "error", "x@gmx.de").when(t == "view", at("bad@@")).otherwise(at("sales@")))
+    host = hosts.mailbox_domain(hosts.mailbox(F.col("mail")))  # empty unless it is a mailbox
+    e = e.withColumn("mail", mail).withColumn("ok", prospects.valid_email(F.col("mail")) & ~host.isin(*fixed.FREE) & hosts.attributable(host, dom))
+    best = F.min(F.when(F.col("ok"), F.struct("event_id", "mail")))
+    return e.groupBy("domain").agg(F.coalesce(best["mail"], F.lit("")).alias("email"), F.count("*").alias("offered"), F.count_if("ok").alias("usable"))
+
+
+@query(f"""with d as (select page_id, url, {domain_sql(host_sql("url"))} as domain from pages), f as (select domain, arg_min(url, page_id) as url, min(page_id) as page_id from d where domain <> '' group by 1)
+    select page_id, domain, 'https://' || domain as website, 'Not Found' as email, 'Not Found' as phone, url as source_links, 4 as score from f""")
+def seed_leads(spark, sf_dir):
+    """Results as leads, one for each domain where first seen; what isn't known is a fixed value."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", hosts.registrable_domain(hosts.host(F.col("url"))).alias("domain")).where("domain <> ''")
+    first = p.groupBy("domain").agg(F.min(F.struct("page_id", "url")).alias("p"))
+    unknown = F.lit("Not Found")
+    return first.select("p.page_id", "domain", F.concat(F.lit("https://"), "domain").alias("website"), unknown.alias("email"), unknown.alias("phone"), F.col("p.url").alias("source_links"), F.lit(4).alias("score"))
