@@ -132,7 +132,7 @@ def cities(spark, sf_dir):
     f as (select id, arg_min(lower(raw), pos) as email from m where split_part(raw, '@', 2) not in {_in(fixed.FREE)} and lower(split_part(raw, '@', 1)) not in {_in(fixed.NO_RECOVERY)} and {attributable_sql("split_part(raw, '@', 2)", "domain")} group by 1)
     select c.id, coalesce(f.email, 'Not Found') as email, case when f.email is null then 'Contact Form Only / Manual Email Needed' else '' end as reason from c left join f using (id)""")
 def mail_recovery(spark, sf_dir):
-    """Unsent drafts without an address, and the first mailbox of the company that their pages offer (F5 F22 J13; pages are made up)."""
+    """Unsent drafts without an address, and the first mailbox of the company that their pages offer (F3 F5 F22 J13; pages are made up)."""
     d, dom = _drafts(spark, sf_dir).where((F.col("status") == "") & F.lower("email").isin("", "not found") & (F.col("domain") != "")), F.col("domain")
     at = lambda local: F.concat(F.lit(local + "@"), dom)
     offered = F.array(at("noreply"), F.lit("jo@gmx.com"), F.lit("x@other.example"), F.when(F.col("id") % 2 == 0, at("Sales")).otherwise(at("legal")))
