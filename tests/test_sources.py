@@ -75,3 +75,10 @@ def test_streams(spark, tmp_path):
     assert {r.k for r in ran(keyed.first_seen(stream(), ["k"], "at", "1 day"), "append", "seen")} == {"a", "b"}
     assert {(r.k, r.n, r.found) for r in ran(keyed.counters(stream(), ["k"], ["found"]), "complete", "counted")} == {("a", 3, 0), ("b", 2, 4)}
     assert {(r.k, r.level, r.streak) for r in ran(keyed.growth(stream(), "k", "pos", "found"), "update", "grown")} == {("a", 1, 0), ("b", 0, 1)}
+
+
+def test_log_grows(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    tables.append(spark.range(2), folder)
+    tables.append(spark.range(3), folder)
+    assert sorted(r.id for r in spark.read.parquet(folder).collect()) == [0, 0, 1, 1, 2]
