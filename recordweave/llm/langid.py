@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from recordweave.llm.chain import Chains, batches
 from recordweave.llm.chunks import Known
-from recordweave.llm.common import crc_mod
+from recordweave.llm.common import crc_mod, give_back
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 18
 LEXICON = 2000
 UNKNOWN = "und"
 #: Words and texts that a task labels at once.
-AT_ONCE, TEXTS = 150_000, 500
+AT_ONCE, TEXTS = 100_000, 500
 
 
 def words_of(text: str) -> list[str]:
@@ -192,6 +192,7 @@ def learn(docs: DataFrame, rows: int = 150, low: float = 0.01, margin: tuple[flo
     """
     got = sample(docs, rows).orderBy("lang", "text").collect()
     model = fit([r.text for r in got if not r.held], [r.lang for r in got if not r.held])
+    give_back()
     held = [r for r in got if r.held]
     if not held or not model.labels:
         return model, (0.0, 0.0)
@@ -241,10 +242,11 @@ def _table(model: Model) -> Known:
         for lo in range(0, len(real), 5_000):  # features take some hundred bytes a letter
             part = real[lo : lo + 5_000]
             grams = _grams(part)
-            row.update(zip(part, np.hstack([_even(model.scores(grams, model.held(part))), model.familiar(grams, len(part))]).astype("<f4"), strict=True))
-        return [row[w].tobytes() if w in row else b"" for w in new]
+            both = np.hstack([_even(model.scores(grams, model.held(part))), model.familiar(grams, len(part))]).astype("<f4")
+            row.update(zip(part, map(np.ndarray.tobytes, both), strict=True))
+        return [row.get(w, b"") for w in new]
 
-    return Known(made, 200_000)
+    return Known(made, 100_000)
 
 
 _PREDICTED = "doc_id long, lang_pred string, score double, familiarity double"
@@ -281,10 +283,13 @@ def keep(docs: DataFrame, model: Model, least: tuple[float, float], at_once: int
 
     def kept(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _table(model)
-        for b in parts:
-            _, score, familiar = _labelled(model, b.column("text"), known, at_once)
-            yield b.filter(pa.array((score >= least[0]) & (familiar >= least[1])))
-        pa.default_memory_pool().release_unused()  # workers live on
+        for whole in parts:
+            for lo in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(lo, TEXTS)
+                _, score, familiar = _labelled(model, b.column("text"), known, at_once)
+                yield b.filter(pa.array((score >= least[0]) & (familiar >= least[1])))
+        known.table.clear()
+        give_back()
 
     return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(kept, docs.schema)
 
