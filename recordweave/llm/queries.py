@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordweave.llm import ann, hmm, langid, packing, pieces, pii, simhash, token_counts, topk, warc
+from recordweave.llm import ann, fim, hmm, langid, packing, pieces, pii, simhash, token_counts, topk, warc
 from recordweave.llm.common import new_folder, read, tokenizer_path
 
 
@@ -64,6 +64,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(read(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("form"), F.col("output"))).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_language_id, op3_simhash, op4_pii, op5_ann, op6_hamming_topk, op7_hmm, op8_token_counts, op9_sentencepiece, op10_warc, pipeline)
+    f.__name__: f for f in (op1_packing, op2_language_id, op3_simhash, op4_pii, op5_ann, op6_hamming_topk, op7_hmm, op8_token_counts, op9_sentencepiece, op10_warc, op13_fill_in_middle, pipeline)
 }
 
 ORACLE_SQL = {
@@ -85,4 +91,15 @@ ORACLE_SQL = {
               from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id group by all)
         select query_id, (row_number() over (partition by query_id order by distance, vec_id))::int as rank, vec_id, distance
         from d qualify row_number() over (partition by query_id order by distance, vec_id) <= 10""",
+    "op13_fill_in_middle": r"""
+        with t as (select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(doc_id::varchar, '')) as d,
+                          regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as w from documents),
+        h as (select *, len(w)::bigint as n, ('0x' || d[1:8])::bigint as h1, ('0x' || d[9:16])::bigint as h2, ('0x' || d[17:24])::bigint as h3, ('0x' || d[25:32])::bigint as h4 from t),
+        f as (select *, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain'
+                             when h4 % 100 < 80 then 'spm' else 'psm' end as form,
+                     least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b from h),
+        p as (select *, coalesce(array_to_string(w[1:a], ''), '') as pre, coalesce(array_to_string(w[a + 1:b], ''), '') as mid, coalesce(array_to_string(w[b + 1:n], ''), '') as suf from f)
+        select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+               sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+               sha256(text) as restored_sha256 from p""",
 }
