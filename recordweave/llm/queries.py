@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordweave.llm import ann, fim, hmm, langid, packing, pieces, pii, simhash, token_counts, topk, warc
+from recordweave.llm import ann, collocations, fim, hmm, langid, packing, pieces, pii, simhash, token_counts, topk, warc
 from recordweave.llm.common import new_folder, read, tokenizer_path
 
 
@@ -64,6 +64,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), top=2000, least=100)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.fill_in_middle(read(spark, sf_dir, "documents"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
@@ -77,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_language_id, op3_simhash, op4_pii, op5_ann, op6_hamming_topk, op7_hmm, op8_token_counts, op9_sentencepiece, op10_warc, op13_fill_in_middle, pipeline)
+    f.__name__: f for f in (op1_packing, op2_language_id, op3_simhash, op4_pii, op5_ann, op6_hamming_topk, op7_hmm, op8_token_counts, op9_sentencepiece, op10_warc, op12_collocations, op13_fill_in_middle, pipeline)
 }
 
 ORACLE_SQL = {
@@ -91,6 +95,19 @@ ORACLE_SQL = {
               from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id group by all)
         select query_id, (row_number() over (partition by query_id order by distance, vec_id))::int as rank, vec_id, distance
         from d qualify row_number() over (partition by query_id order by distance, vec_id) <= 10""",
+    "op12_collocations": r"""
+        with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+        worded as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+        totals as (select lang, sum(len(w))::hugeint as n from worded group by lang),
+        grams as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as p from worded, range(1, 6) ks(k) where len(w) >= k),
+        f as (select lang, k, p, count(*)::hugeint as a from grams group by all having count(*) >= 100),
+        held as (select distinct s.lang, s.p from f s join f g on g.lang = s.lang and g.k > s.k and 100 * g.a >= 100 * s.a and contains(' ' || g.p || ' ', ' ' || s.p || ' ') where s.k > 1),
+        cuts as (select c.lang, c.p, c.a, n, i, l.a as l, r.a as r, (1000 * c.a * n) // (l.a * r.a) as score
+                 from f c join totals using (lang), range(1, 5) ks(i), f l, f r
+                 where c.k > i and l.lang = c.lang and r.lang = c.lang and l.p = array_to_string(string_split(c.p, ' ')[1:i], ' ') and r.p = array_to_string(string_split(c.p, ' ')[i + 1:], ' ')),
+        worst as (select * from cuts qualify row_number() over (partition by lang, p order by score, i) = 1),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, p) as rank from worst anti join held using (lang, p))
+        select lang, rank, p as phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked where rank <= 2000""",
     "op13_fill_in_middle": r"""
         with t as (select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(doc_id::varchar, '')) as d,
                           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as w from documents),
