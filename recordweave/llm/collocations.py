@@ -12,7 +12,7 @@ the last score of its list is above the bound of the first word not expanded.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +20,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordweave.llm.common import LOWER, UPPER, cut
+from recordweave.llm.common import LOWER, SET_BITS, UPPER, bit_set, cut, has_bit, place_of
 
 #: What parts pieces becomes a byte that UTF-8 does not have, and a word of its own.
 END = b"\xff"
 _TABLE = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r\t", LOWER.encode() + END * 10 + b" ")
-#: log2 of the bits of a set of hashes, of fixed size; what it has in excess is counted and then dropped.
-BITS = 26
 #: Tokens that a task combines at once, and words it keeps the hashes of.
 TOKENS, WORDS = 500_000, 200_000
 LONGEST = 5
@@ -44,31 +42,7 @@ def word_hash(lang: str, word: bytes) -> int:
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * np.uint64(0x9E3779B97F4A7C15) + b
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)
-
-
-def _place(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(64 - BITS)
-
-
-def _has(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) != 0
-
-
-def bit_set(rows: DataFrame, places: Callable[..., np.ndarray]) -> np.ndarray:
-    """The set of places(*columns of rows), as 2**BITS bits put together by Spark: however many rows, at most 2**(BITS - 6) longs reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(places(*(c.to_numpy().view(np.uint64) for c in b.columns)))
-            if len(at):
-                word, first = np.unique(at >> np.uint64(6), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first).view(np.int64))], ["word", "bits"])
-
-    found = rows.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(1 << (BITS - 6), np.uint64)
-    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return bits
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - SET_BITS)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -127,7 +101,7 @@ def _streams(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterato
 
         def __missing__(self, word: bytes) -> int:
             h = word_hash(self.lang, word)
-            place = h >> (64 - BITS)
+            place = h >> (64 - SET_BITS)
             if not (int(frequent[place >> 6]) >> (place & 63)) & 1:
                 h = 0
             if len(word) < 64:
@@ -176,10 +150,10 @@ def _grown(h: np.ndarray, pairs: np.ndarray, now: np.ndarray) -> Iterator[list[n
     """
     u, code = np.unique(h, return_inverse=True)
     code, size = code.astype(np.int64), len(u)
-    expanded = _has(now, _place(u))[code] & (h != 0)
+    expanded = has_bit(now, place_of(u))[code] & (h != 0)
     linked = (h[1:] != 0) & (h[:-1] != 0)
     at = np.flatnonzero(linked)
-    linked[at] = _has(pairs, pair_hash(h[at], h[at + 1]))
+    linked[at] = has_bit(pairs, pair_hash(h[at], h[at + 1]))
     at = np.flatnonzero(linked)
     rank = code[at]
     for length in range(2, LONGEST + 1):
@@ -273,7 +247,7 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 100, beam: int =
     if words.groupBy("h").count().where("count > 1").count():
         raise ValueError("two frequent words share a hash")
     sc = docs.sparkSession.sparkContext
-    frequent = sc.broadcast(bit_set(words.select("h"), _place))
+    frequent = sc.broadcast(bit_set(words.select("h"), place_of))
     pairs = sc.broadcast(bit_set(pair_counts(docs, frequent, least).select("w1", "w2"), pair_hash))
     # Words of about the same f are expanded together, so a language has some hundred steps at most.
     steps: dict[str, list] = {}
@@ -300,7 +274,7 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 100, beam: int =
         for lang in steps.keys() - settled:
             upto[lang] = max(reach(lang, last.get(lang)), before[lang])
         frame = docs.sparkSession.createDataFrame([(x, before[x], upto[x]) for x in sorted(steps)], "lang string, done long, upto long").join(total, "lang")
-        now = sc.broadcast(bit_set(words.join(frame, "lang").where("f > done and f <= upto").select("h"), _place))
+        now = sc.broadcast(bit_set(words.join(frame, "lang").where("f > done and f <= upto").select("h"), place_of))
         f_of = lambda end: words.select(F.col("h").alias(end), F.col("f").alias(f"{end}_f"))
         new = phrase_counts(docs, frequent, pairs, now, least).withColumn("first", F.get("w", F.lit(0))).withColumn("last", F.element_at("w", -1))
         new = new.join(f_of("first"), "first").join(words.select("lang", F.col("h").alias("last"), F.col("f").alias("last_f")), "last").join(frame.select("lang", "done", F.col("upto").alias("until")), "lang")

@@ -8,9 +8,10 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """cut(df), of which the planner knows no size.
+
+    A checkpoint keeps its plan's estimate, and a join's estimate is the product of both
+    sides': in a loop its digits double each time, until the driver does nothing else.
+    """
+    spark, kept = df.sparkSession, cut(df)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(kept.javaRDD(), kept.schema()), spark)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -99,3 +110,31 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+#: log2 of the bits of a set of hashes: of fixed size, so that it can be broadcast; what it holds in excess costs work only.
+SET_BITS = 26
+
+
+def place_of(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(64 - SET_BITS)
+
+
+def has_bit(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+
+
+def bit_set(rows: DataFrame, places: Callable[..., np.ndarray]) -> np.ndarray:
+    """The set of places(*columns of rows), put together by Spark: however many rows, at most 2**(SET_BITS - 6) longs reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(places(*(c.to_numpy().view(np.uint64) for c in b.columns)))
+            if len(at):
+                word, first = np.unique(at >> np.uint64(6), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first).view(np.int64))], ["word", "bits"])
+
+    found = rows.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << (SET_BITS - 6), np.uint64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return bits

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordweave.llm.common import cut
+from recordweave.llm.common import fresh
 
 
 def _to_roots(parents: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def _to_roots(parents: DataFrame) -> DataFrame:
 
     while True:
         # Where the second jump moves no node, all have arrived.
-        parents = cut(jump(jump(parents)))
+        parents = fresh(jump(jump(parents)))
         if not parents.agg(F.max("moved")).first()[0]:
             return parents.select("v", "p")
 
@@ -30,13 +30,13 @@ def components(edges: DataFrame) -> DataFrame:
     still have edges vanish each time.  Minima are taken before the shuffle, so a hub is
     one row from each task; each round is kept in the shared folder.
     """
-    edges = cut(edges.where("a is not null and b is not null").select("a", "b").distinct())
-    total = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    edges = fresh(edges.where("a is not null and b is not null").select("a", "b").distinct())
+    total = fresh(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
     edges = edges.where("a <> b")
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
         roots = _to_roots(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("p")))
-        total = cut(total.join(roots, total.component == roots.v, "left").select("node", F.coalesce("p", "component").alias("component")))
+        total = fresh(total.join(roots, total.component == roots.v, "left").select("node", F.coalesce("p", "component").alias("component")))
         at_a, at_b = roots.toDF("a", "pa"), roots.toDF("b", "pb")
-        edges = cut(edges.join(at_a, "a").join(at_b, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+        edges = fresh(edges.join(at_a, "a").join(at_b, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
     return total

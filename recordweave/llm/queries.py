@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordweave.llm import ann, collocations, fim, hmm, langid, packing, pieces, pii, simhash, token_counts, topk, warc
+from recordweave.llm import ann, collocations, fim, hmm, jaccard, langid, packing, pieces, pii, simhash, token_counts, topk, warc
 from recordweave.llm.common import new_folder, read, tokenizer_path
 
 
@@ -64,6 +64,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copies(read(spark, sf_dir, "documents"), width=5, least=(4, 5)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"), top=2000, least=100)
 
@@ -81,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_language_id, op3_simhash, op4_pii, op5_ann, op6_hamming_topk, op7_hmm, op8_token_counts, op9_sentencepiece, op10_warc, op12_collocations, op13_fill_in_middle, pipeline)
+    f.__name__: f for f in (op1_packing, op2_language_id, op3_simhash, op4_pii, op5_ann, op6_hamming_topk, op7_hmm, op8_token_counts, op9_sentencepiece, op10_warc, op11_jaccard_join, op12_collocations, op13_fill_in_middle, pipeline)
 }
 
 ORACLE_SQL = {
@@ -95,6 +99,18 @@ ORACLE_SQL = {
               from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id group by all)
         select query_id, (row_number() over (partition by query_id order by distance, vec_id))::int as rank, vec_id, distance
         from d qualify row_number() over (partition by query_id order by distance, vec_id) <= 10""",
+    "op11_jaccard_join": r"""
+        with recursive t as (select row_number() over () as row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        s as (select row, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) end as s from t),
+        nodes as (select s, min(row) as node, len(s) as n from s where len(s) > 0 group by s),
+        one as (select node, n, unnest(s) as x from nodes),
+        shared as (select a.node as a, b.node as b, a.n as an, b.n as bn, count(*) as c from one a join one b on a.x = b.x and a.node < b.node and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) group by all),
+        links as (select a, b from shared where 100 * c >= 80 * (an + bn - c)),
+        ways as (select a, b from links union all select b, a from links),
+        reach as (select node as a, node as b from nodes union select r.a, l.b from reach r join ways l on l.a = r.b),
+        least_id as (select r.a as node, min(s.doc_id) as component_id from reach r join nodes n on n.node = r.b join s on s.s = n.s group by r.a)
+        select s.doc_id, len(s.s)::bigint as n_shingles, case when len(s.s) = 0 then s.doc_id else l.component_id end as component_id
+        from s left join nodes n on n.s = s.s left join least_id l on l.node = n.node""",
     "op12_collocations": r"""
         with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
         worded as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
