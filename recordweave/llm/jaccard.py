@@ -49,8 +49,9 @@ class Shingles:
         if len(self.table) > WORDS:
             self.table = {}
         table, digest = self.table, xxhash.xxh64_intdigest
-        for w in set(words) - table.keys():
-            table[w] = digest(w, 42)
+        for w in set(words):
+            if w not in table:
+                table[w] = digest(w, 42)
         h = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
         width = min(self.width, len(h))
         m = len(h) - width + 1
