@@ -12,6 +12,7 @@ PLACEHOLDERS = ("example@domain.com", "email@example.com", "johnsmith@example.co
 
 # Names, signals and exclusions.
 GENERIC_NAMES = ("about", "contact", "contact us", "disclaimer", "home", "homepage", "imprint", "impressum", "legal", "legal notice", "legal and affiliate disclaimer", "privacy", "privacy policy", "terms", "terms and conditions")
+LEGAL_FORMS = "GmbH|AG|Ltd|Limited|Inc|LLC|BV|AB|Oy|SAS|SA"
 LEGAL_NAME = r"\b([A-Za-z0-9][A-Za-z0-9&.'()/ -]{1,80}\s+(?:GmbH|AG|Ltd|Limited|Inc|LLC|BV|AB|Oy|SAS|SA))\b"
 TWO_LEVEL = ("co.uk", "com.au", "co.nz", "co.jp", "co.in")
 SIGNALS = {
@@ -35,17 +36,25 @@ CONDITIONAL = {
     "consulting-only": ("consulting services", "consultancy", "management consulting", "engineering consulting company", "automation consulting", "design consulting"),
 }
 IDENTITY = {
-    "software-only": (r"software\s+(?:company|vendor|developer|platform)", r"saas(?:\s+(?:company|provider|platform|business))?", r"cloud\s+(?:company|provider|platform|business)"),
-    "consulting-only": (r"consulting(?:\s+(?:company|firm|business))?", "consultancy"),
-    "travel/tourism": (r"travel\s+(?:agency|publisher|site|website)", r"travel\s+magazine", r"travel\s+blog(?:\s+(?:tourism\s+)?affiliate(?:\s+guide)?)?", r"tourism\s+(?:operator|publisher|site|website)", r"(?:travel|tourism)\s+(?:tourism\s+)?affiliate\s+(?:site|website)"),
-    "news/media": (r"(?:[a-z0-9&'.-]+\s+){0,3}news\s+(?:publication|publisher|website|portal)", r"media\s+outlet", r"(?:online|digital|technology)\s+magazine(?:\s+operator)?", r"magazine\s+publisher", r"press\s+release\s+service"),
+    "software-only": (
+        "software company", "software vendor", "software developer", "software platform", "saas", "saas company", "saas provider", "saas platform", "saas business",
+        "cloud company", "cloud provider", "cloud platform", "cloud business",
+    ),
+    "consulting-only": ("consulting", "consulting company", "consulting firm", "consulting business", "consultancy"),
+    "travel/tourism": (
+        "travel agency", "travel publisher", "travel site", "travel website", "travel magazine", "travel blog", "travel blog affiliate", "travel blog affiliate guide", "travel blog tourism affiliate", "travel blog tourism affiliate guide",
+        "tourism operator", "tourism publisher", "tourism site", "tourism website", "travel affiliate site", "travel affiliate website", "travel tourism affiliate site", "travel tourism affiliate website",
+        "tourism affiliate site", "tourism affiliate website", "tourism tourism affiliate site", "tourism tourism affiliate website",
+    ),
+    "news/media": (
+        "news publication", "news publisher", "news website", "news portal", "media outlet", "online magazine", "online magazine operator", "digital magazine", "digital magazine operator",
+        "technology magazine", "technology magazine operator", "magazine publisher", "press release service",
+    ),
 }
-OPERATED = {"software-only": (r"software\s+development\s+services?",), "consulting-only": (r"consulting\s+services?",)}
-COPULA = r"(?:we\s+are|we're|(?:our|this|the)\s+(?:company|business|site|publication)\s+is)"
-OPERATOR = r"(?:we|(?:our|this|the)\s+(?:company|business|site|publication))"
-NAMED = r"[A-Z][A-Za-z0-9&'.-]*(?:\s+[A-Z][A-Za-z0-9&'.-]*){0,5}"
-ACTION = r"(?:develops?|hosts?|offers?|operates?|provides?|publishes?|runs?|sells?)"
-CONTINUATION = r"\s*(?:$|[.,;:]|\s+(?:covers?|covering|guides?|operates?|publishes?|publishing|reports?|reporting|reviews?|reviewing|runs?|running|tourism\s+affiliate))"
+OPERATED = {"software-only": ("software development service", "software development services"), "consulting-only": ("consulting service", "consulting services")}
+DETERMINERS, OWN = ("our", "this", "the"), ("company", "business", "site", "publication")
+VERBS = ("develop", "develops", "host", "hosts", "offer", "offers", "operate", "operates", "provide", "provides", "publishe", "publishes", "run", "runs", "sell", "sells")
+GOES_ON = ("cover", "covering", "guide", "operate", "publishe", "publishing", "report", "reporting", "review", "reviewing", "run", "running", "tourism affiliate")
 OBJECTS = "printed circuit boards?|control boards?|embedded systems?|sensors?|controllers?|robots?|actuators?|instruments?|gateways?|devices?|equipment|electronics?|cameras?|batter(?:y|ies)|motors?|adapters?"
 MAKING = "manufactur(?:e|es|ed|ing)|manufacturers?|design(?:s|ed|ing)?|produc(?:e|es|ed|ing)|production|sell(?:s|ing)?|sold|sales?"
 NOT_PHYSICAL = ("analytics", "application", "applications", "app", "apps", "cloud", "consulting", "dashboard", "dashboards", "for", "platform", "saas", "service", "services", "software", "to", "with")

@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recordweave.functions import markup
+
 HREF = r"""(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>"""
 
 
 def title(html: Column, unknown: str = "") -> Column:
     """The title, else the first heading, else the sentinel."""
-    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
-    return F.coalesce(F.nullif(clean(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit("")), F.nullif(clean(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1)), F.lit("")), F.lit(unknown))
+    return F.coalesce(F.nullif(markup.page(html)["title"], F.lit("")), F.lit(unknown))
 
 
 def visible_text(html: Column) -> Column:
-    """Text outside comments, scripts, styles and tags; entities become spaces."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?is)<(?:script|style|noscript|svg)[^>]*>.*?</(?:script|style|noscript|svg)>", " ")
-    t = F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), "&[A-Za-z]+;|&#[0-9]+;", " ")
-    return F.trim(F.regexp_replace(t, r"[ \t\r\n\f]+", " "))
+    """Text outside comments, dropped elements and tags, entities as their characters."""
+    return markup.page(html)["text"]
 
 
 def links(html: Column) -> Column:

@@ -59,7 +59,19 @@ def contact_best(spark, sf_dir):
     return best.where("b is not null").select("doc_id", "b.email", "b.email_class")
 
 
-_CLEAN = r"trim(regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+def unescaped(x: str) -> str:
+    """The entities that the tables have."""
+    for name, sign in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{sign}', 'g')"
+    return x
+
+
+def visible_sql(x: str) -> str:
+    tagless = rf"regexp_replace(regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<(?:script|style|noscript|svg)[^>]*>.*?</(?:script|style|noscript|svg)>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    return rf"trim(regexp_replace({unescaped(tagless)}, '\s+', ' ', 'g'))"
+
+
+_CLEAN = rf"trim(regexp_replace({unescaped("regexp_replace({}, '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g'))"
 
 
 @query(rf"""select page_id, coalesce(nullif({_CLEAN.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, ''),
@@ -79,8 +91,7 @@ def page_links(spark, sf_dir):
     return found.select("page_id", html.resolve(F.col("href"), F.col("url")).alias("link")).groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_distinct("link").alias("n_targets"), F.min("link").alias("first_target"))
 
 
-@query(r"""with t as (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'),
-        '(?is)<(?:script|style|noscript|svg)[^>]*>.*?</(?:script|style|noscript|svg)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&[A-Za-z]+;|&#[0-9]+;', ' ', 'g'), '[ \t\r\n\f]+', ' ', 'g')) as visible from pages)
+@query(f"""with t as (select page_id, {visible_sql("html")} as visible from pages)
     select page_id, length(visible) as n_chars, case when visible = '' then 0 else len(string_split(visible, ' ')) end as n_words from t""")
 def visible_text_stats(spark, sf_dir):
     """Length and words of each page's visible text."""

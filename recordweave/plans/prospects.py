@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from recordweave.functions import fixed, hosts, html, prospects
+from recordweave.functions import evidence, fixed, hosts, html, markup, prospects
 from recordweave.plans.catalog import _CLEAN, _long, query, table
+from recordweave.plans.catalog import visible_sql as _visible
 
 
 def q(s: str) -> str:
@@ -44,12 +45,27 @@ def attributable_sql(a: str, b: str) -> str:
     return f"({domain_sql(a)} = {domain_sql(b)} and {domain_sql(a)} <> '' and ({a} = {b} or ends_with({b}, '.' || {a})))"
 
 
-def _identities_sql(text: str, name: str) -> str:
-    def claimed(s: str) -> str:
-        found = " or ".join(f"regexp_matches({text}, {q(p)}) or ({name} <> '' and {text} <> '' and regexp_matches({name} || ' ' || {text}, {q(p)}))" for p in prospects.identity_patterns(s))
-        return f"case when ({name} <> '' and regexp_matches({name}, {q(prospects.name_identity(s))})) or {found} then {q(s)} end"
-
-    return f"list_filter([{', '.join(map(claimed, fixed.IDENTITY))}], lambda x: x is not null)"
+def _identities_sql(base: str) -> str:
+    """CTEs over base(id, t, name) that end in ident(id, kinds): what stands before and after each noun decides."""
+    verbs, ends, own = "|".join(fixed.VERBS), "[.!?;]", "|".join(fixed.OWN)
+    nouns = lambda names: "(?i)(?:" + "|".join(sorted(names, key=len, reverse=True)) + r")\b"
+    kinds = [(k, False, nouns(v)) for k, v in fixed.IDENTITY.items()] + [(k, True, nouns(v)) for k, v in fixed.OPERATED.items()]
+    named = [(k, nouns(v).replace("(?i)", r"(?i)\b")) for k, v in fixed.IDENTITY.items()]
+    speaks = f"(regexp_matches(w[-2], '(?i)\\bwe$') or regexp_matches(w[-2], '(^|[^\\w])[A-Z][A-Za-z0-9&''.-]*$') or (lower(w[-2]) in {_in(fixed.OWN)} and regexp_matches(w[-3], '(?i)\\b(our|this|the)$')))"
+    return f"""rd as (select id, unnest(list_distinct([t, case when t <> '' then trim(name || ' ' || t) else '' end])) as t from (select id, trim(regexp_replace(t, '\\s+', ' ', 'g')) as t, trim(regexp_replace(name, '\\s+', ' ', 'g')) as name from {base})),
+      kn as (select rd.id, kind, offered, regexp_split_to_array(t, noun) as p from rd, (values {", ".join(f"({q(k)}, {o}, {q(n)})" for k, o, n in kinds)}) ks(kind, offered, noun) where regexp_matches(t, noun)),
+      ht as (select id, kind, offered, unnest(range(1, len(p))) as i, p from kn),
+      ld as (select id, kind, offered, case when i = 1 then '' else 'x' end as head, p[i] as b, p[i + 1] as a, i + 1 = len(p) as final from ht),
+      vs as (select id, kind, offered, head, a, final, unnest(case when kind = 'news/media' then [b, regexp_replace(b, '[A-Za-z0-9&''.-]+ $', ''), regexp_replace(b, '(?:[A-Za-z0-9&''.-]+ ){{2}}$', ''), regexp_replace(b, '(?:[A-Za-z0-9&''.-]+ ){{3}}$', '')] else [b] end) as b from ld),
+      ws as (select *, string_split(rtrim(regexp_replace(b, '(?i)(^| )an? $', '\\1')), ' ') as w, head || regexp_replace(b, '(?i)(^| )an? $', '\\1') as lead from vs),
+      ok as (select id, kind from ws where
+        (ends_with(b, ' ') and lower(w[-1]) in {_in(fixed.VERBS)} and {speaks})
+        or regexp_matches(lead, '(?i)[a-z0-9&''.-] (?:{verbs}) [^.!?;]{{1,160}} as $')
+        or (not offered and ends_with(b, ' ') and lower(w[-1]) = 'is' and regexp_matches(w[-2], '(^|[^\\w])[A-Z][A-Za-z0-9&''.-]*$'))
+        or (not offered and regexp_matches(lead, '(?i)(?:^|{ends}) ?(?:we are|we''re|(?:our|this|the) (?:{own}) is) $'))
+        or (not offered and regexp_matches(lead, '(?i)(?:^|{ends}) ?(?:this )?$') and (final and trim(a) = '' or regexp_matches(lower(a), '^(?: ?[.,;:]| (?:{"|".join(fixed.GOES_ON)}))')))),
+      nm as (select id, kind from {base}, (values {", ".join(f"({q(k)}, {q(n)})" for k, n in named)}) ks(kind, noun) where regexp_matches(name, noun)),
+      ident as (select id, list(distinct kind) as kinds from (select * from ok union all select * from nm) group by id)"""
 
 
 _TEXTS = [
@@ -68,9 +84,10 @@ _SERVICES = rf"regexp_replace(regexp_replace(replace(evidence, '#', '-'), {q(pro
 
 
 @query(f"""with d as (select doc_id, coalesce(text, '') as t, '' as name from documents union all {_values(_TEXTS).replace("values", "select * from (values", 1)})),
-    e as (select doc_id, t, name, {_EVIDENCE.format(like=_LIKE)} as evidence from d),
+    bs as (select doc_id as id, t, name from d), {_identities_sql("bs")},
+    e as (select doc_id, t, name, {_EVIDENCE.format(like=_LIKE)} as evidence, coalesce(kinds, []) as kinds from d left join ident on ident.id = doc_id),
     s as (select doc_id, {_hits("evidence", {k: prospects.term_pattern(v) for k, v in fixed.SIGNALS.items()})} as signals,
-        list_distinct(list_concat(list_concat({_hits("lower(t)", {k: prospects.term_pattern(v) for k, v in fixed.EXCLUSIONS.items()})}, {_identities_sql("t", "name")}),
+        list_distinct(list_concat(list_concat({_hits("lower(t)", {k: prospects.term_pattern(v) for k, v in fixed.EXCLUSIONS.items()})}, kinds),
           case when regexp_matches({_SERVICES}, {q(prospects.physical_pattern())}) then []::varchar[] else {_hits("lower(t)", {k: prospects.term_pattern(v) for k, v in fixed.CONDITIONAL.items()})} end)) as excluded from e)
     select doc_id, len(signals) >= 2 and len(list_filter(signals, lambda x: x not in {_in(fixed.BROAD)})) > 0 and len(excluded) = 0 as eligible,
       array_to_string(signals, ',') as signals, array_to_string(list_sort(excluded), ',') as exclusions from s""")
@@ -78,14 +95,10 @@ def hardware_rules(spark, sf_dir):
     """Qualification of each document: signals, exclusions by terms and identity, first-party context."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("name"))
     d = d.unionByName(spark.createDataFrame(_TEXTS, "doc_id long, text string, name string"))
-    r = d.select("doc_id", prospects.qualification(F.col("text"), F.col("name")).alias("r"))
+    r = d.select("doc_id", evidence.qualification(F.array("text"), F.col("name")).alias("r"))
     return r.select("doc_id", "r.eligible", F.array_join("r.signals", ",").alias("signals"), F.array_join(F.array_sort("r.exclusions"), ",").alias("exclusions"))
 
 
-def _visible(x: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<(?:script|style|noscript|svg)[^>]*>.*?</(?:script|style|noscript|svg)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&[A-Za-z]+;|&#[0-9]+;', ' ', 'g'), '[ \t\r\n\f]+', ' ', 'g'))"
-
-
 def _initcap(x: str) -> str:
     return f"trim(array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '))"
 
@@ -105,18 +118,19 @@ def _pages(spark, sf_dir):
     n as (select *, trim(regexp_replace(regexp_replace(regexp_extract(t, {q("(?i)" + fixed.LEGAL_NAME)}, 1), '\s+', ' ', 'g'), '^[ ,;:]+|[ ,;:]+$', '', 'g')) as legal, string_split(host, '.') as l,
       case when title = '' then '' when contains(title, ' - ') then split_part(title, ' - ', 1) when contains(title, ' | ') then split_part(title, ' | ', 1) when contains(title, ' – ') then split_part(title, ' – ', 1) when contains(title, ' — ') then split_part(title, ' — ', 1) else title end as title_name from t),
     h as (select *, case when len(l) < 2 then '' else {_initcap(f"regexp_replace(case when len(l) >= 3 and array_to_string(list_slice(l, -2, -1), '.') in {_in(fixed.TWO_LEVEL)} then l[-3] else l[-2] end, '[-_]+', ' ', 'g')")} end as stem from n),
-    c as (select page_id, title_name, t, coalesce(nullif(legal, ''), nullif(stem, ''), '') as found, legal from h)
-    select page_id, title_name, case when list_contains({_identities_sql("t", "''")}, 'travel/tourism') or list_contains({_identities_sql("''", "found")}, 'travel/tourism') then '' else found end as name, legal,
-      regexp_replace(regexp_replace(lower(found), '[^\pL\pN_\s]+', ' ', 'g'), '\s+', ' ', 'g') in {_in(fixed.GENERIC_NAMES)} as generic from c""")
+    c as (select page_id, title_name, t, coalesce(nullif(legal, ''), nullif(stem, ''), '') as found, legal from h),
+    bs as (select page_id as id, t, '' as name from c union all select page_id, '', found from c), {_identities_sql("bs")}
+    select page_id, title_name, case when list_contains(coalesce(kinds, []), 'travel/tourism') then '' else found end as name, legal,
+      regexp_replace(regexp_replace(lower(found), '[^\pL\pN_\s]+', ' ', 'g'), '\s+', ' ', 'g') in {_in(fixed.GENERIC_NAMES)} as generic from c left join ident on ident.id = page_id""")
 def company_names(spark, sf_dir):
     """The company name of each page: legal name, host, with travel identities refused; the title's part before a separator."""
     title = F.col("title")
     # The separators are tried in their order, whatever comes first in the title.
     first = F.coalesce(*(F.when(title.contains(sep), F.split_part(title, F.lit(sep), F.lit(1))) for sep in _SEPARATORS), title)
-    p = _pages(spark, sf_dir).select("page_id", "url", html.title(F.col("html")).alias("title"), html.visible_text(F.col("html")).alias("t"))
+    p = _pages(spark, sf_dir).select("page_id", "url", markup.page(F.col("html")).alias("p")).select("page_id", "url", F.col("p.title").alias("title"), F.col("p.text").alias("t"))
     p = p.select("page_id", "url", first.alias("title_name"), "t")
-    found = F.coalesce(F.nullif(prospects.legal_name(F.col("t")), F.lit("")), F.nullif(prospects.host_name(F.col("url")), F.lit("")), F.lit(""))
-    return p.select("page_id", "title_name", prospects.company_name(F.col("url"), F.col("t"), F.lit("")).alias("name"), prospects.legal_name(F.col("t")).alias("legal"), prospects.generic_name(found).alias("generic"))
+    found = F.coalesce(F.nullif(evidence.legal_name(F.col("t")), F.lit("")), F.nullif(prospects.host_name(F.col("url")), F.lit("")), F.lit(""))
+    return p.select("page_id", "title_name", prospects.company_name(F.col("url"), F.col("t"), F.lit("")).alias("name"), evidence.legal_name(F.col("t")).alias("legal"), prospects.generic_name(found).alias("generic"))
 
 
 # The look-arounds of the pattern, spelt with characters that are matched: every sign is doubled first, so that neighbours don't share one.
@@ -149,7 +163,8 @@ _LINKS = [
     (-3, "https://c.example/", "<a href='/enquiry?x=1'>Write</a> no address"), (-4, "https://d.example/", "nothing <a name=x>top</a> <a href='/privacy'>Privacy <i>policy</i>"),
     (-20, "https://www.kompass.com/c/1", "<a href='https://www.facebook.com/x'>Website</a><a href=\"https://one.example/a\">One</a><a href=https://two.example/b>Company Website</a>"), (-21, "https://www.europages.com/d", '<a href="/home">Homepage</a>'),
 ]
-_ANCHOR_SQL = prospects.ANCHOR
+# The SQL's own reading of an anchor, which suffices for these tables: an href in any quotes, a label to the next anchor or its end.
+_ANCHOR_SQL = r"""(?is)<a\s(?:[^<>]*?\s)?href\s*=\s*("[^"<>]*"|'[^'<>]*'|[^\s"'<>]+)[^<>]*>([^<]*(?:<(?:[^/a<]|/[^a<])[^<]*){0,64})"""
 
 
 def _anchors_sql() -> str:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from recordweave.functions import prospects
+from recordweave.functions import evidence, prospects
 
 CASES = [
     ("We are an industrial sensor controller manufacturer.", "", True, ""),
@@ -36,7 +36,7 @@ CASES = [
 
 def test_qualification(spark):
     d = spark.createDataFrame([(i, t, n) for i, (t, n, _, _) in enumerate(CASES)], "i int, t string, n string")
-    got = {r.i: r.q for r in d.select("i", prospects.qualification(F.col("t"), F.col("n")).alias("q")).collect()}
+    got = {r.i: r.q for r in d.select("i", evidence.qualification(F.array("t"), F.col("n")).alias("q")).collect()}
     wrong = [(t, got[i]) for i, (t, _, ok, why) in enumerate(CASES) if got[i].eligible != ok or (why and why not in got[i].exclusions)]
     assert not wrong
 
