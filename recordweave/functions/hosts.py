@@ -34,6 +34,11 @@ def attributable(a: Column, b: Column, suffixes: tuple[str, ...] = SUFFIXES) ->
     return same & ((a == b) | F.endswith(b, F.concat(F.lit("."), a)))
 
 
+def same_company(a: Column, a_domain: Column, b: Column, b_domain: Column) -> Column:
+    """attributable(a, b), where the registrable domains are known already."""
+    return (a_domain == b_domain) & (a_domain != "") & ((a == b) | F.endswith(b, F.concat(F.lit("."), a)))
+
+
 def mailbox(c: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """The lower-case ASCII mailbox; empty if it isn't one with a registrable domain."""
     m = F.lower(F.trim(F.coalesce(c, F.lit(""))))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from recordweave.functions import evidence, fixed, hosts, html, markup, prospects
+from recordweave.functions import evidence, fixed, hosts, html, markup, prospects, sites
 from recordweave.plans.catalog import _CLEAN, _long, query, table
 from recordweave.plans.catalog import visible_sql as _visible
 
@@ -211,13 +211,18 @@ def contact_candidates(spark, sf_dir):
 
 
 # Drafts made of customers: every rule has rows that break it.
-_DRAFTS_SQL = f"""dr as (select c_custkey as id, case c_custkey % 7 when 0 then 'Contact' when 1 then 'Sensor Companies List' when 2 then 'Unknown' else c_name end as company,
+_ANGLES = (
+    "Hardware signals: electronics, embedded. Fine", "Hardware signals: sensor. We are a cloud provider.", "Hardware signals: industrial, automation.", "hardware signal: sensor controller", "Nothing recorded",
+    "Hardware signals: sensor, industrial. Later, hardware signals: motor, camera", "Hardware signals: embedded, sensor. Acme is a travel blog covering tools", "Hardware signals: battery, motor. Some seo services too", "Hardware signals: power, robotics.\nConsulting services",
+)
+_NAMES = {0: "Contact", 1: "Sensor Companies List", 2: "Unknown", 3: "Acme Software Company"}
+_DRAFTS_SQL = f"""dr as (select c_custkey as id, case c_custkey % 7 {" ".join(f"when {k} then {q(n)}" for k, n in _NAMES.items())} else c_name end as company,
       case when c_custkey % 11 = 0 then '' when c_custkey % 13 = 0 then 'wiki' || c_custkey || '.example' else 'cust' || c_custkey || '.example' end as domain,
       case when c_custkey % 5 = 0 then 'bob@gmx.com' when c_custkey % 9 = 0 then 'Not Found' when c_custkey % 17 = 0 then 'bad..mail@x' else 'info@cust' || c_custkey || '.example' end as email,
       case when c_custkey % 6 = 0 then 'Private Email' else 'Generic Company Email' end as email_type,
       case when c_custkey % 8 = 0 then 'https://kompass.com/c/' || c_custkey when c_custkey % 10 = 0 then '' else 'https://www.cust' || c_custkey || '.example/contact; https://kompass.com/x' end as source,
       case when c_custkey % 12 = 0 then '' else 'Public source' end as compliance, case when c_custkey % 15 = 0 then 'FAILED' else '' end as status, case when c_custkey % 14 = 0 then 'YES' else '' end as dnc,
-      case when c_custkey % 16 = 0 then '' else 'Subject' end as subject, case when c_custkey % 2 = 0 then 'Hardware signals: electronics, embedded. Fine' else 'Hardware signals: sensor. We are a cloud provider.' end as angle,
+      case when c_custkey % 16 = 0 then '' else 'Subject' end as subject, [{", ".join(map(q, _ANGLES))}][c_custkey % {len(_ANGLES)} + 1] as angle,
       repeat('word ', case when c_custkey % 3 = 0 then 200 else 100 end::int) || case when c_custkey % 4 = 0 then '' else {q(fixed.OPT_OUT)} end as body from customer)"""
 
 
@@ -226,25 +231,47 @@ def _drafts(spark, sf_dir):
     on = lambda m, yes, no: F.when(k % m == 0, yes).otherwise(no)
     cust = F.concat(F.lit("cust"), k.cast("string"), F.lit(".example"))
     return table(spark, sf_dir, "customer").select(
-        k.alias("id"), F.when(k % 7 == 0, "Contact").when(k % 7 == 1, "Sensor Companies List").when(k % 7 == 2, "Unknown").otherwise(F.col("c_name")).alias("company"),
+        k.alias("id"), F.coalesce(*(F.when(k % 7 == m, n) for m, n in _NAMES.items()), F.col("c_name")).alias("company"),
         F.when(k % 11 == 0, "").when(k % 13 == 0, F.concat(F.lit("wiki"), k.cast("string"), F.lit(".example"))).otherwise(cust).alias("domain"),
         F.when(k % 5 == 0, "bob@gmx.com").when(k % 9 == 0, "Not Found").when(k % 17 == 0, "bad..mail@x").otherwise(F.concat(F.lit("info@"), cust)).alias("email"),
         on(6, "Private Email", "Generic Company Email").alias("email_type"),
         F.when(k % 8 == 0, F.concat(F.lit("https://kompass.com/c/"), k.cast("string"))).when(k % 10 == 0, "").otherwise(F.concat(F.lit("https://www."), cust, F.lit("/contact; https://kompass.com/x"))).alias("source"),
         on(12, "", "Public source").alias("compliance"), on(15, "FAILED", "").alias("status"), on(14, "YES", "").alias("dnc"), on(16, "", "Subject").alias("subject"),
-        on(2, "Hardware signals: electronics, embedded. Fine", "Hardware signals: sensor. We are a cloud provider.").alias("angle"),
+        F.element_at(F.array(*map(F.lit, _ANGLES)), (k % len(_ANGLES) + 1).cast("int")).alias("angle"),
         F.concat(F.repeat(F.lit("word "), on(3, 200, 100)), on(4, "", fixed.OPT_OUT)).alias("body"),
     )
 
 
 _MAILBOX_SQL = r"case when regexp_matches(email, '^[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+(\.[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+)*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$') then split_part(lower(email), '@', -1) else '' end"
-_SENT_SQL = "sent as (select distinct 'info@cust' || o_custkey || '.example' as email from orders where o_orderstatus = 'F' and o_totalprice > 300000)"
-_SIGNAL_SQL = f"{_hits(r'lower(regexp_extract(angle, ' + q(r'(?i)\bhardware signals?\s*:\s*([^.\n]+)') + r', 1))', {k: prospects.term_pattern(v) for k, v in fixed.SIGNALS.items()})}"
-_RULED_SQL = rf"""{_DRAFTS_SQL}, {_SENT_SQL}, du as (select *, regexp_replace(domain, '^www\.', '') as host0, {_MAILBOX_SQL} as mail_host,
+# A log of sendings made of orders: not all went out, some have no domain, some a free one.
+_LOG_SQL = """lg as (select 'info@cust' || o_custkey || '.example' as email, 'Customer#' || lpad(o_custkey::varchar, 9, '0') as company, case o_orderstatus when 'F' then 'SENT' when 'P' then 'sent' else 'FAILED' end as status,
+      case o_orderkey % 4 when 0 then 'cust' || o_custkey || '.example' when 1 then '' when 2 then 'gmx.com' else 'https://www.cust' || o_custkey || '.example/' end as domain,
+      case o_orderkey % 3 when 0 then 'https://shop.cust' || o_custkey || '.example/contact' when 1 then 'https://kompass.com/x' else '' end as source, o_orderdate as sent_on from orders where o_totalprice > 300000),
+    sent as (select distinct lower(trim(email)) as email from lg where upper(status) = 'SENT'), sentco as (select distinct lower(trim(company)) as company from lg where upper(status) = 'SENT')"""
+_SENT_SQL = _LOG_SQL
+_RECORDED = r"(?i)\bhardware signals?\s*:\s*([^.\n]+)"
+
+
+def _list_like(x: str) -> str:
+    """Of a list of texts those that are more than a search query, as one."""
+    return rf"lower(array_to_string(list_filter({x}, lambda t: t <> '' and not (len(string_split(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ')) between 2 and 6 and not regexp_matches(t, '[.!?,;:]'))), ' '))"
+
+
+def _ordered(found: str, order) -> str:
+    return f"list_filter([{', '.join(map(q, order))}], lambda x: list_contains({found}, x))"
+
+
+_SIGNAL_SQL = _hits(_list_like(f"regexp_extract_all(angle, {q(_RECORDED)}, 1)"), {k: prospects.term_pattern(v) for k, v in fixed.SIGNALS.items()})
+_EXCLUDED_SQL = f"""xb as (select id, angle as t, '' as name from dr union all select id, source, '' from dr union all select id, trim(angle || ' ' || source), company from dr), {_identities_sql("xb")},
+    xe as (select dr.id, lower(angle || ' ' || source) as every, {_list_like("[angle, source]")} as evidence, coalesce(kinds, []) as kinds, {_SIGNAL_SQL} as signals from dr left join ident on ident.id = dr.id),
+    xs as (select id, signals, {_hits("array_to_string(signals, ' ')", {k: prospects.term_pattern(v) for k, v in fixed.SIGNALS.items()})} as again, list_concat({_hits("every", {k: prospects.term_pattern(v) for k, v in fixed.EXCLUSIONS.items()})}, {_ordered("kinds", fixed.IDENTITY)}) as firm,
+      case when regexp_matches({_SERVICES}, {q(prospects.physical_pattern())}) then []::varchar[] else {_hits("every", {k: prospects.term_pattern(v) for k, v in fixed.CONDITIONAL.items()})} end as soft from xe),
+    xc as (select id, len(signals) as n_signals, len(again) >= 2 and len(list_filter(again, lambda x: x not in {_in(fixed.BROAD)})) > 0 as hardware, list_concat(firm, list_filter(soft, lambda x: not list_contains(firm, x))) as excluded from xs)"""
+_RULED_SQL = rf"""{_DRAFTS_SQL}, {_SENT_SQL}, {_EXCLUDED_SQL}, du as (select *, regexp_replace(domain, '^www\.', '') as host0, {_MAILBOX_SQL} as mail_host,
       list_transform(regexp_extract_all(source, '(?i)https?://[^\s;]+'), lambda u: regexp_replace(u, '[.,:)\]}}]+$', '')) as urls from dr),
     dh as (select *, list_transform(urls, lambda u: {host_sql("u")}) as hosts from du),
     dg as (select *, case when host0 = '' then coalesce(list_filter(hosts, lambda h: h <> '')[1], '') else host0 end as host, list_filter(hosts, lambda h: not ({domain_sql("h")}) in {_in(fixed.DIRECTORIES)}) as own,
-      len({_SIGNAL_SQL}) as n_signals, len(string_split_regex(trim(replace(body, '/', ' ')), '\s+')) as words, email in (select email from sent) as was_sent from dh),
+      len(string_split_regex(trim(replace(body, '/', ' ')), '\s+')) as words, lower(email) in (select email from sent) as was_sent, lower(company) in (select company from sentco) as co_sent, n_signals, hardware, excluded from dh join xc using (id)),
     fs as (select *, list_filter([case when host = '' then 'Company Website/domain missing or invalid' end,
       case when mail_host = '' or mail_host in {_in(fixed.FREE)} then 'Company email domain missing or free mailbox' when host = '' or not {attributable_sql("mail_host", "host")} then 'Email domain does not match company website' end,
       case when len(urls) = 0 then 'Source URL missing or invalid' end, case when host in {_in(fixed.BLOCKED_HOSTS)} or starts_with(host, 'wiki') or contains(host, '.wiki') then 'Blocked encyclopedia/wiki company domain' end,
@@ -257,49 +284,74 @@ _RULED_SQL = rf"""{_DRAFTS_SQL}, {_SENT_SQL}, du as (select *, regexp_replace(do
       case when email_type not in {_in(fixed.ALLOWED_TYPES)} then 'Email Type not allowed: ' || coalesce(nullif(email_type, ''), 'blank') end,
       case when mail_host in {_in(fixed.FREE)} then 'Free email domain not allowed' when email not in ('', 'Not Found') and not (mail_host <> '' and len(list_filter(case when host0 <> '' then list_concat([host0], list_filter(own, lambda h: {attributable_sql("h", "host0")})) else own end, lambda h: {attributable_sql("mail_host", "h")})) > 0) then 'Recipient domain not attributable to company domain or official source URL' end,
       case when source = '' then 'Source URL missing' end, case when compliance = '' then 'Compliance Note missing' end, case when dnc = 'YES' then 'Do Not Contact' end, case when status <> '' then 'Send Status is ' || status end,
-      case when was_sent then 'Email already sent' end, case when lower(company) in {_in(fixed.UNRESOLVED + fixed.GENERIC_NAMES)} then 'Company name unresolved or generic' end,
+      case when was_sent then 'Email already sent' end, case when co_sent then 'Company already sent' end, case when lower(company) in {_in(fixed.UNRESOLVED + fixed.GENERIC_NAMES)} then 'Company name unresolved or generic' end,
       case when len(urls) > 0 and len(own) = 0 then 'Source is a directory operator' end,
-      case when contains(angle, 'cloud provider') then 'Excluded prospect type: software-only' end,
-      case when n_signals < 2 then 'Hardware qualification failed' end, case when n_signals < 2 then 'Fewer than two recorded hardware signals' end,
+      case when len(excluded) > 0 then 'Excluded prospect type: ' || array_to_string(excluded, ', ') end,
+      case when not hardware then 'Hardware qualification failed' end, case when n_signals < 2 then 'Fewer than two recorded hardware signals' end,
       case when not contains(body, {q(fixed.OPT_OUT)}) then 'Opt-out sentence missing' end, case when subject = '' then 'Subject missing' end, case when body = '' then 'Email Body missing' end,
       case when words < 120 or words > 180 then 'Word count out of range: ' || words end, case when {_any("lower(company || ' ' || angle || ' ' || body)", fixed.PEERS)} then 'Possible PCB/PCBA peer' end,
       case when len(final) > 0 then array_to_string(final, '; ') end], lambda x: x is not null) as reasons from fs)"""
 
 
-def _ruled(spark, sf_dir):
-    d = _drafts(spark, sf_dir)
-    sent = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_totalprice > 300000").select(F.concat(F.lit("info@cust"), F.col("o_custkey").cast("string"), F.lit(".example")).alias("email")).distinct()
-    d = d.join(sent.withColumn("was_sent", F.lit(True)), "email", "left")
+def _sent_log(spark, sf_dir):
+    """The rows of _LOG_SQL."""
     c = F.col
-    low, mail = F.lower("company"), hosts.mailbox(c("email"))
-    d = d.withColumn("mail_host", hosts.mailbox_domain(mail)).withColumn("urls", prospects.source_urls(c("source")))
-    d = d.withColumn("hosts", F.transform("urls", lambda u: hosts.host(u))).withColumn("own", prospects.source_hosts(c("source")))
-    first = F.coalesce(F.try_element_at(F.filter("hosts", lambda h: h != ""), F.lit(1)), F.lit(""))
-    d = d.withColumn("host", F.when(hosts.host(c("domain")) == "", first).otherwise(hosts.host(c("domain"))))
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 300000")
+    cust, key = F.concat(F.lit("cust"), c("o_custkey").cast("string"), F.lit(".example")), c("o_orderkey")
+    return o.select(
+        F.concat(F.lit("info@"), cust).alias("email"), F.concat(F.lit("Customer#"), F.lpad(c("o_custkey").cast("string"), 9, "0")).alias("company"),
+        F.when(c("o_orderstatus") == "F", "SENT").when(c("o_orderstatus") == "P", "sent").otherwise("FAILED").alias("status"),
+        F.when(key % 4 == 0, cust).when(key % 4 == 1, "").when(key % 4 == 2, "gmx.com").otherwise(F.concat(F.lit("https://www."), cust, F.lit("/"))).alias("domain"),
+        F.when(key % 3 == 0, F.concat(F.lit("https://shop."), cust, F.lit("/contact"))).when(key % 3 == 1, "https://kompass.com/x").otherwise("").alias("source"), c("o_orderdate").alias("sent_on"),
+    )
+
+
+def _sent(log, column):
+    return log.where(F.upper("status") == "SENT").select(F.lower(F.trim(column)).alias(column)).distinct()
+
+
+def _ruled(spark, sf_dir):
+    d, log, c = _drafts(spark, sf_dir), _sent_log(spark, sf_dir), F.col
+    d = d.withColumn("low_email", F.lower("email")).withColumn("low", F.lower("company"))
+    d = d.join(_sent(log, "email").toDF("low_email").withColumn("was_sent", F.lit(True)), "low_email", "left").join(_sent(log, "company").toDF("low").withColumn("co_sent", F.lit(True)), "low", "left")
+    # What comes out of the Arrow functions is computed once, whatever later refers to it.
+    d = d.withColumn("urls", sites.of(c("source"))).withColumn("site", F.get(sites.of(F.concat(F.lit("https://"), c("domain"))), F.lit(0)))
+    d = d.withColumn("mail", hosts.mailbox(c("email"))).withColumn("mail_site", F.get(sites.of(F.concat(F.lit("https://"), hosts.mailbox_domain(c("mail")))), F.lit(0)))
+    recorded = evidence.qualification(F.regexp_extract_all("angle", F.lit(_RECORDED), F.lit(1)), F.lit(""))["signals"]
+    d = d.withColumn("signals", recorded).withColumn("hardware", evidence.qualification(c("signals"), F.lit(""))["eligible"])
+    d = d.withColumn("excluded", evidence.qualification(F.array("angle", "source"), c("company"))["exclusions"])
+    own, mail_host, mail_domain = F.coalesce(c("site.host"), F.lit("")), F.coalesce(c("mail_site.host"), F.lit("")), F.coalesce(c("mail_site.domain"), F.lit(""))
+    first = F.try_element_at(F.filter("urls", lambda u: u["host"] != ""), F.lit(1))
+    host = F.when(own == "", F.coalesce(first["host"], F.lit(""))).otherwise(own)
+    host_domain = F.when(own == "", F.coalesce(first["domain"], F.lit(""))).otherwise(c("site.domain"))
     wiki = lambda h: h.isin(*fixed.BLOCKED_HOSTS) | h.startswith("wiki") | h.contains(".wiki")
     when = lambda *rules: F.array_compact(F.array(*(F.when(cond, reason if isinstance(reason, Column) else F.lit(reason)) for cond, reason in rules)))
-    free_mail = (c("mail_host") == "") | c("mail_host").isin(*fixed.FREE)
+    free_mail = (mail_host == "") | mail_host.isin(*fixed.FREE)
     final = when(
-        (c("host") == "", "Company Website/domain missing or invalid"), (free_mail, "Company email domain missing or free mailbox"),
-        (~free_mail & ((c("host") == "") | ~hosts.attributable(c("mail_host"), c("host"))), "Email domain does not match company website"), (F.size("urls") == 0, "Source URL missing or invalid"),
-        (wiki(c("host")), "Blocked encyclopedia/wiki company domain"), (F.exists("hosts", wiki), "Blocked encyclopedia/wiki source"),
+        (host == "", "Company Website/domain missing or invalid"), (free_mail, "Company email domain missing or free mailbox"),
+        (~free_mail & ((host == "") | ~hosts.same_company(mail_host, mail_domain, host, host_domain)), "Email domain does not match company website"), (F.size("urls") == 0, "Source URL missing or invalid"),
+        (wiki(host), "Blocked encyclopedia/wiki company domain"), (F.exists("urls", lambda u: wiki(u["host"])), "Blocked encyclopedia/wiki source"),
         (prospects.contains_any(F.lower("source"), fixed.BLOCKED_SOURCES), "Blocked directory, list, public-sector, blog, media, or service source"),
-        (low.isin(*fixed.BLOCKED_NAMES) | prospects.generic_name(c("company")), "Company name is generic or page-title derived"),
+        (c("low").isin(*fixed.BLOCKED_NAMES) | prospects.generic_name(c("company")), "Company name is generic or page-title derived"),
         (c("company").rlike(fixed.PAGE_TITLE), "Company name appears to be a page title or sentence, not a legal company identity"),
-        ((F.size("hosts") > 0) & (c("host") != "") & ~F.exists("hosts", lambda h: hosts.attributable(h, c("host"))), "Source URL is not an attributable company official page"),
+        ((F.size("urls") > 0) & (host != "") & ~F.exists("urls", lambda u: hosts.same_company(u["host"], u["domain"], host, host_domain)), "Source URL is not an attributable company official page"),
     )
-    d = d.withColumn("final", final).withColumn("excluded", prospects.qualification(F.concat_ws(" ", "angle", "source"), F.lit(""))["exclusions"])
-    signals = prospects.qualification(F.concat(F.regexp_extract("angle", r"(?i)\bhardware signals?\s*:\s*([^.\n]+)", 1), F.lit(".")), F.lit(""))["signals"]
-    n_signals = F.size(signals)
+    d = d.withColumn("final", final)
+    listed = lambda u: prospects.directory(u["domain"])
+    able = lambda u: u["host"].contains(".") & ~u["domain"].isin(*fixed.NOT_COMPANIES) & ~listed(u)
+    mine = lambda u: hosts.same_company(mail_host, mail_domain, u["host"], u["domain"])
+    by_source = F.exists("urls", lambda u: able(u) & mine(u) & ((own == "") | hosts.same_company(u["host"], u["domain"], own, c("site.domain"))))
+    attributable = (mail_host != "") & ~mail_host.isin(*fixed.FREE) & (by_source | (own != "") & hosts.same_company(mail_host, mail_domain, own, c("site.domain")))
     given, words = ~c("email").isin("", "Not Found"), F.size(F.split(F.trim(F.replace("body", F.lit("/"), F.lit(" "))), r"\s+"))
+    yes = lambda x: F.coalesce(x, F.lit(False))
     reasons = when(
-        (~given, "Email missing"), (given & (mail == ""), "Invalid email format"), (~c("email_type").isin(*fixed.ALLOWED_TYPES), F.concat(F.lit("Email Type not allowed: "), F.when(c("email_type") == "", "blank").otherwise(c("email_type")))),
-        (c("mail_host").isin(*fixed.FREE), "Free email domain not allowed"),
-        (~c("mail_host").isin(*fixed.FREE) & given & ~prospects.recipient_attributable(mail, c("domain"), c("source")), "Recipient domain not attributable to company domain or official source URL"),
+        (~given, "Email missing"), (given & (c("mail") == ""), "Invalid email format"), (~c("email_type").isin(*fixed.ALLOWED_TYPES), F.concat(F.lit("Email Type not allowed: "), F.when(c("email_type") == "", "blank").otherwise(c("email_type")))),
+        (mail_host.isin(*fixed.FREE), "Free email domain not allowed"),
+        (~mail_host.isin(*fixed.FREE) & given & ~yes(attributable), "Recipient domain not attributable to company domain or official source URL"),
         (c("source") == "", "Source URL missing"), (c("compliance") == "", "Compliance Note missing"), (c("dnc") == "YES", "Do Not Contact"), (c("status") != "", F.concat(F.lit("Send Status is "), c("status"))),
-        (F.coalesce("was_sent", F.lit(False)), "Email already sent"), (low.isin(*fixed.UNRESOLVED) | prospects.generic_name(c("company")), "Company name unresolved or generic"),
-        ((F.size("urls") > 0) & F.forall("hosts", lambda h: prospects.directory(hosts.registrable_domain(h))), "Source is a directory operator"),
-        (F.size("excluded") > 0, F.concat(F.lit("Excluded prospect type: "), F.array_join("excluded", ", "))), (n_signals < 2, "Hardware qualification failed"), (n_signals < 2, "Fewer than two recorded hardware signals"),
+        (yes(c("was_sent")), "Email already sent"), (yes(c("co_sent")), "Company already sent"), (c("low").isin(*fixed.UNRESOLVED) | prospects.generic_name(c("company")), "Company name unresolved or generic"),
+        ((F.size("urls") > 0) & F.forall("urls", listed), "Source is a directory operator"),
+        (F.size("excluded") > 0, F.concat(F.lit("Excluded prospect type: "), F.array_join("excluded", ", "))), (~c("hardware"), "Hardware qualification failed"), (F.size("signals") < 2, "Fewer than two recorded hardware signals"),
         (~c("body").contains(fixed.OPT_OUT), "Opt-out sentence missing"), (c("subject") == "", "Subject missing"), (c("body") == "", "Email Body missing"),
         (~words.between(120, 180), F.concat(F.lit("Word count out of range: "), words.cast("string"))), (prospects.contains_any(F.lower(F.concat_ws(" ", "company", "angle", "body")), fixed.PEERS), "Possible PCB/PCBA peer"),
         (F.size("final") > 0, F.array_join("final", "; ")),
@@ -443,19 +495,53 @@ def text_labels(spark, sf_dir):
     return d.select("doc_id", industry.alias("industry"), demand.alias("demand"), score.alias("score"))
 
 
-@query(f"""with {_DRAFTS_SQL}, {_SENT_SQL}, l as (select id, company, domain, lower(email) as email, {_MAILBOX_SQL} as mail_host from dr)
-    select id, lower(trim(regexp_replace(company, '\\s+', ' ', 'g'))) || '|' || domain as dedupe_key, case when email in ('not found', '') then '' else email end as known_email, email in (select email from sent) as sent,
-      case when domain <> '' and domain not in {_in(fixed.FREE)} then domain when domain = '' and mail_host <> '' and mail_host not in {_in(fixed.FREE)} then mail_host else '' end as sent_domain from l""")
+@query(f"""with {_DRAFTS_SQL}, {_SENT_SQL} select id, lower(trim(regexp_replace(company, '\\s+', ' ', 'g'))) || '|' || domain as dedupe_key, case when lower(email) in ('not found', '') then '' else lower(email) end as known_email, lower(email) in (select email from sent) as sent from dr""")
 def known_keys(spark, sf_dir):
-    """What excludes a record later: dedupe key, known address, sent address, and the domain it was sent to."""
+    """A record's dedupe key, its known address, and whether that was sent to."""
     from recordweave.functions import text
 
     c, d = F.col, _drafts(spark, sf_dir).withColumn("email", F.lower("email"))
-    sent = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_totalprice > 300000").select(F.concat(F.lit("info@cust"), c("o_custkey").cast("string"), F.lit(".example")).alias("email")).distinct()
-    d = d.join(sent.withColumn("sent", F.lit(True)), "email", "left")
-    mail, host = hosts.mailbox_domain(hosts.mailbox(c("email"))), hosts.host(c("domain"))
-    to = F.when((host != "") & ~host.isin(*fixed.FREE), host).when((host == "") & (mail != "") & ~mail.isin(*fixed.FREE), mail).otherwise("")
-    return d.select("id", text.dedupe_key(c("company"), host).alias("dedupe_key"), F.when(c("email").isin("not found", ""), "").otherwise(c("email")).alias("known_email"), F.coalesce("sent", F.lit(False)).alias("sent"), to.alias("sent_domain"))
+    d = d.join(_sent(_sent_log(spark, sf_dir), "email").withColumn("sent", F.lit(True)), "email", "left")
+    return d.select("id", text.dedupe_key(c("company"), hosts.host(c("domain"))).alias("dedupe_key"), F.when(c("email").isin("not found", ""), "").otherwise(c("email")).alias("known_email"), F.coalesce("sent", F.lit(False)).alias("sent"))
+
+
+_LEADS_SQL = "ld0 as (select s_suppkey as id, s_name as company, case when s_suppkey % 5 = 0 then '' else 'https://www.supp' || s_suppkey || '.co.uk/x' end as site, case when s_suppkey % 3 = 0 then '未公开/待核实' else 'Sales@supp' || s_suppkey || '.co.uk ' end as email from supplier)"
+
+
+@query(f"""with {_DRAFTS_SQL}, {_LOG_SQL}, {_LEADS_SQL}, lh as (select *, {host_sql("site")} as h from ld0),
+    lx as (select *, {host_sql("domain")} as h, list_transform(regexp_extract_all(source, '(?i)https?://[^\\s;]+'), lambda u: {host_sql("u")}) as hs, {_MAILBOX_SQL} as mail_host from lg where upper(status) = 'SENT'),
+    ly as (select case when h <> '' and {domain_sql("h")} <> '' and h not in {_in(fixed.FREE)} then h
+      when trim(domain) = '' and mail_host <> '' and mail_host not in {_in(fixed.FREE)} and len(list_filter(hs, lambda x: x <> '' and ({domain_sql("x")}) not in {_in(fixed.NOT_COMPANIES + fixed.DIRECTORIES)} and {attributable_sql("mail_host", "x")})) > 0 then mail_host else '' end as d from lx)
+    select distinct * from (
+      select 'company key' as kind, lower(trim(regexp_replace(company, '\\s+', ' ', 'g'))) || '|' || case when h = '' then '' else {domain_sql("h")} end as value from lh
+      union all select 'domain', {domain_sql("h")} from lh where h <> '' union all select 'email', lower(trim(email)) from (select email from ld0 union all select email from dr union all select email from lg)
+      union all select 'sent email', email from sent union all select 'sent company', company from sentco union all select 'sent domain', d from ly)
+    where value <> '' and not (kind = 'email' and value in ('not found', '未公开/待核实'))""")
+def known_sets(spark, sf_dir):
+    """What leads, drafts and the log of sendings rule out for new records, as distinct values of each kind.
+
+    A domain counts as sent to where the log names a company's own, or, where it names none,
+    the mailbox's if it belongs to a host of the row's source.
+    """
+    from recordweave.functions import text
+
+    c, log = F.col, _sent_log(spark, sf_dir)
+    k = c("s_suppkey")
+    leads = table(spark, sf_dir, "supplier").select(c("s_name").alias("company"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("https://www.supp"), k.cast("string"), F.lit(".co.uk/x"))).alias("site"), F.when(k % 3 == 0, "未公开/待核实").otherwise(F.concat(F.lit("Sales@supp"), k.cast("string"), F.lit(".co.uk "))).alias("email"))
+    leads = leads.withColumn("s", F.get(sites.of(c("site")), F.lit(0))).withColumn("domain", F.coalesce("s.domain", F.lit("")))
+    gone = log.where(F.upper("status") == "SENT").withColumn("s", F.get(sites.of(F.concat(F.lit("https://"), F.regexp_replace("domain", "^https://", ""))), F.lit(0))).withColumn("urls", sites.of(c("source")))
+    gone = gone.withColumn("m", F.get(sites.of(F.concat(F.lit("https://"), hosts.mailbox_domain(hosts.mailbox(c("email"))))), F.lit(0)))
+    own = lambda u: (u["host"] != "") & ~u["domain"].isin(*fixed.NOT_COMPANIES) & ~prospects.directory(u["domain"]) & hosts.same_company(c("m.host"), c("m.domain"), u["host"], u["domain"])
+    to = F.when((c("s.domain") != "") & ~c("s.host").isin(*fixed.FREE), c("s.host")).when((F.trim("domain") == "") & ~c("m.host").isin(*fixed.FREE) & F.exists("urls", own), c("m.host"))
+    values = {
+        "company key": leads.select(text.dedupe_key(c("company"), c("domain"))), "domain": leads.select("domain"), "email": leads.select("email").union(_drafts(spark, sf_dir).select("email")).union(log.select("email")).select(F.lower(F.trim("email"))),
+        "sent email": _sent(log, "email"), "sent company": _sent(log, "company"), "sent domain": gone.select(to),
+    }
+    all_ = None
+    for kind, frame in values.items():
+        one = frame.toDF("value").select(F.lit(kind).alias("kind"), "value")
+        all_ = one if all_ is None else all_.unionByName(one)
+    return all_.where((c("value") != "") & ~((c("kind") == "email") & c("value").isin("not found", "未公开/待核实"))).distinct()
 
 
 @query(f"""with {_DRAFTS_SQL} select id, lower(substr(company || ': ' || subject, 1, 60)) as subject, len(string_split_regex(trim(replace(body, '/', ' ')), '\\s+')) as words, case id % 4 when 0 then 'DE' when 1 then 'GB' when 2 then 'US' else 'US' end as phone_region from dr""")
