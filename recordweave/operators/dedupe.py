@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordweave.shared import keep
+
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order."""
@@ -25,38 +27,25 @@ def greedy(df: DataFrame, pos: str, keys: list[str]) -> DataFrame:
 
     Rounds in place of a pass: every row that is the first undecided one of all its keys
     stays, and what shares a key with it goes.  Decisions of a round are kept in the
-    checkpoint folder; random orders need a number of rounds in the logarithm of the rows.
+    checkpoint folder, and so are those taken so far.  There are as many rounds as the
+    longest chain of rows of which each waits for the one before: in random orders the
+    logarithm of the rows, at worst (every row shares a key with the next) half of them.
     Rows without keys stay.
     """
     tagged = F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(k).cast("string"))) for i, k in enumerate(keys))))
     state = df.select(F.col(pos).alias("_pos"), tagged.alias("_keys"))
-    taken, open_ = state.where(F.size("_keys") == 0).select("_pos"), _keep(state.where(F.size("_keys") > 0))
+    taken, open_ = state.where(F.size("_keys") == 0).select("_pos"), keep(state.where(F.size("_keys") > 0))
     while not open_.isEmpty():
         flat = open_.select("_pos", F.explode("_keys").alias("_key"))
         firsts = flat.groupBy("_key").agg(F.min("_pos").alias("_first"))
         led = flat.join(firsts, "_key").groupBy("_pos").agg(F.bool_and(F.col("_pos") == F.col("_first")).alias("_kept"))
-        kept = _keep(led.where("_kept").select("_pos"))
+        kept = keep(led.where("_kept").select("_pos"))
         gone = flat.join(flat.join(kept, "_pos", "left_semi").select("_key").distinct(), "_key", "left_semi").select("_pos").distinct()
-        taken = taken.unionByName(kept)
-        open_ = _keep(open_.join(gone, "_pos", "left_anti"))
+        taken = keep(taken.unionByName(kept))
+        open_ = keep(open_.join(gone, "_pos", "left_anti"))
     return df.join(taken.withColumnRenamed("_pos", pos), pos, "left_semi")
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """df kept reliably in spark.checkpoint.dir, whose default is a temporary folder in local sessions only."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir")
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="recordweave-")
-        sc.setCheckpointDir(named)
-    return df.checkpoint()
-
-
 def exclude(df: DataFrame, *histories: tuple[DataFrame, str]) -> DataFrame:
     """df without the rows whose column of that name occurs in a history; null keys never match."""
     for history, key in histories:

@@ -474,3 +474,4 @@ def daily_report(spark, sf_dir):
 
 from recordweave.plans import prospects as _prospects  # noqa: E402, F401  (registers its queries here)
 from recordweave.plans import discovery as _discovery  # noqa: E402, F401
+from recordweave.plans import leads as _leads  # noqa: E402, F401

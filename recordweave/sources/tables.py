@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DRY_RUN = "_DRY_RUN"
 
@@ -27,18 +29,79 @@ def _at(folder: str, version: int) -> str:
     return f"{folder}/v={version:08d}"
 
 
+def _claim(spark: SparkSession, folder: str) -> int:
+    """The next version's number, for this writer alone: whoever makes the number's claim file has it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    claims = hadoop(f"{folder}/_claims")
+    fs = claims.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(claims)
+    claimed = [int(s.getPath().getName()) for s in fs.listStatus(claims) if s.getPath().getName().isdigit()]
+    new = max([*_listed(spark, folder), *claimed], default=0) + 1
+    while not _create(spark, fs, hadoop(f"{folder}/_claims/{new:08d}")):
+        new += 1
+    return new
+
+
+def _create(spark: SparkSession, fs, path) -> bool:
+    """Makes an empty file if there is none, in one step; False if another has made it."""
+    if fs.getUri().getScheme() == "file":
+        return spark.sparkContext._jvm.java.io.File(path.toUri().getPath()).createNewFile()
+    try:
+        fs.create(path, False).close()
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def replace(df: DataFrame, folder: str, dry_run: bool = False) -> int:
     """Writes df as the folder's next version and returns its number; df may read the version before.
 
-    A dry run writes beside the folder instead.  Versions that a lost writer left are
-    passed over; two writers at once fail on the same number rather than mix.
+    A dry run writes beside the folder instead.  A number is claimed before anything is
+    written: two writers at once get two numbers and never mix.  Of two such versions the
+    higher is the last one, also where the lower is complete later.  Versions and claims
+    that a lost writer left are passed over.
     """
     folder = folder.rstrip("/") + (DRY_RUN if dry_run else "")
-    new = max(_listed(df.sparkSession, folder), default=0) + 1
+    new = _claim(df.sparkSession, folder)
     df.write.mode("errorifexists").parquet(_at(folder, new))
     return new
 
 
+def ensure(spark: SparkSession, folder: str, columns: dict[str, Column]) -> int:
+    """The version that has these columns: the last one if it has, else a new one with the missing ones added.
+
+    Columns are only added, in the order given; what a missing one holds may be computed of
+    the row.  An empty folder becomes a table without rows, of columns that need no row.
+    """
+    known = versions(spark, folder)
+    table = read(spark, folder) if known else spark.range(0).select()
+    missing = {name: value for name, value in columns.items() if name not in table.columns}
+    if known and not missing:
+        return known[-1]
+    return replace(table.select(*table.columns, *(value.alias(name) for name, value in missing.items())), folder)
+
+
+def upsert(rows: DataFrame, folder: str, keys: list[str], dry_run: bool = False) -> int:
+    """A new version in which rows take the place of those with equal keys, and others are added.
+
+    Null keys are equal to each other.  Columns that either side lacks are null there.  Of
+    rows with equal keys any one is taken: keys should tell rows apart.
+    """
+    rows = rows.dropDuplicates(keys)
+    spark = rows.sparkSession
+    if not versions(spark, folder):
+        return replace(rows, folder, dry_run)
+    old = read(spark, folder).alias("o")
+    new = rows.select(*(F.col(k).alias(f"_{k}") for k in keys)).alias("n")
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n._{k}")) for k in keys]
+    match = same[0]
+    for s in same[1:]:
+        match = match & s
+    return replace(old.join(new, match, "left_anti").unionByName(rows, allowMissingColumns=True), folder, dry_run)
+
+
 def read(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
     """The last complete version, or the one named."""
     known = versions(spark, folder)
