@@ -45,13 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def fresh(df: DataFrame) -> DataFrame:
-    """cut(df), of which the planner knows no size.
+def fresh(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """cut(df), of which the planner knows no size; in at most so many partitions, as small frames need few files.
 
     A checkpoint keeps its plan's estimate, and a join's estimate is the product of both
     sides': in a loop its digits double each time, until the driver does nothing else.
     """
-    spark, kept = df.sparkSession, cut(df)._jdf
+    spark, kept = df.sparkSession, cut(df.coalesce(parts) if parts else df)._jdf
     return DataFrame(spark._jsparkSession.createDataFrame(kept.javaRDD(), kept.schema()), spark)
 
 

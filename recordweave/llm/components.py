@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from recordweave.llm.common import fresh
 
 
-def _to_roots(parents: DataFrame) -> DataFrame:
+#: Rows of a partition of what the rounds keep, at least.
+ROWS = 50_000
+
+
+def _to_roots(parents: DataFrame, parts: int) -> DataFrame:
     """Pointer jumping: p of every v becomes the root of its tree, in rounds of two jumps, which quarter the depth."""
 
     def jump(nodes: DataFrame) -> DataFrame:
@@ -17,7 +21,7 @@ def _to_roots(parents: DataFrame) -> DataFrame:
 
     while True:
         # Where the second jump moves no node, all have arrived.
-        parents = fresh(jump(jump(parents)))
+        parents = fresh(jump(jump(parents)), parts)
         if not parents.agg(F.max("moved")).first()[0]:
             return parents.select("v", "p")
 
@@ -28,15 +32,18 @@ def components(edges: DataFrame) -> DataFrame:
     A round hangs every node under its smallest neighbour, follows the trees to their
     roots and replaces the ends of every edge by roots; at least half of the nodes that
     still have edges vanish each time.  Minima are taken before the shuffle, so a hub is
-    one row from each task; each round is kept in the shared folder.
+    one row from each task; each round is kept in the shared folder, in no more parts than
+    its edges need.
     """
     edges = fresh(edges.where("a is not null and b is not null").select("a", "b").distinct())
-    total = fresh(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    every = -(-edges.count() // ROWS) or 1
+    total = fresh(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), 2 * every)
     edges = edges.where("a <> b")
-    while not edges.isEmpty():
+    while left := edges.count():
+        parts = -(-left // ROWS)
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        roots = _to_roots(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("p")))
-        total = fresh(total.join(roots, total.component == roots.v, "left").select("node", F.coalesce("p", "component").alias("component")))
+        roots = _to_roots(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("p")), 2 * parts)
+        total = fresh(total.join(roots, total.component == roots.v, "left").select("node", F.coalesce("p", "component").alias("component")), 2 * every)
         at_a, at_b = roots.toDF("a", "pa"), roots.toDF("b", "pb")
-        edges = fresh(edges.join(at_a, "a").join(at_b, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+        edges = fresh(edges.join(at_a, "a").join(at_b, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), parts)
     return total
