@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from recordweave.llm.common import bit_set, fresh, has_bit, place_of
 from recordweave.llm.components import components
-from recordweave.llm.simhash import links, majority, words_of
+from recordweave.llm.simhash import links, majority, within, words_of
 
 #: The least similarity, as a fraction, so that comparing is exact.
 LEAST = (4, 5)
@@ -364,7 +364,10 @@ def _one_each(pairs: DataFrame) -> DataFrame:
 def _similar(pairs: DataFrame, of: DataFrame, least: tuple[int, int]) -> DataFrame:
     """a, b: the groups ca and cb of the pairs(a, b, ca, cb) whose sets are at or above the similarity."""
     num, den = least
-    both = pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
+    pairs = fresh(pairs)
+    # Of the sets only those asked for are shuffled: their names are broadcast if they are few, as in within().
+    some = lambda side: within(of.toDF("doc_id", "s"), pairs.select(F.col(side).alias("doc_id")).distinct())
+    both = pairs.join(some("a").toDF("a", "x"), "a").join(some("b").toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return fresh(both.where(shared * (num + den) >= (F.size("x") + F.size("y")) * num).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
