@@ -102,6 +102,14 @@ ROTATING_PRODUCTS = (
     "LED display controller manufacturer", "agricultural electronics manufacturer", "marine electronics manufacturer", "railway signaling equipment manufacturer",
 )
 
+# Terms that texts teach; a pattern and whether it is for any case.
+LEARNED_PATTERNS = {
+    "products": (r"\b(?:[A-Za-z][A-Za-z0-9+/-]*\s+){1,4}(?:equipment|systems?|devices?|controllers?|instruments?|cameras?|sensors?|terminals?|gateways?|servers?|scanners?|monitors?|robots?|electronics|hardware)\b", True),
+    "job_titles": (r"\b(?:[A-Za-z][A-Za-z0-9+/-]*\s+){0,3}(?:Engineer|Manager|Director|Buyer|CTO)\b", False),
+    "procurement_terms": (r"\b(?:[A-Za-z][A-Za-z0-9+/-]*\s+){0,3}(?:Manufacturing|Assembly|Prototype|Sourcing|Supplier|Build)\b", True),
+}
+REFUSED_TERMS = ("software", "software system", "pcb manufacturer", "pcba manufacturer", "contract electronics manufacturer")
+
 # Headers of imported lists, in lower case.
 MAIL_HEADERS = ("email", "email address", "contact email", "e-mail", "邮箱", "邮箱1", "邮箱2", "邮箱3", "企业邮箱", "企业邮箱1", "企业邮箱2", "企业邮箱3", "联系人邮箱")
 MAIL_HEADER_STARTS = ("邮箱", "企业邮箱")

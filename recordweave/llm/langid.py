@@ -182,7 +182,7 @@ def sample(docs: DataFrame, rows: int = 150) -> DataFrame:
     return docs.select("held", "lang", "text", h).join(F.broadcast(first), ["held", "lang", "h"], "left_semi").groupBy("held", "lang", "h").agg(F.min("text").alias("text")).drop("h")
 
 
-def learn(docs: DataFrame, rows: int = 150, low: float = 0.01, margin: tuple[float, float] = (0.5, 0.6)) -> tuple[Model, tuple[float, float]]:
+def learn(docs: DataFrame, rows: int = 150, low: float = 0.01, margin: tuple[float, float] = (0.5, 0.8)) -> tuple[Model, tuple[float, float]]:
     """The field, and the least score and familiarity of a text that is accepted, from docs(text, lang, held).
 
     The field is fitted on the driver on `rows` texts a language of those not held out, the

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordweave.functions import contacts, hosts, html, text
+from recordweave.functions import hosts, html, text
 from recordweave.operators import dedupe, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,32 +33,6 @@ def _long(c) -> F.Column:
     return F.col(c).cast("long") if isinstance(c, str) else c.cast("long")
 
 
-_EMAILS_SQL = r"""
-    found as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) as raw from documents),
-    mails as (select distinct doc_id, regexp_replace(lower(raw), '^[.,;:]+|[.,;:]+$', '', 'g') as email from found),
-    classed as (select doc_id, email, split_part(email, '@', -1) as email_domain,
-        case when split_part(email, '@', -1) in ('yahoo.com','hotmail.com','outlook.com','aol.com','icloud.com','gmx.de','web.de') then 'private'
-             when regexp_extract(email, '^([a-z]+)', 1) in ('info','sales','contact','support','hello','office','admin','service') then 'generic'
-             else 'work' end as email_class
-        from mails where email not in ('example@example.com','name@domain.com','test@test.com') and length(email) <= 254
-          and split_part(email, '.', -1) not in ('png','jpg','jpeg','gif','svg','webp','css','js','pdf') and length(split_part(email, '@', 1)) <= 64)"""
-
-
-@query(f"with {_EMAILS_SQL} select email_class, email_domain, count(*) as n from classed group by all")
-def contact_scan(spark, sf_dir):
-    """Distinct addresses of each document by class and domain, with rules of its own and not the reference's."""
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(contacts.emails(F.col("text"))).alias("email"))
-    return found.select(contacts.email_class(F.col("email")).alias("email_class"), hosts.mailbox_domain(F.col("email")).alias("email_domain")).groupBy("email_class", "email_domain").agg(F.count("*").alias("n"))
-
-
-@query(f"""with {_EMAILS_SQL} select doc_id, email, email_class from classed
-    qualify row_number() over (partition by doc_id order by case email_class when 'generic' then 0 when 'work' then 1 else 2 end, email) = 1""")
-def contact_best(spark, sf_dir):
-    """Each document's first contact by class, then address, with contact_scan's own classes; none for a text without one."""
-    best = table(spark, sf_dir, "documents").select("doc_id", contacts.best_contact(contacts.emails(F.col("text"))).alias("b"))
-    return best.where("b is not null").select("doc_id", "b.email", "b.email_class")
-
-
 def unescaped(x: str) -> str:
     """The entities that the tables have."""
     for name, sign in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
@@ -196,15 +170,6 @@ def lookup_last(spark, sf_dir):
 _TERMS = ["ing", "ble", "tion", "the", "es"]
 
 
-@query(f"""select doc_id, len(list_filter({_TERMS!r}, lambda t: contains(lower(text), t))) as n_terms, array_to_string(list_filter({_TERMS!r}, lambda t: contains(lower(text), t)), ',') as terms,
-    regexp_matches(lower(text), '(^|[^a-z])of[^a-z]+the([^a-z]|$)') as has_phrase from documents where lang = 'en'""".replace('"', "'"))
-def lexicon_hits(spark, sf_dir):
-    """Lexicon terms in each English text, and a phrase between word boundaries; all languages: lexicon_hits_all (part of X18 X19)."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    hits = text.terms_in(F.col("text"), _TERMS)
-    return d.select("doc_id", _long(F.size(hits)).alias("n_terms"), F.array_join(hits, ",").alias("terms"), F.lower("text").rlike("(^|[^a-z])of[^a-z]+the([^a-z]|$)").alias("has_phrase"))
-
-
 _LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -271,15 +236,6 @@ def yield_counters(spark, sf_dir):
     return _yields(spark, sf_dir).withColumn("paused", F.col("zero_streak") >= 3)
 
 
-@query(f"""with {_YIELD_SQL} select user_id, row_number() over (order by zero_streak >= 3, case when emails > 0 then 0 when searches = 0 then 1 else 2 end,
-    -(emails::double / greatest(1, searches)), -(leads::double / greatest(1, searches)), user_id) as rank from y qualify rank <= 100""")
-def yield_rank(spark, sf_dir):
-    """Queries in the order to run next, the first hundred, by two rates; all keys: keyword_order, keyword_ranking."""
-    y = _yields(spark, sf_dir)
-    order = [F.col("zero_streak") >= 3, F.when(F.col("emails") > 0, 0).when(F.col("searches") == 0, 1).otherwise(2), -text.ratio(F.col("emails"), F.col("searches")), -text.ratio(F.col("leads"), F.col("searches")), F.col("user_id")]
-    return y.orderBy(*order).limit(100).select("user_id", _long(F.row_number().over(Window.orderBy(*order))).alias("rank"))
-
-
 @query("""with r as (select user_id, event_id, event_type, sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by event_id rows unbounded preceding) as run from events),
     z as (select user_id, run, count(*) filter (event_type <> 'purchase') as zeros from r group by all)
     select user_id, sum(zeros // 3)::bigint as level, (arg_max(zeros, run) % 3)::bigint as streak from z group by 1""")
@@ -298,14 +254,6 @@ def negative_cache_ttl(spark, sf_dir):
     return state.negative_cache(e, "user_id", "event_type", "ts", F.col("event_type") == "purchase", now)
 
 
-@query("select event_id, user_id from events where event_id % 2 = 1 and user_id not in (select user_id from events where event_id % 2 = 0 and event_type = 'error')")
-def resume_anti(spark, sf_dir):
-    """What an earlier run has not completed, of odd events; all events: resume_anti_all (part of T5)."""
-    e = table(spark, sf_dir, "events")
-    done = e.where("event_id % 2 = 0 and event_type = 'error'")
-    return dedupe.exclude(e.where("event_id % 2 = 1").select("event_id", "user_id"), (done, "user_id"))
-
-
 @query("select event_id, user_id from events e where event_type is distinct from 'purchase' and not exists (select 1 from events d where d.user_id = e.user_id and d.ts::date = e.ts::date and d.event_type = 'purchase')")
 def resume_anti_all(spark, sf_dir):
     """resume_anti over all events: a purchase completes its user's day, every other event is to do (T5)."""
@@ -348,16 +296,6 @@ def circuit_breaker(spark, sf_dir):
     return e.groupBy("user_id").agg(F.count("*").alias("attempts"), F.max("event_id").alias("last_attempt"))
 
 
-@query("""with g as (select n_nationkey, r_regionkey from nation, region where not (n_nationkey = 0 and r_regionkey = 0))
-    select n_nationkey, r_regionkey, row_number() over (order by case when n_nationkey < 6 then 0 else 1 end, n_nationkey + r_regionkey, n_nationkey) as rank from g""")
-def antidiagonal_grid(spark, sf_dir):
-    """Countries and industries in tiers, along anti-diagonals, the current one left out (a grid by country tiers; by industries: fallback_tiers)."""
-    # Two dimension tables of fixed size: the product is the feature.
-    g = table(spark, sf_dir, "nation").select("n_nationkey").join(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")), F.lit(True))
-    w = Window.orderBy(F.when(F.col("n_nationkey") < 6, 0).otherwise(1), F.col("n_nationkey") + F.col("r_regionkey"), "n_nationkey")
-    return g.where("not (n_nationkey = 0 and r_regionkey = 0)").select("n_nationkey", "r_regionkey", _long(F.row_number().over(w)).alias("rank"))
-
-
 _SOURCES = [("everywhere", []), ("east", ["ASIA", "MIDDLE EAST"]), ("west", ["AMERICA", "EUROPE"]), ("south", ["AFRICA", "AMERICA"])]
 
 
@@ -371,28 +309,6 @@ def directory_region_join(spark, sf_dir):
     return some.unionByName(n.join(F.broadcast(s.where("r_name is null").select("source")), F.lit(True)).select("n_name", "source"))
 
 
-@query("""with p as (select p_partkey, p_name, n_name, n_nationkey from part join nation on p_partkey % 25 = n_nationkey)
-    select p_partkey, unnest(list_distinct([p_name || ' supplier ' || n_name, p_name || ' manufacturer contact', case when p_partkey % 2 = 0 then 'site:example.com ' || p_name else p_name || ' supplier ' || n_name end])) as query_text from p""")
-def query_templates(spark, sf_dir):
-    """Query texts from templates, each once for its part (part of G2)."""
-    p = table(spark, sf_dir, "part").withColumn("n_nationkey", (F.col("p_partkey") % 25).cast("int")).join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
-    first = F.concat_ws(" ", "p_name", F.lit("supplier"), "n_name")
-    texts = F.array(first, F.concat("p_name", F.lit(" manufacturer contact")), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("site:example.com "), "p_name")).otherwise(first))
-    return p.select("p_partkey", F.explode(F.array_distinct(texts)).alias("query_text"))
-
-
-@query(r"""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+tion[a-z]*')) as term from documents where lang = 'en' and source <> 'src0'),
-    known as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+tion[a-z]*')) as term from documents where lang = 'en' and source = 'src0'),
-    d as (select doc_id, term from t where term not in (select term from known) group by all)
-    select doc_id, term from d qualify row_number() over (partition by doc_id order by term) <= 6""")
-def term_learning(spark, sf_dir):
-    """New terms of each English text that the lexicon lacks, six at most; all languages: term_learning_all (part of X14 X15 U8)."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    terms = lambda x: x.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+tion[a-z]*"), F.lit(0)))).alias("term"))
-    new = dedupe.exclude(terms(d.where("source <> 'src0'")), (terms(d.where("source = 'src0'")), "term"))
-    return dedupe.within_quota(new, ["doc_id"], ["term"], 6).select("doc_id", "term")
-
-
 @query(rf"""with t as (select doc_id, unnest(regexp_extract_all({_LOWER_SQL}, '[a-z]+tion[a-z]*')) as term from documents where source is distinct from 'src0'),
     known as (select distinct unnest(regexp_extract_all({_LOWER_SQL}, '[a-z]+tion[a-z]*')) as term from documents where source = 'src0'),
     d as (select doc_id, term from t where term not in (select term from known) group by all)
@@ -465,7 +381,7 @@ def cycle_metrics(spark, sf_dir):
 @query("""with b as (select event_type, count(*) as n from events group by 1)
     select 'events: ' || sum(n) as line from b union all select 'most frequent: ' || arg_min(event_type, lpad((1000000000000 - n)::varchar, 15, '0') || event_type) from b union all select event_type || ': ' || n from b""")
 def daily_report(spark, sf_dir):
-    """The run report as text lines."""
+    """The run report as text lines."""
     e = table(spark, sf_dir, "events")
     by = e.groupBy("event_type").agg(F.count("*").alias("n"))
     top = by.agg(F.sum("n").alias("total"), F.min_by("event_type", F.struct(-F.col("n"), "event_type")).alias("best"), F.array_sort(F.collect_list(F.concat_ws(": ", "event_type", F.col("n").cast("string")))).alias("lines"))  # one line for each event type

@@ -361,7 +361,7 @@ def _ruled(spark, sf_dir):
 
 @query(f"with {_RULED_SQL} select id, len(reasons) = 0 as eligible, array_to_string(reasons, '; ') as reasons, case when len(final) = 0 then 'PASS' else 'BLOCKED' end as safety from fr")
 def send_rules(spark, sf_dir):
-    """Every reason against sending a draft, in order, and the final safety check."""
+    """Every reason against sending a draft, in order, and the final safety check."""
     r = _ruled(spark, sf_dir)
     return r.select("id", (F.size("reasons") == 0).alias("eligible"), F.array_join("reasons", "; ").alias("reasons"), F.when(F.size("final") == 0, "PASS").otherwise("BLOCKED").alias("safety"))
 

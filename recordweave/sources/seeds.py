@@ -1,4 +1,4 @@
-"""Lists of companies and mailboxes as CSV files or workbooks, whatever their headers are called."""
+"""Lists of companies and mailboxes as CSV files or workbooks, whatever their headers are called."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Tables that are replaced as a whole, kept as versions: readers see the old one or the new one, never a part."""
+"""Tables that are replaced as a whole, kept as versions: readers see the old one or the new one, never a part."""
 
 from __future__ import annotations
 
@@ -55,7 +55,7 @@ def _create(spark: SparkSession, fs, path) -> bool:
     return True
 
 
-def replace(df: DataFrame, folder: str, dry_run: bool = False) -> int:
+def replace(df: DataFrame, folder: str, dry_run: bool = False, partition: str | None = None) -> int:
     """Writes df as the folder's next version and returns its number; df may read the version before.
 
     A dry run writes beside the folder instead.  A number is claimed before anything is
@@ -65,10 +65,22 @@ def replace(df: DataFrame, folder: str, dry_run: bool = False) -> int:
     """
     folder = folder.rstrip("/") + (DRY_RUN if dry_run else "")
     new = _claim(df.sparkSession, folder)
-    df.write.mode("errorifexists").parquet(_at(folder, new))
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(partition) if partition else writer).parquet(_at(folder, new))
     return new
 
 
+def every(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of all complete versions, of a folder whose versions add to each other; columns a version lacks are null."""
+    frames = [spark.read.parquet(_at(folder, v)) for v in versions(spark, folder)]
+    if not frames:
+        raise FileNotFoundError(f"{folder} has no version")
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out
+
+
 def ensure(spark: SparkSession, folder: str, columns: dict[str, Column]) -> int:
     """The version that has these columns: the last one if it has, else a new one with the missing ones added.
 

@@ -1,4 +1,4 @@
-"""The cache of contacts as keyed state: what was found stays, what was not found is not sought again for a while."""
+"""The cache of contacts as keyed state: what was found stays, what was not found is not sought again for a while."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Streaming forms of the keyed state: what was seen, counters, streaks."""
+"""Streaming forms of the keyed state: what was seen, counters and streaks."""
 
 from __future__ import annotations
 

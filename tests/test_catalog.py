@@ -19,4 +19,4 @@ def test_runs(spark, sf, name):
 
 def test_entry(spark):
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
-    assert entry.entry(spark).columns == ["email_class", "email_domain", "n"]
+    assert entry.entry(spark).columns == ["doc_id", "email", "email_type", "public_business"]

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from recordweave.functions import contacts, hosts, html, text
+from recordweave.functions import hosts, html, text
 from recordweave.operators import dedupe, state
 
 
@@ -27,13 +27,6 @@ def test_attribution_is_directional(spark):
     assert one(spark, pairs, hosts.attributable(F.col("a"), F.col("b"))) == [True, True, False, False, False]
 
 
-def test_contacts(spark):
-    got = one(spark, ["Jo.Doe@acme.example, info@acme.example; x@yahoo.com logo@2x.png info@acme.example", "none", None], contacts.emails(F.col("a")))
-    assert got == [["jo.doe@acme.example", "info@acme.example", "x@yahoo.com"], [], []]
-    best = one(spark, ["jo@acme.example info@acme.example", ""], contacts.best_contact(contacts.emails(F.col("a"))))
-    assert best[0].email == "info@acme.example" and best[0].email_class == "generic" and best[1] is None
-
-
 def test_pages(spark):
     page = '<html><head><title> A <b>x</b>\n </title><script>var t="</p>";</script></head><!-- no --><body>One&amp;two<br>three <a href="/c">c</a><a class="k" href="d?x=1">d</a>'
     assert one(spark, [page, "<h1>H</h1>", ""], html.title(F.col("a"), "?")) == ["A x", "H", "?"]
