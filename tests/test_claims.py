@@ -13,7 +13,7 @@ ID = r"\b[SKPXFJAWUGDTC][0-9]{1,2}\b"
 def listed(text):
     """IDs, ranges such as S7 to S9 spelt out."""
     out = set(re.findall(ID, text))
-    for letter, a, b in re.findall(r"\b([SKPXFJAWUGDTC])([0-9]{1,2}) to \1([0-9]{1,2})\b", text):
+    for letter, a, b in re.findall(r"\b([SKPXFJAWUGDTC])([0-9]{1,2})\s+to\s+\1([0-9]{1,2})\b", text):
         out |= {f"{letter}{k}" for k in range(int(a), int(b) + 1)}
     return out
 
