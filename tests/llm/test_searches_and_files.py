@@ -91,7 +91,9 @@ def test_warc_round_trip(spark, sf):
     assert warc.write_warc(pages.limit(0), new_folder(spark, "warc")).count() == 0
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_of_paths_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr("recordweave.llm.components.FEW", few)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(500, 500), (None, 1)]
     up = {}
