@@ -105,6 +105,23 @@ def test_more_spans_and_redaction(private):
     assert clean == {90303: "é [PHONE] or [PHONE]", 90304: 'token = "[SECRET]"', 99999: None, None: "[EMAIL]"}
 
 
+def test_secrets_of_any_length_go_as_a_whole(private, spark):
+    model = pii.train(private)
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    docs = spark.createDataFrame([(n, f"api_key = {(key * n)[: 40 * n - n]} end") for n in (1, 3, 4, 7, 11, 5000)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(docs.where("doc_id > 0"), model).collect()}
+    assert clean == dict.fromkeys((1, 3, 4, 7, 11, 5000), "api_key = [SECRET] end")
+
+
+def test_languages_never_learned_are_rejected_and_the_learned_kept(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    foreign = ["La casa è molto bella e il giardino è pieno di fiori profumati", "O rapaz não gosta de comer feijão porque acha que não é saboroso", "De kinderen spelen graag buiten in de tuin wanneer het mooi weer is", "AAAA BBBB CCCC", "Dom jest bardzo piękny a ogród pełen jest kwiatów", "Привет мир", "xqzj wvkp zzzq"]
+    model, least = langid.learn(docs.select("text", "lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held")))
+    assert langid.keep(spark.createDataFrame([(-i, t, "en") for i, t in enumerate(foreign)], "doc_id long, text string, lang string"), model, least).count() == 0
+    labelled = docs.where("lang is not null and text is not null")
+    assert langid.keep(labelled, model, least).count() >= 0.99 * labelled.count()
+
+
 def test_a_text_of_many_matches_takes_seconds(private, spark):
     import time
 
