@@ -124,3 +124,13 @@ HEADERS = {
     "source_url": ("source url", "source", "source link", "来源url", "来源链接", "数据来源链接"),
     "notes": ("notes", "note", "remarks", "备注", "判定依据", "展商优势", "展商简介", "公司简介(摘要)", "公司简介（摘要）"),
 }
+
+# Wording of generated searches.
+JOBS, PROCUREMENT = ("Hardware Engineer", "Embedded Engineer", "Electronics Engineer"), ("PCB Assembly", "SMT", "PCBA sourcing")
+INTENTS = ("email", "contact", "sales", "info", "Impressum", "Kontakt")
+#: {c} country, {i} industry, {p} product, {j} job, {b} procurement, {x} and {y} rotating products.
+TEMPLATES = {
+    "batch": ('{c} "{i}" company manufacturer contact', '{c} "{p}" manufacturer', '{c} "{j}" electronics', '{c} (PCB OR PCBA OR "{b}") RFQ OR tender OR sourcing', '{c} electronics ("info@" OR "sales@" OR "contact@")', "{c} hardware manufacturer embedded electronics contact"),
+    "email first": (*('{c} "{i}" "' + x + '"' for x in ("contact", "email", "sales@", "info@", "Impressum", "Kontakt")), '{c} "{x}" "contact"', '{c} "{y}" "contact"'),
+    "prospect": ('{c} "{i}" manufacturer contact', '{c} "{p}" manufacturer contact', '{c} "{i}" exhibitor manufacturer', '{c} "{p}" manufacturer directory', '{c} "{p}" supplier directory', '{c} "{i}" association members manufacturers', '{c} "{p}" product directory manufacturers', '{c} "{p}" distributor partner manufacturer', '{c} "{i}" industrial directory manufacturers', '{c} "{p}" manufacturer catalog filetype:pdf'),
+}

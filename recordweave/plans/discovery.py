@@ -10,8 +10,6 @@ from recordweave.operators import dedupe
 from recordweave.plans.catalog import _long, query, table
 from recordweave.plans.prospects import _DRAFTS_SQL, _LINKS, _anchors_sql, _any, _drafts, _in, _values, attributable_sql, domain_sql, host_sql, q
 
-#: A small lexicon's further terms; parameters of the generated searches.
-JOBS, PROCUREMENT = ("Hardware Engineer", "Embedded Engineer", "Electronics Engineer"), ("PCB Assembly", "SMT", "PCBA sourcing")
 _LEXICON_SQL = """lex as (select p_brand as industry, p_name as product, min(p_partkey) as first from part group by all), cat as (select industry, min(first) as rank, count(*) as n from lex group by 1),
     num as (select lex.industry, product, cat.rank, n, row_number() over (partition by lex.industry order by first) - 1 as pos from lex join cat using (industry)),
     named as (select lower(product) as key, arg_min(industry, rank) as industry, arg_min(pos, rank) as start from num group by 1),
@@ -45,14 +43,6 @@ def _picked_sql(values: tuple[str, ...], shift: int = 0) -> str:
     return f"([{', '.join(map(q, values))}])[((c_custkey + {shift}) % {len(values)}) + 1]"
 
 
-#: {c} country, {i} industry, {p} product, {j} job, {b} procurement, {x} and {y} rotating products.
-_TEMPLATES = {
-    "batch": ('{c} "{i}" company manufacturer contact', '{c} "{p}" manufacturer', '{c} "{j}" electronics', '{c} (PCB OR PCBA OR "{b}") RFQ OR tender OR sourcing', '{c} electronics ("info@" OR "sales@" OR "contact@")', "{c} hardware manufacturer embedded electronics contact"),
-    "email first": (*('{c} "{i}" "' + x + '"' for x in ("contact", "email", "sales@", "info@", "Impressum", "Kontakt")), '{c} "{x}" "contact"', '{c} "{y}" "contact"'),
-    "prospect": ('{c} "{i}" manufacturer contact', '{c} "{p}" manufacturer contact', '{c} "{i}" exhibitor manufacturer', '{c} "{p}" manufacturer directory', '{c} "{p}" supplier directory', '{c} "{i}" association members manufacturers', '{c} "{p}" product directory manufacturers', '{c} "{p}" distributor partner manufacturer', '{c} "{i}" industrial directory manufacturers', '{c} "{p}" manufacturer catalog filetype:pdf'),
-}
-
-
 def _filled(template: str, parts: dict[str, F.Column]) -> F.Column:
     out = F.lit(template)
     for k, v in parts.items():
@@ -68,8 +58,8 @@ def _filled_sql(template: str, parts: dict[str, str]) -> str:
 
 
 def _lists_sql() -> str:
-    parts = {"c": "country", "i": "industry", "p": "product", "j": _picked_sql(JOBS), "b": _picked_sql(PROCUREMENT), "x": _picked_sql(fixed.ROTATING_PRODUCTS), "y": _picked_sql(fixed.ROTATING_PRODUCTS, 1)}
-    return " union all ".join(f"select c_custkey, {q(kind)} as kind, [{', '.join(_filled_sql(t, parts) for t in ts)}] as l from found" for kind, ts in _TEMPLATES.items())
+    parts = {"c": "country", "i": "industry", "p": "product", "j": _picked_sql(fixed.JOBS), "b": _picked_sql(fixed.PROCUREMENT), "x": _picked_sql(fixed.ROTATING_PRODUCTS), "y": _picked_sql(fixed.ROTATING_PRODUCTS, 1)}
+    return " union all ".join(f"select c_custkey, {q(kind)} as kind, [{', '.join(_filled_sql(t, parts) for t in ts)}] as l from found" for kind, ts in fixed.TEMPLATES.items())
 
 
 @query(f"""with {_LEXICON_SQL}, lists as ({_lists_sql()}), u as (select c_custkey, kind, list_filter(l, lambda x, i: list_position(l, x) = i) as l from lists)
@@ -77,22 +67,19 @@ def _lists_sql() -> str:
 def generated_queries(spark, sf_dir):
     """The searches generated for each (country, industry, rotation), in order and once each: batch, mail first, and prospects without their directory part."""
     a = _asked(spark, sf_dir)
-    parts = {"c": F.col("country"), "i": F.col("industry"), "p": F.col("product"), "j": _picked(JOBS), "b": _picked(PROCUREMENT), "x": _picked(fixed.ROTATING_PRODUCTS), "y": _picked(fixed.ROTATING_PRODUCTS, 1)}
-    lists = F.array(*(F.struct(F.lit(kind).alias("kind"), F.array_distinct(F.array(*(_filled(t, parts) for t in ts))).alias("l")) for kind, ts in _TEMPLATES.items()))
+    parts = {"c": F.col("country"), "i": F.col("industry"), "p": F.col("product"), "j": _picked(fixed.JOBS), "b": _picked(fixed.PROCUREMENT), "x": _picked(fixed.ROTATING_PRODUCTS), "y": _picked(fixed.ROTATING_PRODUCTS, 1)}
+    lists = F.array(*(F.struct(F.lit(kind).alias("kind"), F.array_distinct(F.array(*(_filled(t, parts) for t in ts))).alias("l")) for kind, ts in fixed.TEMPLATES.items()))
     e = a.select("c_custkey", F.explode(lists).alias("g")).select("c_custkey", "g.kind", F.posexplode("g.l").alias("pos", "query"))
     return e.select("c_custkey", "kind", "query", _long("pos").alias("pos"))
 
 
-_INTENTS = ("email", "contact", "sales", "info", "Impressum", "Kontakt")
-
-
-@query(f"""with h as (select distinct {host_sql("url")} as host from pages), l as (select host, ['"@' || host || '"', {", ".join(f"'site:' || host || ' {chr(34)}{x}{chr(34)}'" for x in _INTENTS)}, 'site:' || host || ' filetype:pdf email OR contact'] as l from h where host <> '')
+@query(f"""with h as (select distinct {host_sql("url")} as host from pages), l as (select host, ['"@' || host || '"', {", ".join(f"'site:' || host || ' {chr(34)}{x}{chr(34)}'" for x in fixed.INTENTS)}, 'site:' || host || ' filetype:pdf email OR contact'] as l from h where host <> '')
     select host, unnest(l) as query, generate_subscripts(l, 1) - 1 as pos from l""")
 def domain_queries(spark, sf_dir):
     """The eight searches that look for one host's mailboxes."""
     h = table(spark, sf_dir, "pages").select(hosts.host(F.col("url")).alias("host")).where("host <> ''").distinct()
     site = lambda x: F.concat(F.lit("site:"), F.col("host"), F.lit(" " + x))
-    all_ = F.array(F.concat(F.lit('"@'), F.col("host"), F.lit('"')), *(site(f'"{x}"') for x in _INTENTS), site("filetype:pdf email OR contact"))
+    all_ = F.array(F.concat(F.lit('"@'), F.col("host"), F.lit('"')), *(site(f'"{x}"') for x in fixed.INTENTS), site("filetype:pdf email OR contact"))
     return h.select("host", F.posexplode(all_).alias("pos", "query")).select("host", "query", _long("pos").alias("pos"))
 
 

@@ -505,13 +505,24 @@ def known_keys(spark, sf_dir):
     return d.select("id", text.dedupe_key(c("company"), hosts.host(c("domain"))).alias("dedupe_key"), F.when(c("email").isin("not found", ""), "").otherwise(c("email")).alias("known_email"), F.coalesce("sent", F.lit(False)).alias("sent"))
 
 
+def _sent_domains(log):
+    """domain of each row that went out: the company's own, or where none is named, the mailbox's if a host of the source has it; null if neither."""
+    c, site = F.col, lambda x: F.get(sites.of(F.concat(F.lit("https://"), x)), F.lit(0))
+    gone = log.where(F.upper("status") == "SENT").withColumn("s", site(F.regexp_replace("domain", "^https://", ""))).withColumn("urls", sites.of(c("source")))
+    gone = gone.withColumn("m", site(hosts.mailbox_domain(hosts.mailbox(c("email")))))
+    own = lambda u: (u["host"] != "") & ~u["domain"].isin(*fixed.NOT_COMPANIES) & ~prospects.directory(u["domain"]) & hosts.same_company(c("m.host"), c("m.domain"), u["host"], u["domain"])
+    to = F.when((c("s.domain") != "") & ~c("s.host").isin(*fixed.FREE), c("s.host")).when((F.trim("domain") == "") & ~c("m.host").isin(*fixed.FREE) & F.exists("urls", own), c("m.host"))
+    return gone.select(to.alias("domain"))
+
+
+_SENT_DOMAINS_SQL = f"""lx as (select *, {host_sql("domain")} as h, list_transform(regexp_extract_all(source, '(?i)https?://[^\\s;]+'), lambda u: {host_sql("u")}) as hs, {_MAILBOX_SQL} as mail_host from lg where upper(status) = 'SENT'),
+    ly as (select case when h <> '' and {domain_sql("h")} <> '' and h not in {_in(fixed.FREE)} then h
+      when trim(domain) = '' and mail_host <> '' and mail_host not in {_in(fixed.FREE)} and len(list_filter(hs, lambda x: x <> '' and ({domain_sql("x")}) not in {_in(fixed.NOT_COMPANIES + fixed.DIRECTORIES)} and {attributable_sql("mail_host", "x")})) > 0 then mail_host else '' end as d from lx)"""
 _LEADS_SQL = "ld0 as (select s_suppkey as id, s_name as company, case when s_suppkey % 5 = 0 then '' else 'https://www.supp' || s_suppkey || '.co.uk/x' end as site, case when s_suppkey % 3 = 0 then '未公开/待核实' else 'Sales@supp' || s_suppkey || '.co.uk ' end as email from supplier)"
 
 
 @query(f"""with {_DRAFTS_SQL}, {_LOG_SQL}, {_LEADS_SQL}, lh as (select *, {host_sql("site")} as h from ld0),
-    lx as (select *, {host_sql("domain")} as h, list_transform(regexp_extract_all(source, '(?i)https?://[^\\s;]+'), lambda u: {host_sql("u")}) as hs, {_MAILBOX_SQL} as mail_host from lg where upper(status) = 'SENT'),
-    ly as (select case when h <> '' and {domain_sql("h")} <> '' and h not in {_in(fixed.FREE)} then h
-      when trim(domain) = '' and mail_host <> '' and mail_host not in {_in(fixed.FREE)} and len(list_filter(hs, lambda x: x <> '' and ({domain_sql("x")}) not in {_in(fixed.NOT_COMPANIES + fixed.DIRECTORIES)} and {attributable_sql("mail_host", "x")})) > 0 then mail_host else '' end as d from lx)
+    {_SENT_DOMAINS_SQL}
     select distinct * from (
       select 'company key' as kind, lower(trim(regexp_replace(company, '\\s+', ' ', 'g'))) || '|' || case when h = '' then '' else {domain_sql("h")} end as value from lh
       union all select 'domain', {domain_sql("h")} from lh where h <> '' union all select 'email', lower(trim(email)) from (select email from ld0 union all select email from dr union all select email from lg)
@@ -529,13 +540,9 @@ def known_sets(spark, sf_dir):
     k = c("s_suppkey")
     leads = table(spark, sf_dir, "supplier").select(c("s_name").alias("company"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("https://www.supp"), k.cast("string"), F.lit(".co.uk/x"))).alias("site"), F.when(k % 3 == 0, "未公开/待核实").otherwise(F.concat(F.lit("Sales@supp"), k.cast("string"), F.lit(".co.uk "))).alias("email"))
     leads = leads.withColumn("s", F.get(sites.of(c("site")), F.lit(0))).withColumn("domain", F.coalesce("s.domain", F.lit("")))
-    gone = log.where(F.upper("status") == "SENT").withColumn("s", F.get(sites.of(F.concat(F.lit("https://"), F.regexp_replace("domain", "^https://", ""))), F.lit(0))).withColumn("urls", sites.of(c("source")))
-    gone = gone.withColumn("m", F.get(sites.of(F.concat(F.lit("https://"), hosts.mailbox_domain(hosts.mailbox(c("email"))))), F.lit(0)))
-    own = lambda u: (u["host"] != "") & ~u["domain"].isin(*fixed.NOT_COMPANIES) & ~prospects.directory(u["domain"]) & hosts.same_company(c("m.host"), c("m.domain"), u["host"], u["domain"])
-    to = F.when((c("s.domain") != "") & ~c("s.host").isin(*fixed.FREE), c("s.host")).when((F.trim("domain") == "") & ~c("m.host").isin(*fixed.FREE) & F.exists("urls", own), c("m.host"))
     values = {
         "company key": leads.select(text.dedupe_key(c("company"), c("domain"))), "domain": leads.select("domain"), "email": leads.select("email").union(_drafts(spark, sf_dir).select("email")).union(log.select("email")).select(F.lower(F.trim("email"))),
-        "sent email": _sent(log, "email"), "sent company": _sent(log, "company"), "sent domain": gone.select(to),
+        "sent email": _sent(log, "email"), "sent company": _sent(log, "company"), "sent domain": _sent_domains(log),
     }
     all_ = None
     for kind, frame in values.items():
@@ -550,3 +557,33 @@ def draft_texts(spark, sf_dir):
     country = F.when(F.col("id") % 4 == 0, "Germany").when(F.col("id") % 4 == 1, "UK").when(F.col("id") % 4 == 2, "USA").otherwise("Atlantis")
     regions = F.create_map(*(F.lit(x) for pair in fixed.REGIONS.items() for x in pair))
     return _drafts(spark, sf_dir).select("id", F.lower(F.substring(F.concat_ws(": ", "company", "subject"), 1, 60)).alias("subject"), _long(F.size(F.split(F.trim(F.replace("body", F.lit("/"), F.lit(" "))), r"\s+"))).alias("words"), F.coalesce(F.try_element_at(regions, country), F.lit("US")).alias("phone_region"))
+
+
+_MOST_SENT = 25
+
+
+@query(f"""with {_RULED_SQL}, {_SENT_DOMAINS_SQL}, el as (select id, lower(email) as email, lower(company) as company, host0 as domain from fr where len(reasons) = 0 and status = '' and len(final) = 0 and host0 not in (select d from ly where d <> '')),
+    tw as (select * from el union all select id + 1000000, email, 'twin ' || company, domain from el where id % 2 = 0),
+    ft as (select * from tw t where not exists (select 1 from tw e where e.id < t.id and (e.email = t.email or e.company = t.company or e.domain = t.domain))),
+    nw as (select 'cust' || o_custkey || '.example' as domain from orders where o_totalprice between 290000 and 300000 and o_orderstatus = 'F'),
+    rk as (select id, domain, row_number() over (order by id) as place from ft)
+    select id, place, case when domain in (select domain from nw) then 'skipped' else 'to send' end as decision from rk where place <= {_MOST_SENT}""")
+def send_selection(spark, sf_dir):
+    """The drafts of a run that may go out, in order and up to its limit, and what a second look at the grown log makes of each.
+
+    A draft must be eligible, not handled yet and safe; its domain not sent to before; and
+    no draft before it may have its mailbox, company or domain.
+    """
+    from recordweave.operators import dedupe
+    from recordweave.shared import keep
+
+    c, log = F.col, _sent_log(spark, sf_dir)
+    d = _ruled(spark, sf_dir).where((F.size("reasons") == 0) & (c("status") == "") & (F.size("final") == 0))
+    d = d.select("id", "low_email", "low", F.coalesce("site.host", F.lit("")).alias("host"))
+    d = d.join(_sent_domains(log).where("domain is not null").select(c("domain").alias("host")).distinct(), "host", "left_anti").select("id", "low_email", "low", "host")
+    d = keep(d)  # few of the drafts, at the end of all rules
+    twins = d.where(c("id") % 2 == 0).select((c("id") + 1_000_000).alias("id"), "low_email", F.concat(F.lit("twin "), c("low")).alias("low"), "host")
+    picked = dedupe.greedy(d.unionByName(twins), "id", ["low_email", "low", "host"]).orderBy("id").limit(_MOST_SENT)
+    placed = picked.withColumn("place", F.row_number().over(Window.orderBy("id")).cast("long"))  # of the run's limit of rows
+    grown = table(spark, sf_dir, "orders").where("o_totalprice between 290000 and 300000 and o_orderstatus = 'F'").select(F.concat(F.lit("cust"), c("o_custkey").cast("string"), F.lit(".example")).alias("host")).distinct()
+    return placed.join(grown.withColumn("_sent", F.lit(True)), "host", "left").select("id", "place", F.when(c("_sent"), "skipped").otherwise("to send").alias("decision"))

@@ -25,7 +25,7 @@ def by_queries():
 def by_modules():
     """Of sources and streams, which no table of the queries can show: the modules' own docstrings."""
     out = set()
-    for path in glob.glob(os.path.join(ROOT, "recordweave", "s*", "*.py")):
+    for path in [*glob.glob(os.path.join(ROOT, "recordweave", "s*", "*.py")), os.path.join(ROOT, "recordweave", "operators", "recovery.py")]:
         with open(path, encoding="utf-8") as f:
             out |= set(re.findall(ID, (f.read().split('"""') + [""])[1]))
     return out
