@@ -32,6 +32,8 @@ COUNTS, BLOCK = 20, 4096
 WORDS, SEEN = 200_000, 50_000
 #: Texts that meet at one shingle in one task; parts that more are dealt into.
 CROWD, SALTS = 4096, 1024
+#: Differing bits, of 512, up to which chance neighbours are tried; all other pairs are left to the comparison in full.
+NEAR = 150
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29), np.uint64(32))
 
 
@@ -287,6 +289,9 @@ def _pairs(x: dict[str, np.ndarray], keys: tuple[str, ...], least: tuple[int, in
             if "data" in x and len(p):
                 differ = np.bitwise_count(x["data"][p] ^ x["data"][q]).sum(1, dtype=np.int64)
                 ok = (num + den) * differ <= (den - num) * both
+                if reach:
+                    # A sketch of a large set is full and tells little: neighbours by chance are those that it shows to be near.
+                    ok &= differ <= NEAR
                 p, q = p[ok], q[ok]
             if len(p):
                 yield p, q
