@@ -30,7 +30,7 @@ def test_attribution_is_directional(spark):
 def test_pages(spark):
     page = '<html><head><title> A <b>x</b>\n </title><script>var t="</p>";</script></head><!-- no --><body>One&amp;two<br>three <a href="/c">c</a><a class="k" href="d?x=1">d</a>'
     assert one(spark, [page, "<h1>H</h1>", ""], html.title(F.col("a"), "?")) == ["A x", "H", "?"]
-    assert one(spark, [page], html.visible_text(F.col("a"))) == ["A x One two three c d"]
+    assert one(spark, [page], html.visible_text(F.col("a"))) == ["A x One&two three c d"]
     assert one(spark, [page], html.links(F.col("a"))) == [["/c", "d?x=1"]]
     assert one(spark, [("/c", "http://h.example/a/b"), ("d", "http://h.example/a/b"), ("//k.example", "https://h.example/"), ("mailto:x", "http://h.example/")], html.resolve(F.col("a"), F.col("b"))) == ["http://h.example/c", "http://h.example/a/d", "https://k.example", "mailto:x"]
 
