@@ -9,7 +9,6 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -65,21 +64,6 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
-    """What runs inside gets Arrow batches of at most about that size, which bounds the buffers of the JVM and of Python workers; the session's own setting comes back after.
-
-    Only what is computed inside (cut, toArrow) is bound by it, not what stays lazy.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def give_back() -> None:
     """Returns freed memory to the system, as Python workers and the driver live on; nothing happens where the C library can't."""
     pa.default_memory_pool().release_unused()
