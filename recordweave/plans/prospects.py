@@ -495,14 +495,18 @@ def text_labels(spark, sf_dir):
     return d.select("doc_id", industry.alias("industry"), demand.alias("demand"), score.alias("score"))
 
 
-@query(f"""with {_DRAFTS_SQL}, {_SENT_SQL} select id, lower(trim(regexp_replace(company, '\\s+', ' ', 'g'))) || '|' || domain as dedupe_key, case when lower(email) in ('not found', '') then '' else lower(email) end as known_email, lower(email) in (select email from sent) as sent from dr""")
+@query(f"""with {_DRAFTS_SQL}, {_SENT_SQL}, l as (select id, company, domain, lower(email) as email, {_MAILBOX_SQL} as mail_host from dr)
+    select id, lower(trim(regexp_replace(company, '\\s+', ' ', 'g'))) || '|' || domain as dedupe_key, case when email in ('not found', '') then '' else email end as known_email, email in (select email from sent) as sent,
+      case when domain <> '' and domain not in {_in(fixed.FREE)} then domain when domain = '' and mail_host <> '' and mail_host not in {_in(fixed.FREE)} then mail_host else '' end as sent_domain from l""")
 def known_keys(spark, sf_dir):
-    """A record's dedupe key, its known address, and whether that was sent to."""
+    """What excludes a record later: dedupe key, known address, whether that was sent to, and the domain that a sending counts for."""
     from recordweave.functions import text
 
     c, d = F.col, _drafts(spark, sf_dir).withColumn("email", F.lower("email"))
     d = d.join(_sent(_sent_log(spark, sf_dir), "email").withColumn("sent", F.lit(True)), "email", "left")
-    return d.select("id", text.dedupe_key(c("company"), hosts.host(c("domain"))).alias("dedupe_key"), F.when(c("email").isin("not found", ""), "").otherwise(c("email")).alias("known_email"), F.coalesce("sent", F.lit(False)).alias("sent"))
+    mail, host = hosts.mailbox_domain(hosts.mailbox(c("email"))), hosts.host(c("domain"))
+    to = F.when((host != "") & ~host.isin(*fixed.FREE), host).when((host == "") & (mail != "") & ~mail.isin(*fixed.FREE), mail).otherwise("")
+    return d.select("id", text.dedupe_key(c("company"), host).alias("dedupe_key"), F.when(c("email").isin("not found", ""), "").otherwise(c("email")).alias("known_email"), F.coalesce("sent", F.lit(False)).alias("sent"), to.alias("sent_domain"))
 
 
 def _sent_domains(log):

@@ -50,3 +50,11 @@ def test_a_long_run_costs_one_pass(spark):
     d = spark.createDataFrame([("a" * 400_000 + "@",), ("<a " * 100_000,)], "t string")
     assert [len(r[0]) for r in d.select(prospects.addresses(F.col("t"))).collect()] == [0, 0]
     assert [len(r[0]) for r in d.select(prospects.anchors(F.col("t"), F.lit("https://a.example/"))).collect()] == [0, 0]
+
+
+def test_known_keys_name_the_domain_of_a_sending(spark, sf):
+    from recordweave.plans import catalog
+
+    got = {r.id: r.sent_domain for r in catalog.QUERIES["known_keys"](spark, sf).where("id in (1, 11, 55, 99)").collect()}
+    # The company's own domain; the mailbox's where none is named; none if that is free or there is no address.
+    assert got == {1: "cust1.example", 11: "cust11.example", 55: "", 99: ""}
