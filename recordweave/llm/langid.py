@@ -12,22 +12,25 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordweave.llm.chain import Chains, batches
 from recordweave.llm.chunks import Known
-from recordweave.llm.common import crc_mod, give_back
+from recordweave.llm.common import crc_mod, cut, fresh, give_back
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 18
 LEXICON = 2000
 UNKNOWN = "und"
+#: The fineness of gradients, which are summed as whole numbers; a word or feature is frequent if one in so many words is or has it.
+FINE, OFTEN = 1024, 1 << 17
 #: Words and texts that a task labels at once.
 AT_ONCE, TEXTS = 100_000, 500
 
@@ -61,7 +64,7 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """labels: the languages, sorted; weights: (BUCKETS, labels); lexicon: word -> labels of the lexicons that hold it; seen: (BUCKETS, labels), whether a training word of the label has the feature; the rest are log weights."""
+    """labels: the languages, sorted; weights: (BUCKETS, labels); lexicon: word -> labels of the lexicons that hold it; seen: (BUCKETS, labels), whether training words of the label have the feature, one in OFTEN of them at least; the rest are log weights."""
 
     labels: list[str]
     weights: np.ndarray
@@ -71,6 +74,18 @@ class Model:
     move: np.ndarray
     seen: np.ndarray
 
+    def __getstate__(self) -> dict:
+        """Only the features that have something: a model goes to every task, in training once a step."""
+        at = np.flatnonzero(self.weights.any(1) | self.seen.any(1))
+        return vars(self) | {"at": at, "weights": self.weights[at], "seen": self.seen[at]}
+
+    def __setstate__(self, state: dict) -> None:
+        at = state.pop("at")
+        for name in ("weights", "seen"):
+            some, state[name] = state[name], np.zeros((BUCKETS, len(state["labels"])), state[name].dtype)
+            state[name][at] = some
+        vars(self).update(state)
+
     def scores(self, grams: tuple[np.ndarray, np.ndarray], held: np.ndarray) -> np.ndarray:
         """The log weights of each word's labels, from its features and the lexicons that hold it."""
         at = np.searchsorted(grams[1], np.arange(len(held)))
@@ -93,120 +108,246 @@ def _even(x: np.ndarray) -> np.ndarray:
     return np.exp(x - x.max(1, keepdims=True))
 
 
-def fit(texts: list[str], langs: list[str], steps: int = 12, stay: float = 3.0) -> Model:
-    """The field from labelled texts, in two rounds.
+def _slopes(words: list[str], n: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """What n (words, labels), the occurrences of each word under each label, say on weights and listed: gold minus expected, in whole 1 / FINE, so that sums are the same in any order."""
+    grams, held = _grams(words), m.held(words)
+    e = _even(m.scores(grams, held))
+    r = np.rint((n - n.sum(1, keepdims=True) * (e / e.sum(1, keepdims=True))) * FINE)
+    return np.stack([np.bincount(grams[0], r[grams[1], c], BUCKETS) for c in range(len(m.labels))], 1), held.T @ r
 
-    First every word takes its text's label, without transitions.  That model, with a
-    transition weight of `stay` for staying, labels the words anew, foreign passages
-    included, and the whole field, transitions among it, is fitted to those labels.  Each
-    round takes `steps` gradient steps (Adam) with a small quadratic penalty.
+
+def _adam(parts: list[np.ndarray], gradients: Callable[[int], list[np.ndarray]], steps: int) -> None:
+    mean, power = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
+    for step in range(1, steps + 1):
+        for p, g, a, b in zip(parts, gradients(step), mean, power, strict=True):
+            g = g - 0.05 * p
+            a += 0.1 * (g - a)
+            b += 0.01 * (g * g - b)
+            p += 0.3 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+
+
+def _having(words: list[str], n: np.ndarray) -> np.ndarray:
+    """(BUCKETS, labels): of n (words, labels) those that have each feature."""
+    grams = _grams(words)
+    return np.stack([np.bincount(grams[0], n[grams[1], c], BUCKETS) for c in range(n.shape[1])], 1)
+
+
+def _often(found: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Which features at least one in OFTEN of a label's words has."""
+    return (found > 0) & (found * OFTEN >= total)
+
+
+def _empty(labels: list[str]) -> Model:
+    k = len(labels)
+    return Model(labels, np.zeros((BUCKETS, k)), {}, np.zeros((k, k)), np.zeros(k), np.zeros((k, k)), np.zeros((BUCKETS, k), bool))
+
+
+def _moved(m: Model, starts: np.ndarray, moves: np.ndarray, steps: int) -> None:
+    """The weights of starts and moves from how often each was made."""
+
+    def gradients(_: int) -> list[np.ndarray]:
+        first, each = _even(m.start[None])[0], _even(m.move)
+        return [starts - starts.sum() * first / first.sum(), moves - moves.sum(1, keepdims=True) * each / each.sum(1, keepdims=True)]
+
+    _adam([m.start, m.move], gradients, steps)
+
+
+def _relabelled(m: Model, lists: list[list[str]], known: Known, stay: float, at_once: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """words, the label of each and where texts begin: the likeliest labels, by the words' own weights and one of `stay` for staying."""
+    k = len(m.labels)
+    for lo, hi in batches(np.fromiter(map(len, lists), np.int64, len(lists)), at_once):
+        look = known.of(lists[lo:hi])
+        real = [x for x in ([w for w in ws if look(w)] for ws in lists[lo:hi]) if x]
+        if real:
+            words = [w for x in real for w in x]
+            e = np.frombuffer(b"".join(map(look, words)), "<f4").reshape(-1, 2 * k)[:, :k].astype(np.float64)
+            c = Chains(e, np.array(list(map(len, real))), np.ones(k), np.exp(stay * np.eye(k)))
+            c.forward()
+            yield words, c.backward().argmax(1), c.first
+
+
+def _moves(gold: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each label begins a text, and follows each."""
+    later = np.ones(len(gold), bool)
+    later[first] = False
+    at = np.flatnonzero(later)
+    return np.bincount(gold[first], minlength=k), np.bincount(gold[at - 1] * k + gold[at], minlength=k * k).reshape(k, k)
+
+
+class _Counted:
+    """The words of all training texts with their occurrences under each label, a row a word, in Spark.
+
+    In a step of a gradient the frequent words take part, which are few, and of the rest
+    each word in one step of every so many, with that weight: so all words count, and a
+    round reads the rare ones once.
     """
+
+    def __init__(self, rows: DataFrame, labels: list[str], steps: int):
+        """rows: label (index), word, n."""
+        self.labels, self.steps, k = labels, steps, len(labels)
+        self.names = [f"n{c}" for c in range(k)]
+        by = rows.groupBy("word").agg(*(F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(n) for c, n in enumerate(self.names)))
+        self.kept = fresh(by, rows.sparkSession.sparkContext.defaultParallelism)
+        # A word has no space, so these rows are none of words.
+        self.words = self.kept.where(~F.col("word").startswith(" "))
+        total = self.words.agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in self.names)).first()
+        self.total = np.array(list(total), np.int64)
+
+    def lexicon(self) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for c, n in enumerate(self.names):
+            for r in self.words.where(F.col(n) > 0).orderBy(F.desc(n), "word").limit(LEXICON).select("word").collect():
+                out.setdefault(r.word, []).append(c)
+        return out
+
+    def _summed(self, words: DataFrame, of: Callable[[list[str], np.ndarray], np.ndarray], rows: int) -> np.ndarray:
+        """(rows, labels): the sum of of(words, n), whole numbers, over all words."""
+        k, names = len(self.labels), self.names
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((rows, k))
+            for b in parts:
+                for lo in range(0, b.num_rows, 5_000):  # features take some hundred bytes a letter
+                    part = b.slice(lo, 5_000)
+                    out += of(part.column("word").to_pylist(), np.stack([part.column(n).to_numpy() for n in names], 1))
+            at = np.flatnonzero(out.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(out[at, c].astype(np.int64)) for c in range(k))], ["at", *names])
+
+        got = words.select("word", *names).mapInArrow(run, ", ".join(f"{n} long" for n in ("at", *names))).groupBy("at").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+        out = np.zeros((rows, k))
+        for c, n in enumerate(names):
+            out[got.column("at").to_numpy(), c] = got.column(n).to_numpy()
+        return out
+
+    def fit(self, m: Model) -> None:
+        """Takes steps with the weights of features and lexicons."""
+        n, turn = sum(F.col(x) for x in self.names), F.pmod(F.xxhash64("word"), F.lit(self.steps)) + 1
+        often = n * OFTEN >= int(self.total.sum())
+
+        def gradients(step: int) -> list[np.ndarray]:
+            now = self.words.where(often | (turn == step)).select("word", *(F.when(often, F.col(x)).otherwise(F.col(x) * self.steps).alias(x) for x in self.names))
+            both = self._summed(now, lambda words, n: np.vstack(_slopes(words, n, m)), BUCKETS + len(self.labels)) / FINE
+            return [both[:BUCKETS], both[BUCKETS:]]
+
+        _adam([m.weights, m.listed], gradients, self.steps)
+
+    def seen(self) -> np.ndarray:
+        return _often(self._summed(self.words, _having, BUCKETS), self.total)
+
+
+def fit(texts: list[str], langs: list[str], steps: int = 12, stay: float = 3.0) -> Model:
+    """What train() learns, of a few texts at hand: every word takes part in every step."""
     labels = sorted(set(langs))
-    k = len(labels)
-    lists = [[w for w in words_of(t) if any(map(str.isalpha, w))] for t in texts]
-    kept = [i for i, x in enumerate(lists) if x]
-    lists, y = [lists[i] for i in kept], np.array([labels.index(langs[i]) for i in kept], np.int64)
-    seen = [Counter() for _ in labels]
-    for x, c in zip(lists, y.tolist(), strict=True):
-        seen[c].update(x)
-    lexicon: dict[str, list[int]] = {}
-    for c, n in enumerate(seen):
-        for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
-            lexicon.setdefault(w, []).append(c)
-    m = Model(labels, np.zeros((BUCKETS, k)), lexicon, np.zeros((k, k)), np.zeros(k), np.zeros((k, k)), np.zeros((BUCKETS, k), bool))
-    if not lists:
+    k, lists = len(labels), [[w for w in words_of(t) if any(map(str.isalpha, w))] for t in texts]
+    at = {w: i for i, w in enumerate(dict.fromkeys(w for x in lists for w in x))}
+    m, n = _empty(labels), np.zeros((len(at), k), np.int64)
+    if not at:
         return m
-    vocab = {w: i for i, w in enumerate(dict.fromkeys(w for x in lists for w in x))}
-    ids, lengths = np.array([vocab[w] for x in lists for w in x]), np.array(list(map(len, lists)))
-    grams, held = _grams(list(vocab)), m.held(list(vocab))
-    first = np.cumsum(lengths) - lengths
-    later = np.ones(len(ids), bool)
-    later[first] = False
-    gold = np.repeat(y, lengths)
-
-    def by_word(x: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(ids, x[:, c], len(vocab)) for c in range(k)], 1)
-
-    def adam(gradients, parts):
-        mean, power = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-        for step in range(1, steps + 1):
-            for p, g, a, b in zip(parts, gradients(), mean, power, strict=True):
-                g = g - 0.05 * p
-                a += 0.1 * (g - a)
-                b += 0.01 * (g * g - b)
-                p += 0.3 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-
-    def emission(residual: np.ndarray) -> list[np.ndarray]:
-        """The gradients of weights and listed from gold minus expected at each position."""
-        r = by_word(residual)
-        return [np.stack([np.bincount(grams[0], r[grams[1], c], BUCKETS) for c in range(k)], 1), held.T @ r]
-
-    def apart():
-        e = _even(m.scores(grams, held))[ids]
-        return emission(np.eye(k)[gold] - e / e.sum(1, keepdims=True))
-
-    adam(apart, [m.weights, m.listed])
-    relabel = Chains(_even(m.scores(grams, held))[ids], lengths, np.ones(k), np.exp(stay * np.eye(k)))
-    relabel.forward()
-    gold = relabel.backward().argmax(1)
-    here = np.flatnonzero(later)
-    moves = np.zeros((k, k))
-    np.add.at(moves, (gold[here - 1], gold[here]), 1)
-    starts = np.bincount(gold[first], minlength=k)
-
-    def whole():
-        c = Chains(_even(m.scores(grams, held))[ids], lengths, np.exp(m.start), np.exp(m.move))
-        c.forward()
-        p = c.backward()
-        return [*emission(np.eye(k)[gold] - p), starts - p[first].sum(0), moves - c.pairs()]
-
-    adam(whole, [m.weights, m.listed, m.start, m.move])
-    pairs = np.unique(ids * k + gold)  # each word under each label it has somewhere
+    for x, lang in zip(lists, langs, strict=True):
+        np.add.at(n, ([at[w] for w in x], labels.index(lang)), 1)
+    names = list(at)
     for c in range(k):
-        m.seen[grams[0][np.isin(grams[1], pairs[pairs % k == c] // k)], c] = True
-    m.weights = m.weights.astype(np.float32)
+        for i in sorted(np.flatnonzero(n[:, c]).tolist(), key=lambda i: (-n[i, c], names[i]))[:LEXICON]:
+            m.lexicon.setdefault(names[i], []).append(c)
+    _adam([m.weights, m.listed], lambda _: [x / FINE for x in _slopes(names, n, m)], steps)
+    n, starts, moves = np.zeros_like(n), np.zeros(k, np.int64), np.zeros((k, k), np.int64)
+    for words, gold, first in _relabelled(m, lists, _table(m), stay, AT_ONCE):
+        np.add.at(n, ([at[w] for w in words], gold), 1)
+        starts, moves = (a + b for a, b in zip((starts, moves), _moves(gold, first, k), strict=True))
+    _adam([m.weights, m.listed], lambda _: [x / FINE for x in _slopes(names, n, m)], steps)
+    _moved(m, starts, moves, steps)
+    m.seen, m.weights = _often(_having(names, n), n.sum(0)), m.weights.astype(np.float32)
     return m
 
 
-def sample(docs: DataFrame, rows: int = 150) -> DataFrame:
-    """held, lang, text of at most `rows` distinct texts with a letter for each language and value of held, the same for the same rows: those whose hashes come first.
+def train(docs: DataFrame, steps: int = 12, stay: float = 3.0) -> Model:
+    """The field from all texts of docs(text, lang), in two rounds.
 
-    Hashes are ranked before any text moves, and each counts once however many copies it
-    has, so that a text copied many times takes one place.
+    First every word takes its text's label, without transitions.  That model, with a
+    transition weight of `stay` for staying, labels the words of all texts anew, foreign
+    passages included, and the parts of the field (features and lexicons, starts, moves)
+    are each fitted to those labels, piece by piece, so that counts suffice.  Each round
+    takes `steps` gradient steps (Adam) with a small quadratic penalty.  The texts are read
+    twice; counts of words stay in Spark, and sums of fixed size come to the driver.
     """
-    h = F.xxhash64("text").alias("h")
-    rank = F.row_number().over(Window.partitionBy("held", "lang").orderBy("h"))
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("held", "lang", h).distinct()
-    first = known.withColumn("rank", rank).where(F.col("rank") <= rows).select("held", "lang", "h")
-    # Twice `rows` hashes a language are broadcast; equal hashes are one text.
-    return docs.select("held", "lang", "text", h).join(F.broadcast(first), ["held", "lang", "h"], "left_semi").groupBy("held", "lang", "h").agg(F.min("text").alias("text")).drop("h")
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
 
+    def words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _tallied(([(w, lang) for w in words_of(text) if any(map(str.isalpha, w))] for b in parts for lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True)), pa.string())
 
-def learn(docs: DataFrame, rows: int = 150, low: float = 0.01, margin: tuple[float, float] = (0.5, 0.8)) -> tuple[Model, tuple[float, float]]:
+    told = cut(known.mapInArrow(words, "word string, label string, n long").groupBy("word", "label").agg(F.sum("n").alias("n")))
+    m = _empty(sorted(r.label for r in told.select("label").distinct().collect()))
+    if not m.labels:
+        return m
+    index = F.create_map(*(F.lit(x) for pair in zip(m.labels, range(len(m.labels)), strict=True) for x in pair))
+    counted = _Counted(told.withColumn("label", index[F.col("label")]), m.labels, steps)
+    m.lexicon = counted.lexicon()
+    counted.fit(m)
+    k = len(m.labels)
+
+    def again(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(m)
+
+        def pairs() -> Iterator[Iterable[tuple[str, int]]]:
+            for b in parts:
+                for lo in range(0, b.num_rows, TEXTS):
+                    lists = [words_of(t) for t in b.column("text").slice(lo, TEXTS).to_pylist()]
+                    for words, gold, first in _relabelled(m, lists, table, stay, AT_ONCE):
+                        yield zip(words, gold.tolist(), strict=True)
+                        starts, moves = _moves(gold, first, k)
+                        yield {**{(f" start {c}", 0): int(n) for c, n in enumerate(starts)}, **{(f" move {i} {j}", 0): int(moves[i, j]) for i in range(k) for j in range(k)}}
+
+        yield from _tallied(pairs(), pa.int32())
+        table.table.clear()
+        give_back()
+
+    counted = _Counted(known.select("text").mapInArrow(again, "word string, label int, n long"), m.labels, steps)
+    counted.fit(m)
+    made = {r.word: r.n0 for r in counted.kept.where(F.col("word").startswith(" ")).collect()}
+    _moved(m, np.array([made.get(f" start {c}", 0) for c in range(k)]), np.array([[made.get(f" move {i} {j}", 0) for j in range(k)] for i in range(k)]), steps)
+    m.seen, m.weights = counted.seen(), m.weights.astype(np.float32)
+    return m
+
+
+def _tallied(pairs: Iterator[Iterable[tuple[str, object]]], label: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """word, label, n of pairs (or counts of pairs); a table that is full is given out and begun anew."""
+    tally: Counter = Counter()
+
+    def rows() -> pa.RecordBatch:
+        some = [x for x in tally.items() if x[1]]
+        return pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in some], pa.string()), pa.array([x[0][1] for x in some], label), pa.array([x[1] for x in some], pa.int64())], ["word", "label", "n"])
+
+    for some in pairs:
+        tally.update(some)
+        if len(tally) > AT_ONCE:
+            yield rows()
+            tally.clear()
+    yield rows()
+
+
+def learn(docs: DataFrame, low: float = 0.01, margin: tuple[float, float] = (0.5, 0.8)) -> tuple[Model, tuple[float, float]]:
     """The field, and the least score and familiarity of a text that is accepted, from docs(text, lang, held).
 
-    The field is fitted on the driver on `rows` texts a language of those not held out, the
-    documented bound.  Each threshold is its margin of the value that a share `low` of the
-    rightly labelled held-out texts falls short of, by as many of them.  Without labels
+    The field is fitted on all labelled texts of those not held out.  Each threshold is its
+    margin of the value that a share `low` of all rightly labelled held-out texts falls
+    short of, by as many of them (ranks are exact up to one in a million).  Without labels
     nothing is known to reject by, and both are 0.
     """
-    got = sample(docs, rows).orderBy("lang", "text").collect()
-    model = fit([r.text for r in got if not r.held], [r.lang for r in got if not r.held])
-    give_back()
-    held = [r for r in got if r.held]
-    if not held or not model.labels:
+    model = train(docs.where(~F.col("held")))
+    if not model.labels:
         return model, (0.0, 0.0)
-    name, score, familiar = _labelled(model, [r.text for r in held], _table(model), AT_ONCE)
-    right = np.array([n < len(model.labels) and model.labels[n] == r.lang for n, r in zip(name.tolist(), held, strict=True)])
-    if not right.any():
-        return model, (0.0, 0.0)
-    return model, (margin[0] * float(np.quantile(score[right], low)), margin[1] * float(np.quantile(familiar[right], low)))
+    known = docs.where(F.col("held") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
 
+    def right(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(model)
+        for b in parts:
+            name, score, familiar = _labelled(model, b.column("text"), table, AT_ONCE)
+            yield pa.RecordBatch.from_arrays([pa.array(score), pa.array(familiar)], ["score", "familiarity"]).filter(pc.equal(b.column("lang"), pa.array([*model.labels, None], pa.string()).take(pa.array(name))))
+        table.table.clear()
+        give_back()
 
-def train(docs: DataFrame, rows: int = 150) -> Model:
-    """The field alone, from docs(text, lang)."""
-    got = sample(docs.select("lang", "text", F.lit(False).alias("held")), rows).orderBy("lang", "text").collect()
-    return fit([r.text for r in got], [r.lang for r in got])
+    least = known.mapInArrow(right, "score double, familiarity double").agg(*(F.percentile_approx(x, low, 1_000_000) for x in ("score", "familiarity"))).first()
+    return model, tuple(m * (x or 0.0) for m, x in zip(margin, least, strict=True))
 
 
 def _labelled(model: Model, texts: list[str] | pa.Array, known: Known, at_once: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,12 +435,12 @@ def keep(docs: DataFrame, model: Model, least: tuple[float, float], at_once: int
     return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(kept, docs.schema)
 
 
-def identify(docs: DataFrame, rows: int = 150) -> DataFrame:
+def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, familiarity of every row of docs(doc_id, text, lang).
 
-    Learned from the labelled documents whose crc32(doc_id as text) mod 3 is not 1 (a null
+    Learned from all labelled documents whose crc32(doc_id as text) mod 3 is not 1 (a null
     doc_id counts as empty text).  Nulls, empty texts and tables, repeated rows and other
     columns as in predict; a null lang teaches nothing.
     """
     held = crc_mod(F.col("doc_id"), 3) == 1
-    return predict(docs, train(docs.where(~held), rows)).withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score", "familiarity")
+    return predict(docs, train(docs.where(~held))).withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score", "familiarity")

@@ -138,3 +138,23 @@ def test_a_text_of_many_matches_takes_seconds(private, spark):
 def test_copies_take_one_place_of_the_sample(spark):
     rows = [(i, f"the cat and the dog number {chr(97 + i % 26)}{chr(97 + i // 26)} went out", "en") for i in range(400)] + [(1000 + i, "der hund und die katze gehen aus dem haus", "de") for i in range(4000)]
     assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).labels == ["de", "en"]
+
+
+def test_every_labelled_text_teaches(spark):
+    """200 texts a language, each with a word of its own: a sample of them leaves words that nothing is known of."""
+    rng = random.Random(7)
+    own = [["".join(rng.choice(letters) for _ in range(7)) for _ in range(200)] for letters in ("abcdefgh", "pqrstuvw")]
+    rows = [(f"{w} {w}", lang, False) for lang, words in zip(("xx", "yy"), own, strict=True) for w in words]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string, held boolean").select("text", "lang"))
+    assert set(model.lexicon) == {*own[0], *own[1]}
+    asked = spark.createDataFrame([(i, w) for i, w in enumerate(own[0] + own[1])], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(asked, model).collect()}
+    assert all(got[i].lang_pred == ("xx" if i < 200 else "yy") and got[i].familiarity > 0.9 for i in range(400))
+
+
+def test_thresholds_come_from_all_held_out_texts(spark):
+    """One in 50 held-out texts is half foreign to its language, too few for a sample of 150 to hold them all."""
+    rows = [(f"the cat and the dog {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} went out", "en", i % 2 == 1) for i in range(3000)] + [("der hund und die katze gehen aus", "de", False)] * 20
+    odd = [(f"the cat and the dog żółć{chr(97 + i % 26)} źdźbło gęś", "en", True) for i in range(60)]
+    with_odd, without = (langid.learn(spark.createDataFrame(x, "text string, lang string, held boolean"))[1] for x in (rows + odd, rows))
+    assert with_odd[1] < without[1]
