@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from recordweave.functions import hosts
+from recordweave.functions.slices import by_slices
 
 _URL = re.compile(r"https?://[^\s;]+", re.I)
 _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:@]*)")
@@ -77,6 +78,9 @@ def of(text: Column, rules: tuple[str, ...] = hosts.SUFFIXES) -> Column:
 
     @F.arrow_udf(_SITES)
     def found(texts: pa.Array) -> pa.Array:
+        return by_slices(made, texts)
+
+    def made(texts: pa.Array) -> pa.Array:
         suffixes, out = _suffixes(rules), []
         for t in texts.to_pylist():
             row = []

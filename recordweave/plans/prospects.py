@@ -317,9 +317,8 @@ def _ruled(spark, sf_dir):
     # What comes out of the Arrow functions is computed once, whatever later refers to it.
     d = d.withColumn("urls", sites.of(c("source"))).withColumn("site", F.get(sites.of(F.concat(F.lit("https://"), c("domain"))), F.lit(0)))
     d = d.withColumn("mail", hosts.mailbox(c("email"))).withColumn("mail_site", F.get(sites.of(F.concat(F.lit("https://"), hosts.mailbox_domain(c("mail")))), F.lit(0)))
-    recorded = evidence.qualification(F.regexp_extract_all("angle", F.lit(_RECORDED), F.lit(1)), F.lit(""))["signals"]
-    d = d.withColumn("signals", recorded).withColumn("hardware", evidence.qualification(c("signals"), F.lit(""))["eligible"])
-    d = d.withColumn("excluded", evidence.qualification(F.array("angle", "source"), c("company"))["exclusions"])
+    d = d.withColumn("told", evidence.draft(F.regexp_extract_all("angle", F.lit(_RECORDED), F.lit(1)), F.array("angle", "source"), c("company")))
+    d = d.withColumn("signals", c("told.signals")).withColumn("hardware", c("told.hardware")).withColumn("excluded", c("told.exclusions"))
     own, mail_host, mail_domain = F.coalesce(c("site.host"), F.lit("")), F.coalesce(c("mail_site.host"), F.lit("")), F.coalesce(c("mail_site.domain"), F.lit(""))
     first = F.try_element_at(F.filter("urls", lambda u: u["host"] != ""), F.lit(1))
     host = F.when(own == "", F.coalesce(first["host"], F.lit(""))).otherwise(own)
