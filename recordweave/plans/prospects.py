@@ -127,7 +127,7 @@ def company_names(spark, sf_dir):
     title = F.col("title")
     # The separators are tried in their order, whatever comes first in the title.
     first = F.coalesce(*(F.when(title.contains(sep), F.split_part(title, F.lit(sep), F.lit(1))) for sep in _SEPARATORS), title)
-    p = _pages(spark, sf_dir).select("page_id", "url", markup.page(F.col("html")).alias("p")).select("page_id", "url", F.col("p.title").alias("title"), F.col("p.text").alias("t"))
+    p = _pages(spark, sf_dir).select("page_id", "url", markup.read(F.col("html")).alias("p")).select("page_id", "url", F.col("p.title").alias("title"), F.col("p.text").alias("t"))
     p = p.select("page_id", "url", first.alias("title_name"), "t")
     found = F.coalesce(F.nullif(evidence.legal_name(F.col("t")), F.lit("")), F.nullif(prospects.host_name(F.col("url")), F.lit("")), F.lit(""))
     return p.select("page_id", "title_name", prospects.company_name(F.col("url"), F.col("t"), F.lit("")).alias("name"), evidence.legal_name(F.col("t")).alias("legal"), prospects.generic_name(found).alias("generic"))
