@@ -12,12 +12,12 @@ HREF = r"""(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>"""
 
 def title(html: Column, unknown: str = "") -> Column:
     """The title, else the first heading, else the sentinel."""
-    return F.coalesce(F.nullif(markup.page(html)["title"], F.lit("")), F.lit(unknown))
+    return F.coalesce(F.nullif(markup.title(html), F.lit("")), F.lit(unknown))
 
 
 def visible_text(html: Column) -> Column:
     """Text outside comments, dropped elements and tags, entities as their characters."""
-    return markup.page(html)["text"]
+    return markup.text(html)
 
 
 def links(html: Column) -> Column:
