@@ -69,7 +69,7 @@ def lead_chain(spark, sf_dir):
     pages.  n_evidence counts the different official pages read on the way.
     """
     c, pages = F.col, _pages(spark, sf_dir)
-    rows = pages.select("id", "url", markup.page(c("html"), c("url")).alias("p"), F.get(sites.of(c("url")), F.lit(0)).alias("s"))
+    rows = pages.select("id", "url", markup.read(c("html")).alias("p"), F.get(sites.of(c("url")), F.lit(0)).alias("s"))
     rows = rows.select("id", "url", c("p.title").alias("title"), F.substring("p.text", 1, 200).alias("snippet"), F.coalesce("s.host", F.lit("")).alias("host"), F.coalesce("s.domain", F.lit("")).alias("domain"))
     rows = rows.withColumn("origin", F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1))
     peer = prospects.contains_any(F.lower(F.concat_ws(" ", "title", "snippet")), fixed.PEERS)
