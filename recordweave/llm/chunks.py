@@ -12,6 +12,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+
 #: One space and a run, or white space as the pre-tokenizer takes it: a run of it leaves its last character to what follows.
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Python counts these as white space and the pre-tokenizer does not: a text with one is not split.
@@ -25,6 +28,79 @@ def split(text: str) -> list[str]:
     return CHUNK.findall(text) if not ODD.search(text) else [text]
 
 
+def _table(some: Iterable[int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(some)] = True
+    return out
+
+
+_SPACE = _table((0x20, *range(0x09, 0x0E)))
+_LETTER = _table((*range(0x41, 0x5B), *range(0x61, 0x7B)))
+_SIGN = _table((*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)))
+# Of white space beyond ASCII: bytes that one may begin with, end with, and have before the last.
+_LEAD, _LAST, _LATE = _table((0xC2, 0xE1, 0xE2, 0xE3)), _table((*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF)), _table((0xC2, 0x9A, 0x80, 0x81))
+
+
+def at_spaces(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where runs of ASCII white space begin and end in the bytes of texts."""
+    space = _SPACE[data]
+    return np.flatnonzero(space[1:] != space[:-1]) + 1
+
+
+def at_chunks(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where chunks begin, from the bytes of texts that begin at first; next to white space beyond ASCII some are left out.
+
+    A run of white space leaves its last character to what follows, which joins it if it is a space.
+    A run of letters ends where a sign follows.
+    """
+    space = _SPACE[data]
+    w = np.flatnonzero(space)
+    begin = w[~space[w - 1] & ~(_LAST[data[w - 1]] & _LATE[data[w - 2]])]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[first] = begins[-1] = True
+    w = w[~begins[w + 1]]
+    last = w[~space[w + 1] & ~_LEAD[data[w + 1]]]
+    sign = np.flatnonzero(_SIGN[data])
+    before = data[sign - 1]
+    # U+00C0 to U+00FF are letters but for two.
+    latin = (data[sign - 2] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+    signs = sign[_LETTER[before] | latin]
+    return np.concatenate([begin, last, last[data[last] != 0x20] + 1, signs])
+
+
+def parted(texts: pa.Array, places: Callable[[np.ndarray, np.ndarray], np.ndarray], whole: np.ndarray | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct parts of texts (none null), the number of each part in order, and how many parts came before each text and in all.
+
+    places gives where parts begin, besides texts, from all bytes and the texts' first ones;
+    texts marked in whole are one part.
+    """
+    texts = texts.cast(pa.string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    if ends[0] == ends[-1]:
+        return [], np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    data = data.slice(ends[0], ends[-1] - ends[0])
+    ends = (ends - ends[0]).astype(np.int64)
+    mark = np.zeros(ends[-1] + 1, bool)
+    mark[places(np.frombuffer(data, np.uint8), ends[:-1][ends[:-1] < ends[-1]])] = True
+    for i in np.flatnonzero(whole) if whole is not None else ():
+        mark[ends[i] : ends[i + 1]] = False
+    mark[ends] = True
+    at = np.flatnonzero(mark).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy(), np.searchsorted(at, ends)
+
+
+def gathered(made: list[bytes], at: np.ndarray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values of made[i] for each i of at, one after the other, and how many came before each and in all."""
+    size = np.fromiter(map(len, made), np.int64, len(made)) // np.dtype(dtype).itemsize
+    begin, n = np.cumsum(size) - size, size[at]
+    before = np.concatenate([[0], np.cumsum(n)])
+    place = np.repeat(begin[at] - before[:-1], n)
+    place += np.arange(len(place))
+    return np.frombuffer(b"".join(made), dtype)[place], before
+
+
 class Known:
     """A bounded table from chunks to what `make` gives for a list of new ones."""
 
@@ -37,7 +113,10 @@ class Known:
         A full table starts again with the chunks of these texts; chunks over LONGEST
         characters are looked up for these texts alone.
         """
-        now = set().union(*texts)
+        return self.look(set().union(*texts))
+
+    def look(self, now: Iterable[str]) -> Callable:
+        """As of(), for distinct chunks."""
         new = [c for c in now if c not in self.table]
         if len(self.table) + len(new) > self.bound:
             self.table = {c: self.table[c] for c in now if c in self.table}

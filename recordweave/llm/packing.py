@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordweave.llm.chunks import Known, split
+from recordweave.llm.chunks import Known, at_chunks, gathered, parted
 from recordweave.llm.common import cut
 
 _TOKENS = "part int, at long, doc_id long, n long, ids binary"
@@ -48,14 +49,23 @@ def _encoder(path: str):
     return _encoders[path]
 
 
-def _ids(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids, in the narrowest width; equal to encoding the whole text."""
-    encode, known, special, _ = _encoder(path)
+def _ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids, in the narrowest width, equal to encoding whole texts; and how many came before each text and in all."""
+    encode, known, special, wide = _encoder(path)
     if known is None:
-        return list(encode(texts))
-    parts = [[t] if any(s in t for s in special) else split(t) for t in texts]
-    look = known.of(parts)
-    return [b"".join(map(look, p)) for p in parts]
+        return gathered(list(encode(texts.to_pylist())), np.arange(len(texts)), wide)
+    whole = np.zeros(len(texts), bool)
+    for s in special:
+        whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+    chunks, at, before = parted(texts, at_chunks, whole)
+    ids, n = gathered(list(map(known.look(chunks), chunks)), at, wide)
+    return ids, n[before]
+
+
+def _binary(ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    """ids, n[i] of them in the i-th value."""
+    ends = np.concatenate([[0], np.cumsum(n)]) * ids.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)]).cast(pa.binary())
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, batch: int = 1000) -> DataFrame:
@@ -67,15 +77,14 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, batch: int = 1000
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         wide = _encoder(tokenizer)[3]
-        end = np.array([end_id], wide).tobytes()
         for whole in batches:
             for lo in range(0, whole.num_rows, batch):
                 b = whole.slice(lo, batch)
-                ids = [x + end for x in _ids(b.column("text").to_pylist(), tokenizer)]
-                n = np.array([len(x) // wide.itemsize for x in ids], np.int64)
+                ids, ends = _ids(b.column("text"), tokenizer)
+                ids, n = np.insert(ids, ends[1:], end_id), np.diff(ends) + 1
                 before = at + np.cumsum(n) - n
                 at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(before), b.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], ["part", "at", "doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(before), b.column("doc_id"), pa.array(n), _binary(ids, n)], ["part", "at", "doc_id", "n", "ids"])
 
     return cut(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, _TOKENS))
 

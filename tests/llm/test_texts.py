@@ -1,11 +1,14 @@
 """Packing, token counts, SentencePiece, SimHash and the language model against plain versions."""
 
 import collections
+import itertools
 import math
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -222,3 +225,18 @@ def test_one_round_and_scores_equal_enumeration(spark, monkeypatch):
         if all(w in number for w in x.lower().split()):
             total = sum(w for _, w in paths([number[w] for w in x.lower().split()] + [1], *want))
             assert abs(got[i].score - math.log10(total)) < 1e-9
+
+
+def test_ids_of_parts_are_those_of_whole_texts():
+    """Also next to white space beyond ASCII and signs, and in slices; a word is learnt once, whatever sign follows it."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    encode, known, special, wide = packing._encoder(path)
+    rng = random.Random(1)
+    some = [*" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0     　​﻿", *"aB1.,('\"éßà×÷©の😀À", "’", "“", "'s", "'ll", " word", "  ", *special]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(12))) for _ in range(20_000)]
+    ids, ends = packing._ids(pa.array(["before", *texts, ""]).slice(1), path)
+    assert [ids[a:b].tobytes() for a, b in itertools.pairwise(ends)] == [*encode(texts), b""]
+    assert packing._ids(pa.array([""]), path)[1].tolist() == packing._ids(pa.array([], pa.string()), path)[1].tolist() + [0] == [0, 0]
+    before = set(known.table)
+    packing._ids(pa.array(["Zyxwvé, zyxwvé. zyxwvé; zyxwvé! zyxwvé"]), path)
+    assert len(set(known.table) - before - set(",.;!")) == 2
