@@ -1,7 +1,7 @@
 """Exact forward-backward over many linear chains at once.
 
 Chains of any length are cut into segments of at most STEP positions.  A segment maps the
-weights at its first position to those at its last by one matrix; along each chain these
+weights at its first position to those at its last by one matrix, scaled every few steps; along each chain these
 matrices give every segment its entering and leaving weights, and then all segments run
 side by side, so the number of steps is STEP, not the length of the longest chain.
 """
@@ -30,6 +30,11 @@ class Chains:
         self.where[order] = np.arange(len(of))
         self.begin = np.cumsum(many) - many
         self.running = np.searchsorted(-self.size, -np.arange(STEP + 1), side="left")  # segments longer than t
+        # Positions step by step, so that those of a step lie side by side: of step t from step[t] on.
+        self.step = np.concatenate([[0], np.cumsum(self.running)])
+        t = np.repeat(np.arange(STEP + 1), self.running)
+        self.by_step = self.at[np.arange(len(t)) - self.step[t]] + t
+        self.ones = np.ones(self.k)
         self.enter = np.tile(start, (len(of), 1))
         self.leave = np.ones((len(of), self.k))
         if (many > 1).any():
@@ -43,10 +48,14 @@ class Chains:
         place[rows] = np.arange(len(rows))
         at, size, k = self.at[rows], self.size[rows], self.k
         m = self.e[at][:, :, None] * np.eye(k)
+        ones = np.ones(k * k)
         for t in range(1, int(size[0])):
             n = int(np.searchsorted(-size, -t, side="left"))
-            x = (m[:n].reshape(-1, k) @ self.move).reshape(n, k, k) * self.e[at[:n] + t][:, None, :]
-            m[:n] = x / x.sum(axis=(1, 2), keepdims=True)
+            x = (m[:n].reshape(-1, k) @ self.move).reshape(n, k, k)
+            x *= self.e[at[:n] + t][:, None, :]
+            if t % 4 == 0:
+                x /= (x.reshape(n, -1) @ ones)[:, None, None]
+            m[:n] = x
         most = int(self.many[long].max())
         for j in range(1, most):
             c = long[self.many[long] > j]
@@ -61,26 +70,36 @@ class Chains:
 
     def forward(self) -> np.ndarray:
         """Fills alpha (scaled to sum 1) and scale; the logarithm of each chain's total weight."""
-        self.alpha, self.scale = np.empty_like(self.e), np.empty(len(self.e))
+        e, scale = self.e[self.by_step], np.empty(len(self.e))
         p = self.enter
         for t in range(int(self.size[0]) if len(self.size) else 0):
-            n = self.running[t]
-            i = self.at[:n] + t
-            a = (p[:n] if t == 0 else p[:n] @ self.move) * self.e[i]
-            c = a.sum(1)
-            p = a / c[:, None]
-            self.alpha[i], self.scale[i] = p, c
+            lo, hi = self.step[t], self.step[t + 1]
+            a = e[lo:hi]
+            a *= p if t == 0 else p[: hi - lo] @ self.move
+            np.matmul(a, self.ones, out=scale[lo:hi])
+            a /= scale[lo:hi, None]
+            p = a
+        self.alpha, self.scale = np.empty_like(self.e), np.empty_like(scale)
+        self.alpha[self.by_step], self.scale[self.by_step] = e, scale
         return np.add.reduceat(np.log(self.scale), self.first) if len(self.first) else np.zeros(0)
 
     def backward(self) -> np.ndarray:
         """After forward(): each position's state probabilities; self.beta is kept for pairs()."""
-        self.beta = np.empty_like(self.e)
+        beta = (self.e / self.scale[:, None])[self.by_step]
         last = self.at + self.size - 1
-        self.beta[last] = self.leave / (self.leave * self.alpha[last]).sum(1, keepdims=True)
-        for t in range(int(self.size[0]) - 2 if len(self.size) else -1, -1, -1):
-            n = self.running[t + 1]
-            i = self.at[:n] + t
-            self.beta[i] = (self.e[i + 1] * self.beta[i + 1] / self.scale[i + 1][:, None]) @ self.move.T
+        leave = self.leave / (self.leave * self.alpha[last]).sum(1, keepdims=True)
+        back = self.move.T
+        # What a step holds is replaced once the step before has been made of it.
+        later = None
+        for t in range(int(self.size[0]) - 1 if len(self.size) else -1, -1, -1):
+            lo, hi = self.step[t], self.step[t + 1]
+            x = leave[: hi - lo].copy()
+            if later is not None:
+                np.matmul(later, back, out=x[: len(later)])
+            later = beta[lo:hi] * x
+            beta[lo:hi] = x
+        self.beta = np.empty_like(self.e)
+        self.beta[self.by_step] = beta
         return self.alpha * self.beta
 
     def pairs(self) -> np.ndarray:

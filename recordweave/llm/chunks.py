@@ -36,17 +36,12 @@ def _table(some: Iterable[int]) -> np.ndarray:
 
 _SPACE = _table((0x20, *range(0x09, 0x0E)))
 _LETTER = _table((*range(0x41, 0x5B), *range(0x61, 0x7B)))
+_WIDE = _LETTER | _table(range(0x80, 0x100))
 _SIGN = _table((*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)))
 # Of white space beyond ASCII: bytes that one may begin with, end with, and have before the last.
 _LEAD, _LAST, _LATE = _table((0xC2, 0xE1, 0xE2, 0xE3)), _table((*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF)), _table((0xC2, 0x9A, 0x80, 0x81))
 
 
-def at_spaces(data: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Where runs of ASCII white space begin and end in the bytes of texts."""
-    space = _SPACE[data]
-    return np.flatnonzero(space[1:] != space[:-1]) + 1
-
-
 def at_chunks(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Where chunks begin, from the bytes of texts that begin at first; next to white space beyond ASCII some are left out.
 
@@ -68,26 +63,51 @@ def at_chunks(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate([begin, last, last[data[last] != 0x20] + 1, signs])
 
 
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where texts (none null) begin, and the end of the last, and their bytes."""
+    texts = texts.cast(pa.string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    return ends - ends[0], np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+
+
+def letters(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As parted(), of the runs of ASCII letters and of all characters beyond ASCII alone.
+
+    How a capital sigma is lower-cased hangs on what stands around it, up to white space:
+    where there is one, the runs are those without white space.
+    """
+    ends, data = _bytes(texts)
+    in_run = ~_SPACE[data] if b"\xce\xa3" in data.tobytes() else _WIDE[data]
+    begin = in_run.copy()
+    begin[1:] &= ~in_run[:-1]
+    first = ends[:-1][ends[:-1] < len(data)]
+    begin[first] = in_run[first]
+    at = np.flatnonzero(begin)
+    if not len(at):
+        return [], np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    offsets = np.zeros(len(at) + 1, np.int32)
+    np.cumsum(np.add.reduceat(in_run, at, dtype=np.int32), out=offsets[1:])
+    found = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data[in_run])).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy(), np.searchsorted(at, ends)
+
+
 def parted(texts: pa.Array, places: Callable[[np.ndarray, np.ndarray], np.ndarray], whole: np.ndarray | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct parts of texts (none null), the number of each part in order, and how many parts came before each text and in all.
 
     places gives where parts begin, besides texts, from all bytes and the texts' first ones;
     texts marked in whole are one part.
     """
-    texts = texts.cast(pa.string())
-    _, ends, data = texts.buffers()
-    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
-    if ends[0] == ends[-1]:
+    ends, data = _bytes(texts)
+    if not len(data):
         return [], np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    data = data.slice(ends[0], ends[-1] - ends[0])
-    ends = (ends - ends[0]).astype(np.int64)
     mark = np.zeros(ends[-1] + 1, bool)
-    mark[places(np.frombuffer(data, np.uint8), ends[:-1][ends[:-1] < ends[-1]])] = True
+    mark[places(data, ends[:-1][ends[:-1] < ends[-1]])] = True
     for i in np.flatnonzero(whole) if whole is not None else ():
         mark[ends[i] : ends[i + 1]] = False
     mark[ends] = True
     at = np.flatnonzero(mark).astype(np.int32)
-    found = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data).dictionary_encode()
+    found = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)).dictionary_encode()
     return found.dictionary.to_pylist(), found.indices.to_numpy(), np.searchsorted(at, ends)
 
 

@@ -10,9 +10,9 @@ languages that were never learned, whose probabilities mean nothing.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordweave.llm.chain import Chains, batches
-from recordweave.llm.chunks import Known
+from recordweave.llm.chunks import Known, letters
 from recordweave.llm.common import crc_mod, cut, fresh, give_back
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -32,7 +32,7 @@ UNKNOWN = "und"
 #: The fineness of gradients, which are summed as whole numbers; a word or feature is frequent if one in so many words is or has it.
 FINE, OFTEN = 1024, 1 << 17
 #: Words and texts that a task labels at once.
-AT_ONCE, TEXTS = 100_000, 500
+AT_ONCE, TEXTS = 200_000, 2000
 
 
 def words_of(text: str) -> list[str]:
@@ -40,6 +40,17 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def _real(chunk: str) -> list[str]:
+    """The words of a chunk that have a letter."""
+    low = chunk.lower()
+    return [low] if low.isalpha() else [w for w in WORD.findall(low) if any(map(str.isalpha, w))]
+
+
+def _places(lists: list[list[str]]) -> np.ndarray:
+    """How many words came before each list, and in all."""
+    return np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
+
+
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each feature, its word): all character pairs and triples of ^word$, and its affixes of three letters."""
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -99,8 +110,8 @@ class Model:
     def held(self, words: list[str]) -> np.ndarray:
         """Which lexicons hold each word, as 0 and 1."""
         out = np.zeros((len(words), len(self.labels)))
-        for i, w in enumerate(words):
-            out[i, self.lexicon.get(w, [])] = 1
+        at = [(i, c) for i, found in enumerate(map(self.lexicon.get, words)) if found for c in found]
+        out[tuple(np.array(at, np.int64).reshape(-1, 2).T)] = 1
         return out
 
 
@@ -152,18 +163,41 @@ def _moved(m: Model, starts: np.ndarray, moves: np.ndarray, steps: int) -> None:
     _adam([m.start, m.move], gradients, steps)
 
 
-def _relabelled(m: Model, lists: list[list[str]], known: Known, stay: float, at_once: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """words, the label of each and where texts begin: the likeliest labels, by the words' own weights and one of `stay` for staying."""
+def _weighed(texts: pa.Array, known: Known, k: int, at_once: int) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of texts that have words: the texts' numbers, the chunks and the part of them that each word is of, each word's row of known, and the words of each text."""
+    for lo in range(0, len(texts), TEXTS):
+        chunks, at, before = letters(texts.slice(lo, TEXTS))
+        look = known.look(chunks)
+        made = list(map(look, chunks))
+        size = np.fromiter(map(len, made), np.int64, len(made)) // max(8 * k, 1)
+        flat, slots = np.frombuffer(b"".join(made), f"V{8 * k}") if k else np.zeros(0), np.cumsum(size) - size
+        words = np.concatenate([[0], np.cumsum(size[at])])[before]
+        for i, j in batches(np.diff(words), at_once):
+            n = np.diff(words[i : j + 1])
+            full = np.flatnonzero(n)
+            if len(full):
+                part = at[before[i] : before[j]]
+                many = size[part]
+                slot = np.repeat(slots[part] - (np.cumsum(many) - many), many)
+                slot += np.arange(len(slot))
+                yield lo + i + full, chunks, slot, flat[slot].view("<f4").reshape(-1, 2 * k), n[full]
+
+
+def _relabelled(m: Model, texts: pa.Array, known: Known, stay: float, at_once: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """words, (words, labels) how often each has each label, and how often each label begins a text and follows each: the likeliest labels, by the words' own weights and one of `stay` for staying."""
     k = len(m.labels)
-    for lo, hi in batches(np.fromiter(map(len, lists), np.int64, len(lists)), at_once):
-        look = known.of(lists[lo:hi])
-        real = [x for x in ([w for w in ws if look(w)] for ws in lists[lo:hi]) if x]
-        if real:
-            words = [w for x in real for w in x]
-            e = np.frombuffer(b"".join(map(look, words)), "<f4").reshape(-1, 2 * k)[:, :k].astype(np.float64)
-            c = Chains(e, np.array(list(map(len, real))), np.ones(k), np.exp(stay * np.eye(k)))
+    for lo in range(0, len(texts), TEXTS):
+        held, n, starts, moves = None, 0, np.zeros(k, np.int64), np.zeros((k, k), np.int64)
+        for _, chunks, slot, e, sizes in _weighed(texts.slice(lo, TEXTS), known, k, at_once):
+            if held is None:
+                held = [w for c in chunks for w in _real(c)]
+            c = Chains(e[:, :k].astype(np.float64), sizes, np.ones(k), np.exp(stay * np.eye(k)))
             c.forward()
-            yield words, c.backward().argmax(1), c.first
+            gold = c.backward().argmax(1)
+            n = n + np.bincount(slot * k + gold, minlength=len(held) * k).reshape(-1, k)
+            starts, moves = (a + b for a, b in zip((starts, moves), _moves(gold, c.first, k), strict=True))
+        if held:
+            yield held, n, starts, moves
 
 
 def _moves(gold: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,9 +285,9 @@ def fit(texts: list[str], langs: list[str], steps: int = 12, stay: float = 3.0)
             m.lexicon.setdefault(names[i], []).append(c)
     _adam([m.weights, m.listed], lambda _: [x / FINE for x in _slopes(names, n, m)], steps)
     n, starts, moves = np.zeros_like(n), np.zeros(k, np.int64), np.zeros((k, k), np.int64)
-    for words, gold, first in _relabelled(m, lists, _table(m), stay, AT_ONCE):
-        np.add.at(n, ([at[w] for w in words], gold), 1)
-        starts, moves = (a + b for a, b in zip((starts, moves), _moves(gold, first, k), strict=True))
+    for words, some, first, then in _relabelled(m, pa.array(texts, pa.string()), _table(m), stay, AT_ONCE):
+        np.add.at(n, [at[w] for w in words], some)
+        starts, moves = starts + first, moves + then
     _adam([m.weights, m.listed], lambda _: [x / FINE for x in _slopes(names, n, m)], steps)
     _moved(m, starts, moves, steps)
     m.seen, m.weights = _often(_having(names, n), n.sum(0)), m.weights.astype(np.float32)
@@ -273,7 +307,14 @@ def train(docs: DataFrame, steps: int = 12, stay: float = 3.0) -> Model:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
 
     def words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _tallied(([(w, lang) for w in words_of(text) if any(map(str.isalpha, w))] for b in parts for lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True)), pa.string())
+        for b in parts:
+            for lo in range(0, b.num_rows, TEXTS):
+                chunks, at, before = letters(b.column("text").slice(lo, TEXTS))
+                langs = b.column("lang").slice(lo, TEXTS).dictionary_encode()
+                of = np.repeat(langs.indices.to_numpy(), np.diff(before))
+                n = np.bincount(at * len(langs.dictionary) + of, minlength=len(chunks) * len(langs.dictionary)).reshape(-1, len(langs.dictionary))
+                lists = list(map(_real, chunks))
+                yield _tallied([w for x in lists for w in x], np.repeat(n, np.diff(_places(lists)), axis=0), langs.dictionary)
 
     told = cut(known.mapInArrow(words, "word string, label string, n long").groupBy("word", "label").agg(F.sum("n").alias("n")))
     m = _empty(sorted(r.label for r in told.select("label").distinct().collect()))
@@ -288,16 +329,11 @@ def train(docs: DataFrame, steps: int = 12, stay: float = 3.0) -> Model:
     def again(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(m)
 
-        def pairs() -> Iterator[Iterable[tuple[str, int]]]:
-            for b in parts:
-                for lo in range(0, b.num_rows, TEXTS):
-                    lists = [words_of(t) for t in b.column("text").slice(lo, TEXTS).to_pylist()]
-                    for words, gold, first in _relabelled(m, lists, table, stay, AT_ONCE):
-                        yield zip(words, gold.tolist(), strict=True)
-                        starts, moves = _moves(gold, first, k)
-                        yield {**{(f" start {c}", 0): int(n) for c, n in enumerate(starts)}, **{(f" move {i} {j}", 0): int(moves[i, j]) for i in range(k) for j in range(k)}}
-
-        yield from _tallied(pairs(), pa.int32())
+        for b in parts:
+            for words, n, starts, moves in _relabelled(m, b.column("text"), table, stay, AT_ONCE):
+                yield _tallied(words, n, pa.array(range(k), pa.int32()))
+                made = {**{f" start {c}": n for c, n in enumerate(starts)}, **{f" move {i} {j}": moves[i, j] for i in range(k) for j in range(k)}}
+                yield _tallied(list(made), np.array(list(made.values()))[:, None], pa.array([0], pa.int32()))
         table.table.clear()
         give_back()
 
@@ -309,20 +345,10 @@ def train(docs: DataFrame, steps: int = 12, stay: float = 3.0) -> Model:
     return m
 
 
-def _tallied(pairs: Iterator[Iterable[tuple[str, object]]], label: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """word, label, n of pairs (or counts of pairs); a table that is full is given out and begun anew."""
-    tally: Counter = Counter()
-
-    def rows() -> pa.RecordBatch:
-        some = [x for x in tally.items() if x[1]]
-        return pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in some], pa.string()), pa.array([x[0][1] for x in some], label), pa.array([x[1] for x in some], pa.int64())], ["word", "label", "n"])
-
-    for some in pairs:
-        tally.update(some)
-        if len(tally) > AT_ONCE:
-            yield rows()
-            tally.clear()
-    yield rows()
+def _tallied(words: list[str], n: np.ndarray, labels: pa.Array) -> pa.RecordBatch:
+    """word, label, n of n (words, labels), where there are any."""
+    i, c = np.nonzero(n)
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.string()).take(pa.array(i)), labels.take(pa.array(c)), pa.array(n[i, c].astype(np.int64))], ["word", "label", "n"])
 
 
 def learn(docs: DataFrame, low: float = 0.01, margin: tuple[float, float] = (0.5, 0.8)) -> tuple[Model, tuple[float, float]]:
@@ -350,44 +376,36 @@ def learn(docs: DataFrame, low: float = 0.01, margin: tuple[float, float] = (0.5
     return model, tuple(m * (x or 0.0) for m, x in zip(margin, least, strict=True))
 
 
-def _labelled(model: Model, texts: list[str] | pa.Array, known: Known, at_once: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _labelled(model: Model, texts: pa.Array, known: Known, at_once: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the label, score, familiarity) of each text; the index after the last is UNKNOWN."""
     k = len(model.labels)
     name, score, familiar = np.full(len(texts), k), np.zeros(len(texts)), np.zeros(len(texts))
-    for at in range(0, len(texts), TEXTS):
-        part = texts[at : at + TEXTS]
-        lists = [words_of(t) for t in (part.to_pylist() if isinstance(part, pa.Array) else part)]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        for lo, hi in batches(sizes, at_once):
-            look = known.of(lists[lo:hi])
-            e = [b"".join(map(look, x)) for x in lists[lo:hi]]
-            n = np.fromiter(map(len, e), np.int64, len(e)) // max(8 * k, 1)
-            full = np.flatnonzero(n)
-            if len(full):
-                both = np.frombuffer(b"".join(e), "<f4").reshape(-1, 2 * k)
-                c = Chains(both[:, :k].astype(np.float64), n[full], np.exp(model.start), np.exp(model.move))
-                c.forward()
-                p = c.backward()
-                share = np.add.reduceat(p, c.first) / n[full][:, None]
-                name[at + lo + full], score[at + lo + full] = share.argmax(1), np.clip(share.max(1), 0, 1)
-                familiar[at + lo + full] = np.add.reduceat((p * both[:, k:]).sum(1), c.first) / n[full]
+    for at, _, _, both, n in _weighed(texts, known, k, at_once):
+        c = Chains(both[:, :k].astype(np.float64), n, np.exp(model.start), np.exp(model.move))
+        c.forward()
+        p = c.backward()
+        share = np.add.reduceat(p, c.first) / n[:, None]
+        name[at], score[at] = share.argmax(1), np.clip(share.max(1), 0, 1)
+        familiar[at] = np.add.reduceat((p * both[:, k:]).sum(1), c.first) / n
     return name, score, familiar
 
 
 def _table(model: Model) -> Known:
-    """The bounded table of words' weights and familiarity, 8 bytes a label; a word without a letter has none."""
+    """The bounded table of the weights and familiarity of chunks' words, 8 bytes a label each; a word without a letter has none."""
+
+    size = 8 * len(model.labels)
 
     def made(new: list[str]) -> list[bytes]:
-        real = [w for w in new if any(map(str.isalpha, w))] if model.labels else []
-        row = {}
+        lists = list(map(_real, new)) if size else [[]] * len(new)
+        real, out = [w for x in lists for w in x], []
         for lo in range(0, len(real), 5_000):  # features take some hundred bytes a letter
             part = real[lo : lo + 5_000]
             grams = _grams(part)
-            both = np.hstack([_even(model.scores(grams, model.held(part))), model.familiar(grams, len(part))]).astype("<f4")
-            row.update(zip(part, map(np.ndarray.tobytes, both), strict=True))
-        return [row.get(w, b"") for w in new]
+            out.append(np.hstack([_even(model.scores(grams, model.held(part))), model.familiar(grams, len(part))]).astype("<f4").tobytes())
+        rows, ends = b"".join(out), (_places(lists) * size).tolist()
+        return [rows[a:b] for a, b in itertools.pairwise(ends)]
 
-    return Known(made, 100_000)
+    return Known(made, 200_000)
 
 
 _PREDICTED = "doc_id long, lang_pred string, score double, familiarity double"

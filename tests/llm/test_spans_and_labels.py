@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recordweave.llm import chain, langid, pii, queries
+from recordweave.llm import chain, chunks, langid, pii, queries
 from recordweave.llm.common import read
 
 
@@ -47,6 +48,23 @@ def test_language_on_held_out_documents(spark):
     assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in got)
 
 
+def test_words_of_whole_batches_are_those_of_each_text(monkeypatch):
+    """A chunk is read and weighed once for a batch, however often it comes; sigma, ligatures and fractions as in whole texts."""
+    rng = random.Random(3)
+    some = ["the", "Cat", "der", "Hund", "é", "İx", "ß", "ΟΔΟΣ", "a'Σ", "Σ'a", "½", "²", "_", " ", "\n", "\xa0", ", ", ".", "7", "“", "\x1f", "x" * 90]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(20))) for _ in range(3000)]
+    for part in (texts, [t for t in texts if "Σ" not in t]):
+        words, at, before = chunks.letters(pa.array(["before", *part, ""]).slice(1))
+        lists = list(map(langid._real, words))
+        got = [[w for i in at[a:b] for w in lists[i]] for a, b in itertools.pairwise(before)]
+        assert got == [[w for w in langid.words_of(t) if any(map(str.isalpha, w))] for t in [*part, ""]]
+    m = langid.fit(["the cat and the dog of this house"] * 4 + ["der hund und die katze in dem haus"] * 4, ["en"] * 4 + ["de"] * 4)
+    weighed = []
+    monkeypatch.setattr(langid, "_grams", lambda words, plain=langid._grams: weighed.extend(words) or plain(words))
+    langid._labelled(m, pa.array(["der Hund, der. Hund; (der) Hund! the 'der' hund-der"] * 3), langid._table(m), 100)
+    assert sorted(weighed) == ["der", "hund", "hund", "the"]
+
+
 def test_code_switched_words_keep_their_language():
     m = langid.fit(["the cat and the dog of this house"] * 4 + ["der hund und die katze in dem haus"] * 4, ["en"] * 4 + ["de"] * 4)
     words = "the dog and the cat und der hund in dem haus".split()
