@@ -34,6 +34,8 @@ WORDS, SEEN = 200_000, 50_000
 CROWD, SALTS = 4096, 1024
 #: Differing bits, of 512, up to which chance neighbours are tried; all other pairs are left to the comparison in full.
 NEAR = 150
+#: Of the shingles at which sets meet, the share by which neighbours are sought in a turn: one in so many.
+PARTS = 8
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29), np.uint64(32))
 
 
@@ -342,18 +344,40 @@ def meeting(entries: DataFrame, least: tuple[int, int], names: list[str], schema
 _PLAIN, _MARKED = ["h", "node", "na", "salt"], ["h", "node", "na", "salt", "data"]
 
 
-def _linked(rows: DataFrame, names: list[str], keys: tuple[str, ...], least: tuple[int, int], reach: int) -> DataFrame:
-    """a, b, ca, cb: pairs of nodes of different groups (ca, cb) that may be similar, of sorted rows."""
+def _nearest(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs i, j of rows, of each two groups (c) the one whose sketches differ least; j's group is made the larger."""
+    i, j = np.where(x["c"][i] < x["c"][j], (i, j), (j, i))
+    order = np.lexsort((np.bitwise_count(x["data"][i] ^ x["data"][j]).sum(1, dtype=np.int64), x["c"][j], x["c"][i]))
+    i, j = i[order], j[order]
+    first = np.ones(len(i), bool)
+    first[1:] = (x["c"][i[1:]] != x["c"][i[:-1]]) | (x["c"][j[1:]] != x["c"][j[:-1]])
+    return i[first], j[first]
+
+
+def _linked(rows: DataFrame, names: list[str], keys: tuple[str, ...], least: tuple[int, int], reach: int, nearest: bool = False) -> DataFrame:
+    """a, b, ca, cb: pairs of nodes of different groups (ca, cb) that may be similar, of sorted rows; with nearest, for two groups and up to 50,000 pairs one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _groups(batches, keys):
-            out = []
+            out, some = [], []
             for i, j in _pairs(x, keys, least, reach):
+                if nearest:
+                    some.append((i, j))
+                    if sum(len(o[0]) for o in some) <= 50_000:
+                        continue
+                    i, j = _nearest(x, *map(np.concatenate, zip(*some, strict=True)))
+                    some = [(i, j)] if len(i) <= 25_000 else []
+                    if some:
+                        continue
                 i, j = np.where(x["node"][i] < x["node"][j], (i, j), (j, i))
                 out.append((x["node"][i], x["node"][j], x["c"][i], x["c"][j]))
                 if sum(len(o[0]) for o in out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "ca", "cb"])
                     out = []
+            if some:
+                i, j = _nearest(x, *map(np.concatenate, zip(*some, strict=True)))
+                i, j = np.where(x["node"][i] < x["node"][j], (i, j), (j, i))
+                out.append((x["node"][i], x["node"][j], x["c"][i], x["c"][j]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "ca", "cb"])
 
@@ -392,7 +416,9 @@ def _joined(rows: DataFrame, of: DataFrame, labels: DataFrame, least: tuple[int,
     """labels(node, c), with groups made one between which rows lead to sets that are similar."""
     first = None
     for turn in range(turns):
-        near = rows.join(labels, "node").withColumn("salt", _spread(F.col("salt"), F.col("node"), turn)).withColumn("place", F.xxhash64("node", F.lit(-turn)))
+        # A pair meets at many shingles, so a part of them does, another in each turn.
+        part = rows.where(F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(PARTS)) == 0)
+        near = part.join(labels, "node").withColumn("salt", _spread(F.col("salt"), F.col("node"), turn)).withColumn("place", F.xxhash64("node", F.lit(-turn)))
         near = near.repartition("h", "salt").sortWithinPartitions("h", "salt", "place")
         new = _similar(_one_each(_linked(near, [*_MARKED, "c"], ("h", "salt"), least, 3)), of, least)
         many = new.count()
@@ -402,16 +428,33 @@ def _joined(rows: DataFrame, of: DataFrame, labels: DataFrame, least: tuple[int,
         # Which links come from chance is of no account: what they leave is compared in full below.
         if many <= max(100, first // 50):
             break
+    rows = fresh(_live(rows, labels).drop("c", "size"))
+    # Of each two groups the nearest pair first: what it joins leaves no pairs of all their sets.
+    for _ in range(3):
+        pairs = _met(rows, labels, least, crowd, True)
+        lower, upper = F.least("ca", "cb"), F.greatest("ca", "cb")
+        new = _similar(pairs.groupBy(lower.alias("c"), upper.alias("d")).agg(F.min_by(F.struct("a", "b", "ca", "cb"), F.xxhash64("a", "b")).alias("p")).select("p.*"), of, least)
+        if new.isEmpty():
+            break
+        labels = _merged(labels, new)
+    return _merged(labels, _similar(_met(rows, labels, least, crowd, False).distinct(), of, least))
+
+
+def _live(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with c, and size, how many rows have the shingle; a shingle all of whose sets are one group has nothing to add."""
     marked = rows.join(labels, "node")
-    # A shingle all of whose sets are one group has nothing to add.
     live = marked.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high")
+    return marked.join(live.select("h", "size"), "h")
+
+
+def _met(rows: DataFrame, labels: DataFrame, least: tuple[int, int], crowd: int, nearest: bool) -> DataFrame:
+    """The pairs of sets of different groups that meet at a shingle and may be similar, all or the nearest of two groups."""
     parts = F.when(F.col("size") <= 2 * crowd, 1).otherwise(F.ceil(F.col("size") / crowd)).cast("int")
-    left = marked.join(live.select("h", parts.alias("parts")), "h").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    left = _live(rows, labels).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # The sets of a crowded shingle are compared part by part, each two parts in a task of their own.
     met = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "with")).withColumn("j", F.greatest("part", "with"))
     met = met.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "na")
-    pairs = _linked(met, [*_MARKED, "c", "part", "i", "j"], ("h", "i", "j"), least, 0).distinct()
-    return _merged(labels, _similar(pairs, of, least))
+    return _linked(met, [*_MARKED, "c", "part", "i", "j"], ("h", "i", "j"), least, 0, nearest)
 
 
 def near_copies(docs: DataFrame, width: int = 5, least: tuple[int, int] = LEAST, bits: int | None = None, crowd: int = CROWD) -> DataFrame:

@@ -93,6 +93,24 @@ def test_a_crowded_shingle_is_compared_part_by_part(spark, monkeypatch):
     assert shown(jaccard.near_copies(frame, crowd=10)) == want
 
 
+def test_one_large_group_is_not_paired_in_full(spark, monkeypatch):
+    """The last comparison, of all pairs that are left, finds near copies joined already."""
+    rng, made = random.Random(4), []
+    base = [f"b{k}" for k in range(100)]
+    rows = [(i, " ".join(f"x{rng.randrange(10**6)}" if k in changed else w for k, w in enumerate(base))) for i in range(500) for changed in [rng.sample(range(100), 1)]]
+    linked = jaccard._linked
+
+    def counted(*args):
+        out = linked(*args)
+        if args[4] == 0 and args[5:] in ((), (False,)):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    assert shown(jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == plain(rows)
+    assert len(made) == 1 and made[0] < 10 * len(rows)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_copies(none).collect() == []
