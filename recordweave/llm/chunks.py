@@ -34,7 +34,7 @@ def _table(some: Iterable[int]) -> np.ndarray:
     return out
 
 
-_SPACE = _table((0x20, *range(0x09, 0x0E)))
+SPACE = _table((0x20, *range(0x09, 0x0E)))
 _LETTER = _table((*range(0x41, 0x5B), *range(0x61, 0x7B)))
 _WIDE = _LETTER | _table(range(0x80, 0x100))
 _SIGN = _table((*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)))
@@ -48,7 +48,7 @@ def at_chunks(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     A run of white space leaves its last character to what follows, which joins it if it is a space.
     A run of letters ends where a sign follows.
     """
-    space = _SPACE[data]
+    space = SPACE[data]
     w = np.flatnonzero(space)
     begin = w[~space[w - 1] & ~(_LAST[data[w - 1]] & _LATE[data[w - 2]])]
     begins = np.zeros(len(data) + 1, bool)
@@ -63,7 +63,7 @@ def at_chunks(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate([begin, last, last[data[last] != 0x20] + 1, signs])
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Where texts (none null) begin, and the end of the last, and their bytes."""
     texts = texts.cast(pa.string())
     _, ends, data = texts.buffers()
@@ -77,8 +77,8 @@ def letters(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     How a capital sigma is lower-cased hangs on what stands around it, up to white space:
     where there is one, the runs are those without white space.
     """
-    ends, data = _bytes(texts)
-    in_run = ~_SPACE[data] if b"\xce\xa3" in data.tobytes() else _WIDE[data]
+    ends, data = bytes_of(texts)
+    in_run = ~SPACE[data] if b"\xce\xa3" in data.tobytes() else _WIDE[data]
     begin = in_run.copy()
     begin[1:] &= ~in_run[:-1]
     first = ends[:-1][ends[:-1] < len(data)]
@@ -98,7 +98,7 @@ def parted(texts: pa.Array, places: Callable[[np.ndarray, np.ndarray], np.ndarra
     places gives where parts begin, besides texts, from all bytes and the texts' first ones;
     texts marked in whole are one part.
     """
-    ends, data = _bytes(texts)
+    ends, data = bytes_of(texts)
     if not len(data):
         return [], np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     mark = np.zeros(ends[-1] + 1, bool)

@@ -11,84 +11,172 @@ then all pairs that are left between different groups decide.  No link is lost.
 
 from __future__ import annotations
 
+import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordweave.llm.common import bit_set, fresh, has_bit, place_of
+from recordweave.llm.chain import batches as in_parts
+from recordweave.llm.chunks import SPACE, bytes_of
+from recordweave.llm.common import bit_set, cut, fresh, has_bit, place_of
 from recordweave.llm.components import components
-from recordweave.llm.simhash import links, majority, within, words_of
+from recordweave.llm.simhash import FEW, links, majority, within
 
 #: The least similarity, as a fraction, so that comparing is exact.
 LEAST = (4, 5)
 #: Shingles are counted in 2**COUNTS buckets, sent in blocks of BLOCK: a table of fixed size for any corpus.
 COUNTS, BLOCK = 20, 4096
-#: Words whose hashes a task keeps; texts it knows to have seen.
-WORDS, SEEN = 200_000, 50_000
+#: Bytes of text that a task cuts at once; bytes of the longest word that is hashed side by side with others; texts a task knows to have seen.
+BYTES, LONG, SEEN = 1 << 20, 512, 50_000
 #: Texts that meet at one shingle in one task; parts that more are dealt into.
 CROWD, SALTS = 4096, 1024
 #: Differing bits, of 512, up to which chance neighbours are tried; all other pairs are left to the comparison in full.
 NEAR = 150
 #: Of the shingles at which sets meet, the share by which neighbours are sought in a turn: one in so many.
 PARTS = 8
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29), np.uint64(32))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """x, mixed in place, each value to another one."""
+    x ^= x >> _MIX[2]
+    x *= _MIX[1]
+    x ^= x >> _MIX[3]
+    return x
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words of texts (none null), in order, and how many came before each text and in all.
+
+    Words are of bytes: A-Z alone are lower-cased, and only \\x20 and \\x09-\\x0D part them.
+    """
+    ends, data = bytes_of(texts)
+    data = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    word = ~SPACE[data[:-8]]
+    begin, stop = word.copy(), word.copy()
+    begin[1:] &= ~word[:-1]
+    first = ends[:-1][ends[:-1] < len(word)]
+    begin[first] = word[first]
+    stop[:-1] &= ~word[1:] | begin[1:]
+    at = np.flatnonzero(begin)
+    size = np.flatnonzero(stop) + 1 - at
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+    h = size.astype(np.uint64) * _MIX[0]
+    left, done = np.flatnonzero(size <= LONG), 0
+    while len(left):
+        x = eight[at[left] + done] & _FIRST[np.minimum(size[left] - done, 8)]
+        x ^= h[left]
+        x *= _MIX[0]
+        h[left] = _mixed(x)
+        done += 8
+        left = left[size[left] > done]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[at[i] : at[i] + size[i]], 42)
+    return h, np.searchsorted(at, ends)
+
+
 class Shingles:
     """Sets of shingles of texts: 64-bit hashes of so many words in a row, or of all words where there are fewer."""
 
     def __init__(self, width: int):
-        self.width, self.table = width, {}
-
-    def all(self, text: str) -> np.ndarray:
-        """The hashes in order, repeats included; none without words."""
-        words = words_of(text)
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.table) > WORDS:
-            self.table = {}
-        table, digest = self.table, xxhash.xxh64_intdigest
-        for w in set(words):
-            if w not in table:
-                table[w] = digest(w, 42)
-        h = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
-        width = min(self.width, len(h))
-        m = len(h) - width + 1
-        out = h[:m].copy()
-        for k in range(1, width):
-            out *= _MIX[0]
-            out += h[k : m + k]
-            out ^= out >> _MIX[2]
-            out *= _MIX[1]
-        return out ^ (out >> _MIX[3])
+        self.width = width
+
+    def all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of texts (none null) in order, repeats included, and how many came before each text and in all; none without words."""
+        words, before = _words(texts)
+        first, n, out, short = before[:-1], np.diff(before), words.copy(), []
+        for k in range(1, self.width):
+            at = first[n == k]
+            short.append((at, out[at]))
+            x = out[: max(len(out) - k, 0)]
+            x *= _MIX[0]
+            x += words[k:]
+            x ^= x >> _MIX[2]
+            x *= _MIX[1]
+        for at, x in short:
+            out[at] = x
+        return _taken(out, first, np.where(n < self.width, np.minimum(n, 1), n - self.width + 1), lambda x: x ^ (x >> _MIX[3]))
+
+    def sets(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As all(), each text's hashes sorted and without repeats."""
+        return distinct(*self.all(texts))
 
     def set(self, text: str) -> np.ndarray:
-        return np.unique(self.all(text))
+        return self.sets(pa.array([text], pa.string()))[0]
+
+
+def _taken(x: np.ndarray, first: np.ndarray, many: np.ndarray, made: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """made of the values of x at so many places from each first one on, and how many came before each first one and in all."""
+    before = np.concatenate([[0], np.cumsum(many)])
+    return made(x[np.repeat(first - before[:-1], many) + np.arange(before[-1])]), before
+
+
+def distinct(h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's hashes sorted and without repeats, and how many came before each text and in all; h is sorted in place by text."""
+    for a, b in itertools.pairwise(before.tolist()):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[before[:-1][before[:-1] < len(h)]] = True
+    return h[new], np.concatenate([[0], np.cumsum(new)])[before]
 
 
 def digest(s: np.ndarray) -> int:
     """The name of a set of shingles, a signed long; texts of equal sets are one node."""
-    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).astype(np.int64))
+    return (xxhash.xxh64_intdigest(s, 7) ^ 1 << 63) - (1 << 63)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """512 bits, each the parity of the shingles that fall on it: two differ in no more bits than the sets in shingles."""
-    return np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).tobytes()
+def _digests(s: np.ndarray, before: np.ndarray) -> list[int]:
+    return [digest(s[a:b]) for a, b in itertools.pairwise(before.tolist())]
+
+
+def sketches(s: np.ndarray, before: np.ndarray) -> list[bytes]:
+    """512 bits for each set, each the parity of the shingles that fall on it: two differ in no more bits than the sets in shingles."""
+    rows = len(before) - 1
+    at = (s & np.uint64(511)).astype(np.int64) + (np.repeat(np.arange(rows), np.diff(before)) << 9)
+    bits = np.packbits(np.bincount(at, minlength=rows << 9).astype(np.uint8) & 1).tobytes()
+    return [bits[i : i + 64] for i in range(0, len(bits), 64)]
+
+
+def mark(s: np.ndarray) -> bytes:
+    """As a sketch, of at least as many bits as there are shingles, a power of two, so that those of large sets tell as much."""
+    bits = max(512, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many shingles the sets of these marks differ at least: the longer mark is folded to the shorter one's bits."""
+    size = min(len(x), len(y)) * 8
+
+    def folded(m: bytes) -> int:
+        v, bits = int.from_bytes(m, "little"), len(m) * 8
+        while bits > size:
+            bits >>= 1
+            v = (v >> bits) ^ (v & ((1 << bits) - 1))
+        return v
+
+    return (folded(x) ^ folded(y)).bit_count()
 
 
 def _bucket(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - COUNTS)).astype(np.int64)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str]]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """doc_id and text, in slices of about so many BYTES, or one text."""
     for b in batches:
-        for i, text in zip(b.column("doc_id"), b.column("text"), strict=True):
-            yield i.as_py(), text.as_py()
+        size = pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)
+        for i, j in in_parts(size, BYTES):
+            yield b.column("doc_id").slice(i, j - i), b.column("text").slice(i, j - i)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -101,32 +189,30 @@ def _named(docs: DataFrame, width: int, simhash: bool) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, rows, held, many = Shingles(width), [], [], 0
+        shingles, held, many = Shingles(width), [], 0
         counts = np.zeros(1 << COUNTS, np.uint32)
 
-        def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-        for i, text in _texts(batches):
-            h = shingles.all(text)
-            s = np.unique(h)
-            fp = int(np.uint64(majority(h)).astype(np.int64)) if simhash else None
-            rows.append((i, digest(s) if len(s) else None, len(s), sketch(s) if len(s) else None, fp, None))
+        def batch(*columns):
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+        for ids, texts in _texts(batches):
+            h, before = shingles.all(texts)
+            rows = len(texts)
+            fp = [int(np.uint64(majority(h[a:b])).astype(np.int64)) for a, b in itertools.pairwise(before.tolist())] if simhash else [None] * rows
+            s, before = distinct(h, before)
+            n = np.diff(before).tolist()
+            named, marks = _digests(s, before), sketches(s, before)
+            yield batch(ids, [x if k else None for x, k in zip(named, n, strict=True)], n, [x if k else None for x, k in zip(marks, n, strict=True)], fp, [None] * rows)
             held.append(_bucket(s))
             many += len(s)
             if many > 500_000:
                 counts += np.bincount(np.concatenate(held), minlength=1 << COUNTS).astype(np.uint32)
                 held, many = [], 0
-            if len(rows) > 4000:
-                yield batch(rows)
-                rows = []
-        if rows:
-            yield batch(rows)
         if held:
             counts += np.bincount(np.concatenate(held), minlength=1 << COUNTS).astype(np.uint32)
         for k, block in enumerate(counts.reshape(-1, BLOCK)):
             if block.any():
-                yield batch([(None, None, None, zlib.compress(block.tobytes(), 1), None, k)])
+                yield batch([None], [None], [None], [zlib.compress(block.tobytes(), 1)], [None], [k])
 
     return _rows(docs).mapInArrow(run, "doc_id long, node long, n long, data binary, fp long, block int")
 
@@ -150,6 +236,18 @@ def frequencies(named: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _new(node: np.ndarray, wanted: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which nodes are wanted and not seen before; SEEN of them are kept."""
+    out = wanted > 0
+    for i in np.flatnonzero(out).tolist():
+        name = int(node[i])
+        if name in seen:
+            out[i] = False
+        elif len(seen) < SEEN:
+            seen.add(name)
+    return out
+
+
 def prefixes(docs: DataFrame, width: int, least: tuple[int, int], counts: np.ndarray, crowd: int) -> DataFrame:
     """h, node, na, salt: the shingles by which a set can meet those at or above the similarity, the rarest first.
 
@@ -161,63 +259,51 @@ def prefixes(docs: DataFrame, width: int, least: tuple[int, int], counts: np.nda
     known = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen, out, held = Shingles(width), set(), [], 0
+        shingles, seen = Shingles(width), set()
+        for _, texts in _texts(batches):
+            s, before = shingles.sets(texts)
+            n, node = np.diff(before), np.array(_digests(s, before), np.int64)
+            first = np.flatnonzero(_new(node, n, seen))
+            k = n[first] - -(-num * n[first] // den) + 1
+            # By count, then by hash: a text's hashes are sorted, so their places tell.
+            order = (known.value[_bucket(s)].astype(np.uint64) << np.uint64(32)) | (np.arange(len(s)) - np.repeat(before[:-1], n)).astype(np.uint64)
+            for i in first.tolist():
+                order[before[i] : before[i + 1]].sort()
+            count, places = _taken(order, before[first], k, lambda x: x)
+            s = s[(count & np.uint64(0xFFFFFFFF)).astype(np.int64) + np.repeat(before[first], k)]
+            salt = np.where(count >> np.uint64(32) > crowded, np.repeat((node[first] >> 7) % SALTS, k), -1).astype(np.int32)
+            at = np.arange(len(s)) - np.repeat(places[:-1], k)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (s.view(np.int64), np.repeat(node[first], k), at + np.repeat(n[first] << 32, k), salt))], ["h", "node", "na", "salt"])
 
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h", "node", "na", "salt"])
+    return _rows(docs).mapInArrow(run, "h long, node long, na long, salt int")
 
-        for _, text in _texts(batches):
-            s = shingles.set(text)
-            n = len(s)
-            node = digest(s)
-            if not n or node in seen:
-                continue
-            if len(seen) < SEEN:
-                seen.add(node)
-            count = known.value[_bucket(s)]
-            k = n + (-num * n // den) + 1
-            first = np.argsort(count, kind="stable")[:k]
-            salt = np.where(count[first] > crowded, np.int32((node >> 7) % SALTS), np.int32(-1)).astype(np.int32)
-            out.append((s[first].view(np.int64), np.full(k, node), np.arange(k) + (n << 32), salt))
-            held += k
-            if held > 50_000:
-                yield batch()
-                out, held = [], 0
-        if out:
-            yield batch()
 
-    return _rows(docs).mapInArrow(run, "h long, node long, na long, salt int")
+def _row_place(node: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    return place_of(_mixed(node * _MIX[0] + doc_id))
 
 
 def sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """node, s (the sorted shingles), once for each of the wanted nodes."""
-    bits = docs.sparkSession.sparkContext.broadcast(bit_set(wanted, place_of))
+    """node, s (the sorted shingles), mark, once for each of the wanted nodes, made of the row that rep (a doc_id, or null) names."""
+    named = wanted.select("node", F.coalesce("rep", F.lit(0)).alias("rep"))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set(named, _row_place))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen, out, held = Shingles(width), set(), [], 0
-
-        def batch():
-            ends = np.cumsum([0, *(len(s) for _, s in out)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s for _, s in out]).view(np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), lists], ["node", "s"])
-
-        for _, text in _texts(batches):
-            s = shingles.set(text)
-            node = digest(s)
-            if not len(s) or node in seen or not has_bit(bits.value, place_of(np.array([node]).view(np.uint64)))[0]:
-                continue
-            if len(seen) < SEEN:
-                seen.add(node)
-            out.append((node, s))
-            held += len(s)
-            if held > 200_000:
-                yield batch()
-                out, held = [], 0
-        if out:
-            yield batch()
-
-    found = _rows(docs).mapInArrow(run, "node long, s array<long>")
-    return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
+        shingles, seen = Shingles(width), set()
+        for ids, texts in _texts(batches):
+            s, before = shingles.sets(texts)
+            n, node = np.diff(before), np.array(_digests(s, before), np.int64)
+            asked = has_bit(bits.value, _row_place(node.view(np.uint64), ids.fill_null(0).to_numpy().view(np.uint64)))
+            first = np.flatnonzero(_new(node, n * asked, seen))
+            s, ends = _taken(s, before[first], n[first], lambda x: x)
+            marks = [mark(s[a:b]) for a, b in itertools.pairwise(ends.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(s.view(np.int64))), pa.array(marks, pa.binary())], ["node", "s", "mark"])
+
+    wanted = cut(wanted.select("node"))
+    many = wanted.count()
+    made = _rows(docs).mapInArrow(run, "node long, s array<long>, mark binary")
+    found = fresh(made.join(F.broadcast(wanted) if many <= FEW else wanted, "node", "left_semi"))
+    # Equal rows of several tasks are seldom; without them no set is shuffled.
+    return found if found.count() == many else fresh(found.groupBy("node").agg(F.first("s").alias("s"), F.first("mark").alias("mark")))
 
 
 def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -390,21 +476,49 @@ def _one_each(pairs: DataFrame) -> DataFrame:
     return side("ca").unionByName(side("cb")).groupBy("c").agg(F.min("p").alias("p")).select(*(f"p.{c}" for c in pairs.columns)).distinct()
 
 
-def _similar(pairs: DataFrame, of: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """a, b: the groups ca and cb of the pairs(a, b, ca, cb) whose sets are at or above the similarity."""
-    num, den = least
-    pairs = fresh(pairs)
-    # Of the sets only those asked for are shuffled: their names are broadcast if they are few, as in within().
-    some = lambda side: within(of.toDF("doc_id", "s"), pairs.select(F.col(side).alias("doc_id")).distinct())
-    both = pairs.join(some("a").toDF("a", "x"), "a").join(some("b").toDF("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return fresh(both.where(shared * (num + den) >= (F.size("x") + F.size("y")) * num).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+class _Sets:
+    """The sets that are compared, node, s and mark, which is kept apart as well, being small."""
+
+    def __init__(self, of: DataFrame):
+        self.of, self.marks = of.select("node", "s"), fresh(of.select("node", F.size("s").alias("n"), "mark"))
 
+    def near(self, pairs: DataFrame, least: tuple[int, int]) -> DataFrame:
+        """The pairs(a, b, ca, cb) whose marks leave open that they are similar."""
+        num, den = least
+        at = lambda side: self.marks.toDF(side, f"n{side}", f"m{side}")
 
-def _merged(labels: DataFrame, joined: DataFrame) -> DataFrame:
-    """labels(node, c), with groups that joined(a, b) connects made one."""
-    to = components(joined).toDF("c", "to")
-    return fresh(labels.join(to, "c", "left").select("node", F.coalesce("to", "c").alias("c")))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                na, nb, ma, mb = (b.column(c).to_pylist() for c in ("na", "nb", "ma", "mb"))
+                ok = [(num + den) * apart(x, y) <= (den - num) * (i + j) for i, j, x, y in zip(na, nb, ma, mb, strict=True)]
+                yield b.select(["a", "b", "ca", "cb"]).filter(pa.array(ok, pa.bool_()))
+
+        return pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "ca", "cb", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long, ca long, cb long")
+
+    def similar(self, pairs: DataFrame, least: tuple[int, int]) -> DataFrame:
+        """a, b: the groups ca and cb of the pairs(a, b, ca, cb) whose sets are at or above the similarity."""
+        num, den = least
+        pairs = fresh(self.near(pairs, least))
+        # Of the sets only those asked for are shuffled: their names are broadcast if they are few, as in within().
+        some = lambda side: within(self.of.toDF("doc_id", "s"), pairs.select(F.col(side).alias("doc_id")).distinct())
+        both = pairs.join(some("a").toDF("a", "x"), "a").join(some("b").toDF("b", "y"), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return fresh(both.where(shared * (num + den) >= (F.size("x") + F.size("y")) * num).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+
+
+class _Labels:
+    """node, c: the group of each node so far; broadcast if they are few, so that no row moves for its group."""
+
+    def __init__(self, rows: DataFrame, many: int):
+        self.rows, self.many = rows, many
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(self.rows) if self.many <= FEW else self.rows, "node")
+
+    def merged(self, joined: DataFrame) -> _Labels:
+        """With groups that joined(a, b) connects made one."""
+        to = components(joined).toDF("c", "to")
+        return _Labels(fresh(self.rows.join(to, "c", "left").select("node", F.coalesce("to", "c").alias("c"))), self.many)
 
 
 def _spread(salt: Column, node: Column, turn: int) -> Column:
@@ -412,48 +526,50 @@ def _spread(salt: Column, node: Column, turn: int) -> Column:
     return F.when(salt >= 0, F.pmod(F.xxhash64(node, F.lit(turn)), F.lit(SALTS)).cast("int")).otherwise(-1)
 
 
-def _joined(rows: DataFrame, of: DataFrame, labels: DataFrame, least: tuple[int, int], crowd: int, turns: int = 12) -> DataFrame:
-    """labels(node, c), with groups made one between which rows lead to sets that are similar."""
+def _joined(rows: DataFrame, of: _Sets, labels: _Labels, least: tuple[int, int], crowd: int, turns: int = 12) -> _Labels:
+    """labels, with groups made one between which rows lead to sets that are similar."""
     first = None
     for turn in range(turns):
         # A pair meets at many shingles, so a part of them does, another in each turn.
         part = rows.where(F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(PARTS)) == 0)
-        near = part.join(labels, "node").withColumn("salt", _spread(F.col("salt"), F.col("node"), turn)).withColumn("place", F.xxhash64("node", F.lit(-turn)))
+        near = labels.of(part).withColumn("salt", _spread(F.col("salt"), F.col("node"), turn)).withColumn("place", F.xxhash64("node", F.lit(-turn)))
         near = near.repartition("h", "salt").sortWithinPartitions("h", "salt", "place")
-        new = _similar(_one_each(_linked(near, [*_MARKED, "c"], ("h", "salt"), least, 3)), of, least)
+        new = of.similar(_one_each(_linked(near, [*_MARKED, "c"], ("h", "salt"), least, 3)), least)
         many = new.count()
         if many:
-            labels = _merged(labels, new)
+            labels = labels.merged(new)
         first = first or many
         # Which links come from chance is of no account: what they leave is compared in full below.
         if many <= max(100, first // 50):
             break
-    rows = fresh(_live(rows, labels).drop("c", "size"))
+    rows = fresh(_live(rows, labels).drop("c"))
     # Of each two groups the nearest pair first: what it joins leaves no pairs of all their sets.
     for _ in range(3):
         pairs = _met(rows, labels, least, crowd, True)
         lower, upper = F.least("ca", "cb"), F.greatest("ca", "cb")
-        new = _similar(pairs.groupBy(lower.alias("c"), upper.alias("d")).agg(F.min_by(F.struct("a", "b", "ca", "cb"), F.xxhash64("a", "b")).alias("p")).select("p.*"), of, least)
-        if new.isEmpty():
+        new = of.similar(pairs.groupBy(lower.alias("c"), upper.alias("d")).agg(F.min_by(F.struct("a", "b", "ca", "cb"), F.xxhash64("a", "b")).alias("p")).select("p.*"), least)
+        many = new.count()
+        if many:
+            labels = labels.merged(new)
+        if many <= max(100, first // 50):
             break
-        labels = _merged(labels, new)
-    return _merged(labels, _similar(_met(rows, labels, least, crowd, False).distinct(), of, least))
+    return labels.merged(of.similar(_met(rows, labels, least, crowd, False).distinct(), least))
 
 
-def _live(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def _live(rows: DataFrame, labels: _Labels) -> DataFrame:
     """rows with c, and size, how many rows have the shingle; a shingle all of whose sets are one group has nothing to add."""
-    marked = rows.join(labels, "node")
+    marked = labels.of(rows)
     live = marked.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high")
     return marked.join(live.select("h", "size"), "h")
 
 
-def _met(rows: DataFrame, labels: DataFrame, least: tuple[int, int], crowd: int, nearest: bool) -> DataFrame:
+def _met(rows: DataFrame, labels: _Labels, least: tuple[int, int], crowd: int, nearest: bool) -> DataFrame:
     """The pairs of sets of different groups that meet at a shingle and may be similar, all or the nearest of two groups."""
     parts = F.when(F.col("size") <= 2 * crowd, 1).otherwise(F.ceil(F.col("size") / crowd)).cast("int")
-    left = _live(rows, labels).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    left = labels.of(rows).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # The sets of a crowded shingle are compared part by part, each two parts in a task of their own.
     met = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "with")).withColumn("j", F.greatest("part", "with"))
-    met = met.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "na")
+    met = met.select(*_MARKED, "c", "part", "i", "j").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "na")
     return _linked(met, [*_MARKED, "c", "part", "i", "j"], ("h", "i", "j"), least, 0, nearest)
 
 
@@ -490,12 +606,12 @@ def near_copies(docs: DataFrame, width: int = 5, least: tuple[int, int] = LEAST,
         same = nodes.join(codes.select("fp", F.col("rep").alias("a")), "fp").where("node <> a").select("a", F.col("node").alias("b"))
         proposed = fresh(links(codes, bits).unionByName(same).distinct())
         wanted = wanted.unionByName(proposed.select(F.explode(F.array("a", "b")).alias("node")))
-    wanted = fresh(wanted.distinct())
-    of = fresh(sets(docs, width, wanted))
-    labels = wanted.withColumn("c", F.col("node"))
+    wanted = fresh(nodes.join(wanted.distinct(), "node", "left_semi").select("node", "rep"))
+    of = _Sets(sets(docs, width, wanted))
+    labels = _Labels(wanted.select("node", F.col("node").alias("c")), wanted.count())
     if bits is not None:
-        labels = _merged(labels, _similar(proposed.withColumn("ca", F.col("a")).withColumn("cb", F.col("b")), of, least))
-    labels = _joined(rows, of, labels, least, crowd)
+        labels = labels.merged(of.similar(proposed.withColumn("ca", F.col("a")).withColumn("cb", F.col("b")), least))
+    labels = _joined(rows, of, labels, least, crowd).rows
     grouped = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("c", "node").alias("component"))
     smallest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
     groups = grouped.join(smallest, "component").select("node", "component", "component_id")

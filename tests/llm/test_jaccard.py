@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +124,46 @@ def test_empty_tables(spark):
 def test_same_rows_as_sql(spark, folder):
     got = queries.op11_jaccard_join(spark, folder)
     assert oracle.difference(got, queries.ORACLE_SQL["op11_jaccard_join"], oracle.connect(folder)) == ""
+
+
+def test_large_sets_that_differ_are_told_apart_without_being_fetched(spark, monkeypatch):
+    """Long texts share two thirds of their shingles, too few; sketches of 512 bits can't tell, marks can."""
+    rng, asked = random.Random(6), []
+    passage = [f"p{k}" for k in range(1200)]
+    rows = [(i, " ".join([*passage, *(f"t{i}-{rng.randrange(10**6)}" for _ in range(300))])) for i in range(20)]
+    within = jaccard.within
+
+    def counted(docs, ids):
+        asked.append(ids.count())
+        return within(docs, ids)
+
+    monkeypatch.setattr(jaccard, "within", counted)
+    got = shown(jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert [(i, c) for i, _, c in got] == [(i, i) for i in sorted(range(20), key=repr)]
+    assert asked and not sum(asked)
+
+
+def test_marks_bound_how_many_shingles_differ():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 2), (400, 500), (1000, 1100), (3000, 2500), (5000, 4000)):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 2**63, m - n // 2).astype(np.uint64)]))
+        differ = len(np.setxor1d(x, y))
+        assert differ // 4 < jaccard.apart(jaccard.mark(x), jaccard.mark(y)) <= differ
+        assert jaccard.apart(jaccard.mark(x), jaccard.mark(x)) == 0
+
+
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_shingles_of_whole_batches_are_those_of_each_text(width):
+    rng = random.Random(2)
+    long = ["x" * 513, "X" * 513 + " y", "x" * 512 + "y", "abcdefgh", "abcdefghi", "abcdefgh\0", "a\0", "a", "", " \t"]
+    texts = [*long, *("".join(rng.choice("aB \n\0\x85éA ") for _ in range(rng.randrange(40))) for _ in range(800))]
+    h, before = jaccard.Shingles(width).all(pa.array(texts))
+    name, text = {}, {}
+    for t, a, b in zip(texts, before, before[1:], strict=False):
+        w = t.encode().lower().split()
+        k = min(width, len(w))
+        want = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if w else []
+        assert len(want) == b - a
+        assert all(name.setdefault(x, y) == y and text.setdefault(y, x) == x for x, y in zip(h[a:b].tolist(), want, strict=True))
+        assert (jaccard.Shingles(width).set(t) == np.unique(h[a:b])).all()
