@@ -1,9 +1,9 @@
 """Exact forward-backward over many linear chains at once.
 
-Chains of any length are cut into segments of at most STEP positions.  A segment maps the
+Chains of any length are cut into segments of at most `step` positions (STEP unless told otherwise).  A segment maps the
 weights at its first position to those at its last by one matrix, scaled every few steps; along each chain these
 matrices give every segment its entering and leaving weights, and then all segments run
-side by side, so the number of steps is STEP, not the length of the longest chain.
+side by side, so the number of steps is that, not the length of the longest chain.
 """
 
 from __future__ import annotations
@@ -16,23 +16,24 @@ STEP = 512
 class Chains:
     """e: (positions, states), the weight of each state at each position, chain after chain; lengths: positions of each chain, none 0."""
 
-    def __init__(self, e: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray):
+    def __init__(self, e: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, step: int | None = None):
+        step = step or STEP
         self.e, self.start, self.move, self.k = e, start, move, len(start)
         self.first = np.cumsum(lengths) - lengths
-        many = -(-lengths // STEP)
+        many = -(-lengths // step)
         of = np.repeat(np.arange(len(lengths)), many)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-        at, size = self.first[of] + nth * STEP, np.minimum(STEP, lengths[of] - nth * STEP)
+        at, size = self.first[of] + nth * step, np.minimum(step, lengths[of] - nth * step)
         order = np.argsort(-size, kind="stable")
         self.at, self.size, self.many = at[order], size[order], many
         # place[c] is where the first segment of chain c was put, and its others follow in `where`.
         self.where = np.empty(len(of), np.int64)
         self.where[order] = np.arange(len(of))
         self.begin = np.cumsum(many) - many
-        self.running = np.searchsorted(-self.size, -np.arange(STEP + 1), side="left")  # segments longer than t
+        self.running = np.searchsorted(-self.size, -np.arange(step + 1), side="left")  # segments longer than t
         # Positions step by step, so that those of a step lie side by side: of step t from step[t] on.
         self.step = np.concatenate([[0], np.cumsum(self.running)])
-        t = np.repeat(np.arange(STEP + 1), self.running)
+        t = np.repeat(np.arange(step + 1), self.running)
         self.by_step = self.at[np.arange(len(t)) - self.step[t]] + t
         self.ones = np.ones(self.k)
         self.enter = np.tile(start, (len(of), 1))

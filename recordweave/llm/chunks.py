@@ -35,6 +35,9 @@ def _table(some: Iterable[int]) -> np.ndarray:
 
 
 SPACE = _table((0x20, *range(0x09, 0x0E)))
+#: Bytes with A-Z lower-cased.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 _LETTER = _table((*range(0x41, 0x5B), *range(0x61, 0x7B)))
 _WIDE = _LETTER | _table(range(0x80, 0x100))
 _SIGN = _table((*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)))
@@ -79,15 +82,16 @@ def letters(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """
     ends, data = bytes_of(texts)
     in_run = ~SPACE[data] if b"\xce\xa3" in data.tobytes() else _WIDE[data]
-    begin = in_run.copy()
+    begin, stop = in_run.copy(), in_run.copy()
     begin[1:] &= ~in_run[:-1]
     first = ends[:-1][ends[:-1] < len(data)]
     begin[first] = in_run[first]
+    stop[:-1] &= ~in_run[1:] | begin[1:]
     at = np.flatnonzero(begin)
     if not len(at):
         return [], np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     offsets = np.zeros(len(at) + 1, np.int32)
-    np.cumsum(np.add.reduceat(in_run, at, dtype=np.int32), out=offsets[1:])
+    np.cumsum(np.flatnonzero(stop) + 1 - at, out=offsets[1:])
     found = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data[in_run])).dictionary_encode()
     return found.dictionary.to_pylist(), found.indices.to_numpy(), np.searchsorted(at, ends)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordweave.llm.chain import batches as in_parts
-from recordweave.llm.chunks import SPACE, bytes_of
+from recordweave.llm.chunks import LOWER, SPACE, bytes_of
 from recordweave.llm.common import bit_set, cut, fresh, has_bit, place_of
 from recordweave.llm.components import components
 from recordweave.llm.simhash import FEW, links, majority, within
@@ -40,8 +40,6 @@ CROWD, SALTS = 4096, 1024
 NEAR = 150
 #: Of the shingles at which sets meet, the share by which neighbours are sought in a turn: one in so many.
 PARTS = 8
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29), np.uint64(32))
 
@@ -60,7 +58,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     Words are of bytes: A-Z alone are lower-cased, and only \\x20 and \\x09-\\x0D part them.
     """
     ends, data = bytes_of(texts)
-    data = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    data = np.concatenate([LOWER[data], np.zeros(8, np.uint8)])
     word = ~SPACE[data[:-8]]
     begin, stop = word.copy(), word.copy()
     begin[1:] &= ~word[:-1]

@@ -31,8 +31,8 @@ LEXICON = 2000
 UNKNOWN = "und"
 #: The fineness of gradients, which are summed as whole numbers; a word or feature is frequent if one in so many words is or has it.
 FINE, OFTEN = 1024, 1 << 17
-#: Words and texts that a task labels at once.
-AT_ONCE, TEXTS = 200_000, 2000
+#: Words and texts that a task labels at once; words of the segments that chains are cut into: most texts are one.
+AT_ONCE, TEXTS, SEGMENT = 300_000, 2000, 1024
 
 
 def words_of(text: str) -> list[str]:
@@ -46,6 +46,16 @@ def _real(chunk: str) -> list[str]:
     return [low] if low.isalpha() else [w for w in WORD.findall(low) if any(map(str.isalpha, w))]
 
 
+def _reals(chunks: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words of _real() of chunks (without line ends), one chunk after the other, and how many came before each and in all."""
+    low = "\n".join(chunks).lower().split("\n") if chunks else []
+    plain = np.fromiter(map(str.isalpha, low), bool, len(low))
+    if plain.all():
+        return low, np.arange(len(low) + 1)
+    lists = [[w] if p else _real(c) for c, w, p in zip(chunks, low, plain.tolist(), strict=True)]
+    return [w for x in lists for w in x], _places(lists)
+
+
 def _places(lists: list[list[str]]) -> np.ndarray:
     """How many words came before each list, and in all."""
     return np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
@@ -54,7 +64,7 @@ def _places(lists: list[list[str]]) -> np.ndarray:
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each feature, its word): all character pairs and triples of ^word$, and its affixes of three letters."""
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    code = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    code = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     of = np.repeat(np.arange(len(words)), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(code))  # characters from here to the word's end
     begin = left == size[of]
@@ -107,6 +117,13 @@ class Model:
         at = np.searchsorted(grams[1], np.arange(words))
         return np.add.reduceat(self.seen[grams[0]].astype(np.float64), at) / np.bincount(grams[1], minlength=words)[:, None]
 
+    def both(self, grams: tuple[np.ndarray, np.ndarray], held: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What scores() and familiar() give, with the features' rows of table (weights, and seen if it has them) added up once."""
+        k = len(self.labels)
+        many = np.bincount(grams[1], minlength=len(held))
+        out = np.add.reduceat(table.take(grams[0], axis=0), np.cumsum(many) - many)
+        return out[:, :k] + held @ self.listed, out[:, k:].astype(np.float64) / many[:, None]
+
     def held(self, words: list[str]) -> np.ndarray:
         """Which lexicons hold each word, as 0 and 1."""
         out = np.zeros((len(words), len(self.labels)))
@@ -163,14 +180,14 @@ def _moved(m: Model, starts: np.ndarray, moves: np.ndarray, steps: int) -> None:
     _adam([m.start, m.move], gradients, steps)
 
 
-def _weighed(texts: pa.Array, known: Known, k: int, at_once: int) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches of texts that have words: the texts' numbers, the chunks and the part of them that each word is of, each word's row of known, and the words of each text."""
+def _weighed(texts: pa.Array, known: Known, width: int, at_once: int) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of texts that have words: the texts' numbers, the chunks and the part of them that each word is of, each word's row of known, which has so many values, and the words of each text."""
     for lo in range(0, len(texts), TEXTS):
         chunks, at, before = letters(texts.slice(lo, TEXTS))
         look = known.look(chunks)
         made = list(map(look, chunks))
-        size = np.fromiter(map(len, made), np.int64, len(made)) // max(8 * k, 1)
-        flat, slots = np.frombuffer(b"".join(made), f"V{8 * k}") if k else np.zeros(0), np.cumsum(size) - size
+        size = np.fromiter(map(len, made), np.int64, len(made)) // max(4 * width, 1)
+        flat, slots = np.frombuffer(b"".join(made), f"V{4 * width}") if width else np.zeros(0), np.cumsum(size) - size
         words = np.concatenate([[0], np.cumsum(size[at])])[before]
         for i, j in batches(np.diff(words), at_once):
             n = np.diff(words[i : j + 1])
@@ -180,7 +197,7 @@ def _weighed(texts: pa.Array, known: Known, k: int, at_once: int) -> Iterator[tu
                 many = size[part]
                 slot = np.repeat(slots[part] - (np.cumsum(many) - many), many)
                 slot += np.arange(len(slot))
-                yield lo + i + full, chunks, slot, flat[slot].view("<f4").reshape(-1, 2 * k), n[full]
+                yield lo + i + full, chunks, slot, flat[slot].view("<f4").reshape(-1, width), n[full]
 
 
 def _relabelled(m: Model, texts: pa.Array, known: Known, stay: float, at_once: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
@@ -190,8 +207,8 @@ def _relabelled(m: Model, texts: pa.Array, known: Known, stay: float, at_once: i
         held, n, starts, moves = None, 0, np.zeros(k, np.int64), np.zeros((k, k), np.int64)
         for _, chunks, slot, e, sizes in _weighed(texts.slice(lo, TEXTS), known, k, at_once):
             if held is None:
-                held = [w for c in chunks for w in _real(c)]
-            c = Chains(e[:, :k].astype(np.float64), sizes, np.ones(k), np.exp(stay * np.eye(k)))
+                held, _ = _reals(chunks)
+            c = Chains(e.astype(np.float64), sizes, np.ones(k), np.exp(stay * np.eye(k)), SEGMENT)
             c.forward()
             gold = c.backward().argmax(1)
             n = n + np.bincount(slot * k + gold, minlength=len(held) * k).reshape(-1, k)
@@ -285,7 +302,7 @@ def fit(texts: list[str], langs: list[str], steps: int = 12, stay: float = 3.0)
             m.lexicon.setdefault(names[i], []).append(c)
     _adam([m.weights, m.listed], lambda _: [x / FINE for x in _slopes(names, n, m)], steps)
     n, starts, moves = np.zeros_like(n), np.zeros(k, np.int64), np.zeros((k, k), np.int64)
-    for words, some, first, then in _relabelled(m, pa.array(texts, pa.string()), _table(m), stay, AT_ONCE):
+    for words, some, first, then in _relabelled(m, pa.array(texts, pa.string()), _table(m, familiar=False), stay, AT_ONCE):
         np.add.at(n, [at[w] for w in words], some)
         starts, moves = starts + first, moves + then
     _adam([m.weights, m.listed], lambda _: [x / FINE for x in _slopes(names, n, m)], steps)
@@ -313,8 +330,8 @@ def train(docs: DataFrame, steps: int = 12, stay: float = 3.0) -> Model:
                 langs = b.column("lang").slice(lo, TEXTS).dictionary_encode()
                 of = np.repeat(langs.indices.to_numpy(), np.diff(before))
                 n = np.bincount(at * len(langs.dictionary) + of, minlength=len(chunks) * len(langs.dictionary)).reshape(-1, len(langs.dictionary))
-                lists = list(map(_real, chunks))
-                yield _tallied([w for x in lists for w in x], np.repeat(n, np.diff(_places(lists)), axis=0), langs.dictionary)
+                real, places = _reals(chunks)
+                yield _tallied(real, np.repeat(n, np.diff(places), axis=0), langs.dictionary)
 
     told = cut(known.mapInArrow(words, "word string, label string, n long").groupBy("word", "label").agg(F.sum("n").alias("n")))
     m = _empty(sorted(r.label for r in told.select("label").distinct().collect()))
@@ -327,7 +344,7 @@ def train(docs: DataFrame, steps: int = 12, stay: float = 3.0) -> Model:
     k = len(m.labels)
 
     def again(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(m)
+        table = _table(m, familiar=False)
 
         for b in parts:
             for words, n, starts, moves in _relabelled(m, b.column("text"), table, stay, AT_ONCE):
@@ -380,8 +397,8 @@ def _labelled(model: Model, texts: pa.Array, known: Known, at_once: int) -> tupl
     """(index of the label, score, familiarity) of each text; the index after the last is UNKNOWN."""
     k = len(model.labels)
     name, score, familiar = np.full(len(texts), k), np.zeros(len(texts)), np.zeros(len(texts))
-    for at, _, _, both, n in _weighed(texts, known, k, at_once):
-        c = Chains(both[:, :k].astype(np.float64), n, np.exp(model.start), np.exp(model.move))
+    for at, _, _, both, n in _weighed(texts, known, 2 * k, at_once):
+        c = Chains(both[:, :k].astype(np.float64), n, np.exp(model.start), np.exp(model.move), SEGMENT)
         c.forward()
         p = c.backward()
         share = np.add.reduceat(p, c.first) / n[:, None]
@@ -390,19 +407,18 @@ def _labelled(model: Model, texts: pa.Array, known: Known, at_once: int) -> tupl
     return name, score, familiar
 
 
-def _table(model: Model) -> Known:
-    """The bounded table of the weights and familiarity of chunks' words, 8 bytes a label each; a word without a letter has none."""
-
-    size = 8 * len(model.labels)
+def _table(model: Model, familiar: bool = True) -> Known:
+    """The bounded table of the weights and, if asked for, familiarity of chunks' words, 4 bytes a label each; a word without a letter has none."""
+    rows_of = np.hstack([model.weights, model.seen.astype(model.weights.dtype)]) if familiar else model.weights
+    size = 4 * rows_of.shape[1]
 
     def made(new: list[str]) -> list[bytes]:
-        lists = list(map(_real, new)) if size else [[]] * len(new)
-        real, out = [w for x in lists for w in x], []
+        (real, places), out = _reals(new if size else []), []
         for lo in range(0, len(real), 5_000):  # features take some hundred bytes a letter
             part = real[lo : lo + 5_000]
-            grams = _grams(part)
-            out.append(np.hstack([_even(model.scores(grams, model.held(part))), model.familiar(grams, len(part))]).astype("<f4").tobytes())
-        rows, ends = b"".join(out), (_places(lists) * size).tolist()
+            weights, share = model.both(_grams(part), model.held(part), rows_of)
+            out.append(np.hstack([_even(weights), share]).astype("<f4").tobytes())
+        rows, ends = b"".join(out), (places * size if size else np.zeros(len(new) + 1, np.int64)).tolist()
         return [rows[a:b] for a, b in itertools.pairwise(ends)]
 
     return Known(made, 200_000)

@@ -65,6 +65,18 @@ def test_words_of_whole_batches_are_those_of_each_text(monkeypatch):
     assert sorted(weighed) == ["der", "hund", "hund", "the"]
 
 
+def test_a_words_features_are_added_up_once_and_familiarity_only_if_asked_for():
+    m = langid.fit(["the cat and the dog of this house"] * 4 + ["der hund und die katze in dem haus"] * 4, ["en"] * 4 + ["de"] * 4)
+    some = ["der", "Hund", "xyzzy", "é", "a½b", "½", "Σ'a"]
+    words = [w for x in map(langid._real, some) for w in x]
+    assert langid._reals(some)[0] == words and langid._reals(some)[1].tolist() == [0, 1, 2, 3, 4, 5, 5, 7]
+    grams = langid._grams(words)
+    want = langid._even(m.scores(grams, m.held(words))).astype("f4"), m.familiar(grams, len(words)).astype("f4")
+    made = [langid._table(m, familiar).look(some) for familiar in (True, False)]
+    both, alone = (np.frombuffer(b"".join(map(look, some)), "f4").reshape(len(words), -1) for look in made)
+    assert (both == np.hstack(want)).all() and (alone == want[0]).all()
+
+
 def test_code_switched_words_keep_their_language():
     m = langid.fit(["the cat and the dog of this house"] * 4 + ["der hund und die katze in dem haus"] * 4, ["en"] * 4 + ["de"] * 4)
     words = "the dog and the cat und der hund in dem haus".split()
