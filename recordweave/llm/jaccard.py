@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from recordweave.llm.chain import batches as in_parts
 from recordweave.llm.chunks import LOWER, SPACE, bytes_of
-from recordweave.llm.common import bit_set, cut, fresh, has_bit, place_of
+from recordweave.llm.common import bit_set, cut, fresh, has_bit, lean, place_of
 from recordweave.llm.components import components
 from recordweave.llm.simhash import FEW, links, majority, within
 
@@ -212,7 +212,7 @@ def _named(docs: DataFrame, width: int, simhash: bool) -> DataFrame:
             if block.any():
                 yield batch([None], [None], [None], [zlib.compress(block.tobytes(), 1)], [None], [k])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, node long, n long, data binary, fp long, block int")
+    return _rows(docs).mapInArrow(lean(run), "doc_id long, node long, n long, data binary, fp long, block int")
 
 
 def frequencies(named: DataFrame) -> np.ndarray:
@@ -227,7 +227,7 @@ def frequencies(named: DataFrame) -> np.ndarray:
         for k, x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes()])], ["block", "data"])
 
-    found = named.where("block is not null").select("block", "data").repartition("block").mapInArrow(run, "block int, data binary").toArrow()
+    found = named.where("block is not null").select("block", "data").repartition("block").mapInArrow(lean(run), "block int, data binary").toArrow()
     out = np.zeros((1 << COUNTS) // BLOCK * BLOCK, np.uint32).reshape(-1, BLOCK)
     for k, data in zip(found.column("block").to_pylist(), found.column("data").to_pylist(), strict=True):
         out[k] = np.frombuffer(data, np.uint32)
@@ -273,7 +273,7 @@ def prefixes(docs: DataFrame, width: int, least: tuple[int, int], counts: np.nda
             at = np.arange(len(s)) - np.repeat(places[:-1], k)
             yield pa.RecordBatch.from_arrays([*map(pa.array, (s.view(np.int64), np.repeat(node[first], k), at + np.repeat(n[first] << 32, k), salt))], ["h", "node", "na", "salt"])
 
-    return _rows(docs).mapInArrow(run, "h long, node long, na long, salt int")
+    return _rows(docs).mapInArrow(lean(run), "h long, node long, na long, salt int")
 
 
 def _row_place(node: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
@@ -298,7 +298,7 @@ def sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
 
     wanted = cut(wanted.select("node"))
     many = wanted.count()
-    made = _rows(docs).mapInArrow(run, "node long, s array<long>, mark binary")
+    made = _rows(docs).mapInArrow(lean(run), "node long, s array<long>, mark binary")
     found = fresh(made.join(F.broadcast(wanted) if many <= FEW else wanted, "node", "left_semi"))
     # Equal rows of several tasks are seldom; without them no set is shuffled.
     return found if found.count() == many else fresh(found.groupBy("node").agg(F.first("s").alias("s"), F.first("mark").alias("mark")))
@@ -422,7 +422,7 @@ def meeting(entries: DataFrame, least: tuple[int, int], names: list[str], schema
             if len(done["h"]):
                 yield _batch(done, names)
 
-    return entries.repartition("h", "salt").sortWithinPartitions("h", "salt", "node").select(*names).mapInArrow(run, schema)
+    return entries.repartition("h", "salt").sortWithinPartitions("h", "salt", "node").select(*names).mapInArrow(lean(run), schema)
 
 
 _PLAIN, _MARKED = ["h", "node", "na", "salt"], ["h", "node", "na", "salt", "data"]
@@ -465,7 +465,7 @@ def _linked(rows: DataFrame, names: list[str], keys: tuple[str, ...], least: tup
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "ca", "cb"])
 
-    return rows.select(*names).mapInArrow(run, "a long, b long, ca long, cb long")
+    return rows.select(*names).mapInArrow(lean(run), "a long, b long, ca long, cb long")
 
 
 def _one_each(pairs: DataFrame) -> DataFrame:
@@ -491,7 +491,7 @@ class _Sets:
                 ok = [(num + den) * apart(x, y) <= (den - num) * (i + j) for i, j, x, y in zip(na, nb, ma, mb, strict=True)]
                 yield b.select(["a", "b", "ca", "cb"]).filter(pa.array(ok, pa.bool_()))
 
-        return pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "ca", "cb", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long, ca long, cb long")
+        return pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "ca", "cb", "na", "nb", "ma", "mb").mapInArrow(lean(run), "a long, b long, ca long, cb long")
 
     def similar(self, pairs: DataFrame, least: tuple[int, int]) -> DataFrame:
         """a, b: the groups ca and cb of the pairs(a, b, ca, cb) whose sets are at or above the similarity."""
