@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordweave.llm import langid, packing, pii, shingles, simhash
-from recordweave.llm.common import crc_mod, new_folder, remove, tokenizer_path
+from recordweave.llm.common import crc_mod, new_folder, remove, small_batches, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts share their fate, however often they come; null and repeated doc_ids are rows
     like any other; an empty table gives no rows; all columns stay, whatever their names.
     """
+    small_batches(spark)
     model, least = langid.learn(docs.select("text", "lang", (crc_mod(F.col("doc_id"), 3) == 1).alias("held")))
     # The prediction is made in the row's own task, so no document moves for it.
     return langid.keep(docs, model, least)
@@ -37,6 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts each is in its own text's group; equal rows stay once.  An empty table gives no
     rows; all columns stay, whatever their names.
     """
+    small_batches(spark)
     return simhash.first_of(docs, shingles.near_copies(docs, width=5), shingles.with_words_key)
 
 
@@ -57,6 +59,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the shared folder as packed-*, the corpus that the pipeline makes.  Null texts, repeated
     rows, empty tables and other columns as in packing.concat_and_cut.
     """
+    small_batches(spark)
     folder = new_folder(spark, "pieces")
     packing.concat_and_cut(docs, tokenizer_path("byte_bpe_50k.json"), length=1024).write.parquet(folder)
     pieces = spark.read.parquet(folder)

@@ -72,6 +72,18 @@ def give_back() -> None:
         trim(0)
 
 
+#: Bytes of an Arrow batch that the pipeline's tasks hold, in the JVM and in Python.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH bytes, unless it has a lower bound: 10,000 rows of long texts are far more."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("b"))
+    if not 0 < now <= BATCH:
+        spark.conf.set(name, f"{BATCH}b")
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, for mapInArrow; what it freed is given back at its end, as the worker waits on while others work."""
 

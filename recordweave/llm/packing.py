@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordweave.llm.chunks import Known, at_chunks, gathered, parted
-from recordweave.llm.common import cut
+from recordweave.llm.common import cut, give_back, lean
 
 _TOKENS = "part int, at long, doc_id long, n long, ids binary"
 _PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+#: Pieces that a task makes at once, some kilobytes each.
+AT_ONCE = 2000
 _encoders: dict[str, tuple] = {}
 
 
@@ -76,7 +78,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, batch: int = 1000
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        wide = _encoder(tokenizer)[3]
+        _, known, _, wide = _encoder(tokenizer)
         for whole in batches:
             for lo in range(0, whole.num_rows, batch):
                 b = whole.slice(lo, batch)
@@ -85,6 +87,10 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, batch: int = 1000
                 before = at + np.cumsum(n) - n
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(before), b.column("doc_id"), pa.array(n), _binary(ids, n)], ["part", "at", "doc_id", "n", "ids"])
+        # The worker waits on while the ids are cut and written, and most chunks of a task are its own.
+        if known:
+            known.table.clear()
+        give_back()
 
     return cut(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, _TOKENS))
 
@@ -116,8 +122,8 @@ def concat_and_cut(docs: DataFrame, tokenizer: str, length: int = 1024, end_id:
             lo = np.maximum(window * length, at[row])
             hi = np.minimum((window + 1) * length, (at + n)[row])
             start = lo - at[row]
-            for x in range(0, len(row), 20_000):
-                s = slice(x, x + 20_000)
+            for x in range(0, len(row), AT_ONCE):
+                s = slice(x, x + AT_ONCE)
                 held, ids = -1, []
                 for r, a, k in zip(row[s].tolist(), start[s].tolist(), (hi - lo)[s].tolist(), strict=True):
                     if r != held:
@@ -125,7 +131,7 @@ def concat_and_cut(docs: DataFrame, tokenizer: str, length: int = 1024, end_id:
                     ids.append(all_ids[a : a + k].astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row[s])), *map(pa.array, (start[s], (hi - lo)[s], n[row[s]], window[s], (lo - window * length)[s])), pa.array(ids, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return placed.mapInArrow(pieces, _PIECES)
+    return placed.mapInArrow(lean(pieces), _PIECES)
 
 
 def sequences(pieces: DataFrame, length: int = 1024) -> DataFrame:
@@ -159,7 +165,7 @@ def sequences(pieces: DataFrame, length: int = 1024) -> DataFrame:
             yield pa.RecordBatch.from_pylist([row(held)], schema)
 
     schema = pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
-    run = pieces.select("sequence_id", "offset", "length", "ids").mapInArrow(runs, "sequence_id long, offset long, ids binary")
+    run = pieces.select("sequence_id", "offset", "length", "ids").mapInArrow(lean(runs), "sequence_id long, offset long, ids binary")
     whole = F.octet_length("ids") == 4 * length
     split_up = run.where(~whole).groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     joined = split_up.select("sequence_id", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from recordweave.llm import hmm, packing, pieces, simhash, token_counts
-from recordweave.llm.common import cut, read, tokenizer_path
+from recordweave.llm.common import BATCH, cut, read, small_batches, tokenizer_path
 
 ODD = [(90001, None), (90002, ""), (90003, "a<|endoftext|>b  <|endoftext|> x"), (90004, "x\x1c y \n\n z    q²½ _a_ " + "k" * 5000), (None, "it's 日本語　テスト"), (90005, "One two"), (90005, "One two"), (90006, " \t "), (90007, "  \t x   y z  é<s>")]
 
@@ -45,6 +45,37 @@ def test_token_counts_equal_the_library(docs, rows, bpe):
     assert collections.Counter(map(tuple, got)) == want
 
 
+def test_workers_of_packing_keep_no_chunks(spark, docs):
+    """They wait on while later stages take memory."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    packing.tokenize(docs, path)
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing._encoders[path][1].table) if path in packing._encoders else 0])], ["n"])
+
+    assert spark.range(0, 8, 1, 8).mapInArrow(kept, "n long").agg(F.max("n")).first()[0] == 0
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    long = spark.range(0, 5000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("text"))
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    try:
+        small_batches(spark)
+        assert long.mapInArrow(size, "n long").agg(F.max("n")).first()[0] < BATCH + 100_000
+        spark.conf.set(name, "100000b")
+        small_batches(spark)
+        assert spark.conf.get(name) == "100000b"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_packing_is_whole_and_gapless(docs, rows, bpe):
     packed = packing.concat_and_cut(docs, tokenizer_path("byte_bpe_50k.json"))
     got = packed.collect()
