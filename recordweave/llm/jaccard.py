@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -235,7 +236,7 @@ def frequencies(named: DataFrame) -> np.ndarray:
 
 
 def _new(node: np.ndarray, wanted: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Which nodes are wanted and not seen before; SEEN of them are kept."""
+    """Which nodes (or rows' names) are wanted and not seen before; SEEN of them are kept."""
     out = wanted > 0
     for i in np.flatnonzero(out).tolist():
         name = int(node[i])
@@ -276,8 +277,13 @@ def prefixes(docs: DataFrame, width: int, least: tuple[int, int], counts: np.nda
     return _rows(docs).mapInArrow(lean(run), "h long, node long, na long, salt int")
 
 
+def _row_name(node: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """64 bits for a row, of one node another for each doc_id."""
+    return _mixed(node * _MIX[0] + doc_id)
+
+
 def _row_place(node: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    return place_of(_mixed(node * _MIX[0] + doc_id))
+    return place_of(_row_name(node, doc_id))
 
 
 def sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
@@ -286,22 +292,28 @@ def sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(bit_set(named, _row_place))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingles(width), set()
+        shingles, seen, at = Shingles(width), set(), TaskContext.get().partitionId() << 40
         for ids, texts in _texts(batches):
             s, before = shingles.sets(texts)
-            n, node = np.diff(before), np.array(_digests(s, before), np.int64)
-            asked = has_bit(bits.value, _row_place(node.view(np.uint64), ids.fill_null(0).to_numpy().view(np.uint64)))
-            first = np.flatnonzero(_new(node, n * asked, seen))
+            n, node, rep = np.diff(before), np.array(_digests(s, before), np.int64), ids.fill_null(0).to_numpy()
+            row = _row_name(node.view(np.uint64), rep.view(np.uint64))
+            first = np.flatnonzero(_new(row, n * has_bit(bits.value, place_of(row)), seen))
             s, ends = _taken(s, before[first], n[first], lambda x: x)
             marks = [mark(s[a:b]) for a, b in itertools.pairwise(ends.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(s.view(np.int64))), pa.array(marks, pa.binary())], ["node", "s", "mark"])
+            places = at + np.arange(len(first))
+            at += len(first)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (node[first], rep[first], places)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(s.view(np.int64))), pa.array(marks, pa.binary())], ["node", "rep", "at", "s", "mark"])
 
-    wanted = cut(wanted.select("node"))
+    wanted = cut(named)
     many = wanted.count()
-    made = _rows(docs).mapInArrow(lean(run), "node long, s array<long>, mark binary")
-    found = fresh(made.join(F.broadcast(wanted) if many <= FEW else wanted, "node", "left_semi"))
-    # Equal rows of several tasks are seldom; without them no set is shuffled.
-    return found if found.count() == many else fresh(found.groupBy("node").agg(F.first("s").alias("s"), F.first("mark").alias("mark")))
+    made = _rows(docs).mapInArrow(lean(run), "node long, rep long, at long, s array<long>, mark binary")
+    # Bits of other rows may be set as well, so of copies the row that rep names is taken, and no set is shuffled for them.
+    found = fresh(made.join(F.broadcast(wanted) if many <= FEW else wanted, ["node", "rep"], "left_semi"))
+    if found.count() > many:
+        # Equal rows in several tasks: the names tell which to take.
+        first = cut(found.groupBy("node").agg(F.min("at").alias("at")))
+        found = found.join(F.broadcast(first) if many <= FEW else first, ["node", "at"], "left_semi")
+    return found.select("node", "s", "mark")
 
 
 def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:

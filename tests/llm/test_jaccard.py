@@ -167,3 +167,21 @@ def test_shingles_of_whole_batches_are_those_of_each_text(width):
         assert len(want) == b - a
         assert all(name.setdefault(x, y) == y and text.setdefault(y, x) == x for x, y in zip(h[a:b].tolist(), want, strict=True))
         assert (jaccard.Shingles(width).set(t) == np.unique(h[a:b])).all()
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_no_set_is_shuffled_for_copies_and_repeated_rows(spark, monkeypatch, again):
+    """Bits of copies' rows may be set as well; here all are."""
+    plans, fresh = [], jaccard.fresh
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(jaccard, "fresh", lambda df, *parts: fresh(plan(df), *parts))
+    monkeypatch.setattr(jaccard, "bit_set", lambda *_: np.full(1 << 20, ~np.uint64(0)))
+    texts = [" ".join(f"w{n * k % 89}" for k in range(1, 30)) for n in range(1, 21)]
+    rows = [(i, texts[i % 20]) for i in reversed(range(100))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    docs = docs.unionByName(docs) if again else docs
+    want = {jaccard.digest(s): s.view(np.int64).tolist() for s in map(jaccard.Shingles(5).set, texts)}
+    wanted = spark.createDataFrame([(jaccard.digest(jaccard.Shingles(5).set(t)), i) for i, t in enumerate(texts)], "node long, rep long")
+    got = plan(jaccard.sets(docs, 5, wanted)).collect()
+    assert len(got) == 20 and {r.node: r.s for r in got} == want
+    assert not any("hashpartitioning" in p for p in plans)
